@@ -1 +1,6 @@
+"""Complete plans: the import, and the registered queries."""
 
+from recordloom.plans import queries_records  # noqa: F401
+from recordloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,12 @@ def stream_ingest(
     ``(file, line, row)`` is stored exactly once.  Line numbers are exact, since
     a batch is made of whole files.
     """
+    # Only paths are asked for, so the files are listed here but read in the batch.
     arrivals = (
-        spark.readStream.format("text")
-        .option("wholetext", False)
+        spark.readStream.format("binaryFile")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(directory)
-        .select(F.col("_metadata.file_path").alias("file"))
+        .select(F.col("path").alias("file"))
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -82,19 +83,18 @@ def stream_log_batches(
     checkpoint: str,
     deliver: Callable[[DataFrame, int], None],
     interval: str | None = "5 seconds",
-    from_end: bool = True,
+    since: datetime | None = None,
 ) -> StreamingQuery:
     """Hand over new, non-blank log lines, one batch per interval.
 
     A batch whose delivery raises stays uncommitted and is handed over again on
-    the next start.  ``from_end`` leaves out what was there at the first start.
-    ``interval=None`` drains what there is and stops.
+    the next start.  ``since`` leaves out log files last written before it: the
+    way to begin at the current end of a log.  ``interval=None`` drains what
+    there is and stops.
     """
-    reader = spark.readStream.format("text")
-    if from_end:
-        # Start position of the first run only; later runs use the checkpoint.
-        reader = reader.option("latestFirst", False).option("maxFileAge", "1ms")
-    lines = reader.load(directory).filter(F.col("value").rlike(r"\S"))
+    lines = spark.readStream.format("text").load(directory).filter(F.col("value").rlike(r"\S"))
+    if since is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since)).select("value")
 
     def hand_over(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
