@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import (
@@ -180,6 +180,21 @@ class Val:
         return Val(self.col, self.form, both, self.k, self.t)
 
 
+def with_values(records: DataFrame, keys: list[str], keep: list[str]) -> tuple[DataFrame, dict[str, Val]]:
+    """``keep`` plus the values of ``keys`` with their codes and texts as columns of their own.
+
+    The conversions of the returned values then refer to finished columns.
+    """
+    at = range(len(keys))
+    found = records.select(*keep, *[F.try_element_at("rec", F.lit(k)).alias(f"v{i}") for i, k in enumerate(keys)])
+    staged = found.select(
+        "*",
+        *[code(F.col(f"v{i}")).alias(f"k{i}") for i in at],
+        *[as_text(F.col(f"v{i}")).alias(f"t{i}") for i in at],
+    )
+    return staged, {k: Val(F.col(f"v{i}"), k=F.col(f"k{i}"), t=F.col(f"t{i}")) for i, k in enumerate(keys)}
+
+
 def failure_text(column: str, source: str | Column, target: str, detail: str) -> Column:
     label = F.lit(source or "unknown") if isinstance(source, str) else source
     return F.concat(F.lit(f"column {column}: "), label, F.lit(f" -> {target or 'unknown'}: {detail}"))
@@ -202,7 +217,8 @@ def _cast(val: Val, rule: FieldRule) -> Val:
         out = F.when(there, value_number(v, val.codes, val.t) != 0)
         return Val(out, "bool").failing(there & out.isNull(), fail("not a finite number"))
     if "timestamp" in dst or "datetime" in dst or "iso" in src or "timestamp" in src:
-        stamp = F.when(there, text_timestamp(val.as_text()))
+        # Only texts and whole numbers (a year) can be a date.
+        stamp = F.when(val.codes.isin("STR", "BIG"), text_timestamp(val.texts))
         return Val(stamp, "stamp").failing(there & stamp.isNull(), fail("not a date and time"))
     return val
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ DATE_TEXT = (
 COMPLETE_STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 RADIX_TEXT = r"^\s*0([xX][0-9a-fA-F]+|[bB][01]+|[oO][0-7]+)\s*$"
+USUAL_NUMBER = r"^(?!-?0\.000000)-?\d{1,21}(\.\d*[1-9])?$"
 NUMBER_TEXT = (
     r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|0([xX][0-9a-fA-F]+|[bB][01]+|[oO][0-7]+))\s*$"
 )
@@ -77,26 +80,29 @@ def as_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def plain_number(raw: Column) -> Column:
-    """Shortest text of a number text: exponents only below 1e-6 and from 1e21 on."""
-    size = F.abs(raw.try_cast("double"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used.
+
+    Meant for rarely taken branches: a lambda is not compiled, but it keeps the
+    code of the common branch small.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _unusual_number(raw: Column) -> Column:
+    """Texts with exponents, trailing zeros or very small fractions."""
+    number = raw.try_cast("double")
+    size = F.abs(number)
     digits = F.coalesce(raw.try_cast("decimal(38,24)"), raw.try_cast("decimal(38,16)"))
-    trimmed = F.regexp_replace(digits.cast("string"), r"\.?0+$", "")
-    mantissa = F.regexp_replace(raw, r"\.0(?=E)", "")
-    scientific = F.regexp_replace(F.regexp_replace(mantissa, r"E(?=\d)", "e+"), "E-", "e-")
-    tiny = raw.cast("string").rlike(r"^-?0\.000000\d")
-    return (
-        F.when(~raw.contains("E") & ~tiny, F.regexp_replace(raw, r"(\.\d*[1-9])0+$|\.0+$", "$1"))
-        .when((size >= 1e-6) & (size < 1e21), trimmed)
-        .otherwise(
-            F.when(tiny, plain_exponent(raw.try_cast("double"))).otherwise(scientific)
-        )
-    )
+    fixed = F.regexp_replace(F.regexp_replace(digits.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(number.cast("string"), r"\.0(?=E)", "")
+    scientific = F.regexp_replace(F.regexp_replace(short, r"E(?=\d)", "e+"), "E-", "e-")
+    return F.when(number == 0, "0").when((size >= 1e-6) & (size < 1e21), fixed).otherwise(scientific)
 
 
-def plain_exponent(d: Column) -> Column:
-    text = F.regexp_replace(d.cast("string"), r"\.0(?=E)", "")
-    return F.when(d == 0, F.lit("0")).otherwise(F.regexp_replace(text, "E-", "e-"))
+def plain_number(raw: Column) -> Column:
+    """Shortest text of a number text: exponents only below 1e-6 and from 1e21 on."""
+    return F.when(raw.rlike(USUAL_NUMBER), raw).otherwise(let(raw, _unusual_number))
 
 
 def number_text(v: Column) -> Column:
@@ -115,20 +121,20 @@ def string_of(v: Column, k: Column | None = None, t: Column | None = None) -> Co
     )
 
 
-def text_number(text: Column) -> Column:
-    """The finite number a text stands for, else NULL.  Blank text is 0."""
+def _unusual_text_number(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-    radix = F.lower(F.substring(clean, 2, 1))
-    digits = F.substring(clean, 3, 64)
-    from_radix = (
-        F.when(radix == "x", F.conv(digits, 16, 10))
-        .when(radix == "b", F.conv(digits, 2, 10))
-        .otherwise(F.conv(digits, 8, 10))
+    radix, digits = F.lower(F.substring(clean, 2, 1)), F.substring(clean, 3, 64)
+    base = F.when(radix == "x", 16).when(radix == "b", 2).otherwise(8)
+    from_radix = F.coalesce(*[F.when(base == b, F.conv(digits, b, 10)) for b in (16, 2, 8)])
+    return F.when(~text.rlike(r"\S"), F.lit(0.0)).when(
+        text.rlike(RADIX_TEXT), from_radix.try_cast("double")
     )
-    parsed = (
-        F.when(~text.rlike(r"\S"), F.lit(0.0))
-        .when(text.rlike(DECIMAL_TEXT), clean.try_cast("double"))
-        .when(text.rlike(RADIX_TEXT), from_radix.try_cast("double"))
+
+
+def text_number(text: Column) -> Column:
+    """The finite number a text stands for, else NULL.  Blank text is 0."""
+    parsed = F.when(text.rlike(DECIMAL_TEXT), F.trim(text).try_cast("double")).otherwise(
+        let(text, _unusual_text_number)
     )
     return F.when(F.abs(parsed) < float("inf"), parsed)
 
@@ -145,8 +151,8 @@ def value_number(v: Column, k: Column | None = None, t: Column | None = None) ->
     )
 
 
-def text_timestamp(text: Column) -> Column:
-    """Instant of an ISO 8601 text (missing zone = UTC), NULL for anything else."""
+def _unusual_stamp(text: Column) -> Column:
+    """Instants of dates, and of times without seconds, zone or colon in the zone."""
     day = (
         F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01T00:00:00Z")))
         .when(F.length(text) == 7, F.concat(text, F.lit("-01T00:00:00Z")))
@@ -155,10 +161,14 @@ def text_timestamp(text: Column) -> Column:
     zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
     seconds = F.regexp_replace(zoned, r"^(.{13}:\d{2})(?=Z|[+-])", "$1:00")
     moment = F.regexp_replace(seconds, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    # The complete form is the common one and is cast without any rewriting.
-    return F.when(text.rlike(COMPLETE_STAMP), text.try_cast("timestamp")).when(
-        text.rlike(DATE_TEXT),
-        F.when(F.length(text) <= 10, day).otherwise(moment).try_cast("timestamp"),
+    full = F.when(F.length(text) <= 10, day).otherwise(moment)
+    return F.when(text.rlike(DATE_TEXT), full.try_cast("timestamp"))
+
+
+def text_timestamp(text: Column) -> Column:
+    """Instant of an ISO 8601 text (missing zone = UTC), NULL for anything else."""
+    return F.when(text.rlike(COMPLETE_STAMP), text.try_cast("timestamp")).otherwise(
+        let(text, _unusual_stamp)
     )
 
 

@@ -15,9 +15,10 @@ from recordloom.functions.convert import (
     convert_column,
     family,
     spark_type,
+    with_values,
 )
 from recordloom.functions.engines import hive_value
-from recordloom.functions.values import as_text, code, code_is_missing, kind_of
+from recordloom.functions.values import code_is_missing, kind_of
 from recordloom.operators.project import missing_columns, require_columns
 from recordloom.operators.quality import fail_fast, reject_unknown_columns, split_good
 from recordloom.sources.lines import barrier
@@ -93,24 +94,17 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
     """
     feeds = spec.sources()
     checked = _with_record_errors(records, spec)
-    lookups = {}
-    for i, (source, _) in enumerate(feeds.values()):
-        lookups[f"v{i}"] = F.try_element_at("rec", F.lit(source))
-    staged = checked.select(*META, "error", *[c.alias(n) for n, c in lookups.items()])
-    at = range(len(feeds))
-    staged = staged.select(
-        "*",
-        *[code(F.col(f"v{i}")).alias(f"k{i}") for i in at],
-        *[as_text(F.col(f"v{i}")).alias(f"t{i}") for i in at],
-    )
+    keys = list(dict.fromkeys(source for source, _ in feeds.values()))
+    staged, found = with_values(checked, keys, [*META, "error"])
+    codes = [found[source].k for source, _ in feeds.values()]
 
     outputs, lost = {}, None
     plain = [c for c, (_, rule) in feeds.items() if rule is None and not spec.metastore]
     special = {}
-    for i, (column, (_, rule)) in enumerate(feeds.items()):
-        val = _value(spec, column, Val(F.col(f"v{i}"), k=F.col(f"k{i}"), t=F.col(f"t{i}")), rule)
+    for i, (column, (source, rule)) in enumerate(feeds.items()):
+        val = _value(spec, column, found[source], rule)
         outputs[f"c{i}"] = val.as_type(spark_type(spec.targets[column]) if spec.typed else "string")
-        gone = ~code_is_missing(F.col(f"k{i}")) & F.col(f"c{i}").isNull()
+        gone = ~code_is_missing(codes[i]) & F.col(f"c{i}").isNull()
         lost = F.when(gone, F.lit(i)) if lost is None else lost.when(gone, F.lit(i))
         if column not in plain:
             special[i] = val
@@ -122,7 +116,7 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
         return F.try_element_at(F.array(*[F.lit(t) for t in texts]), F.col("lost") + 1)
 
     names = list(feeds)
-    found = F.try_element_at(F.array(*[F.col(f"k{i}") for i in range(len(names))]), F.col("lost") + 1)
+    found = F.try_element_at(F.array(*codes), F.col("lost") + 1)
     message = F.concat(
         F.lit("column "), by_column(names), F.lit(": "), F.coalesce(kind_of(found), F.lit("unknown")),
         F.lit(" -> "), by_column([spec.targets[c] for c in names]), F.lit(": "),
