@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,11 +74,11 @@ def built_in_variables(now: datetime) -> dict[str, str]:
 
 def merge_maps(*maps: Column) -> Column:
     """Maps joined so that a later one wins, under any map key policy."""
-    merged = maps[0]
-    for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, _, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
-    return merged
+    def put(earlier: Column, later: Column) -> Column:
+        kept = F.map_filter(earlier, lambda k, _: ~F.map_contains_key(later, k))
+        return F.map_concat(kept, later)
+
+    return reduce(put, maps)
 
 
 def variables_map(variables: Column) -> Column:

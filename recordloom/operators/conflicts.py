@@ -42,16 +42,15 @@ def append_or_raise(target: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return target.unionByName(incoming, allowMissingColumns=True)
 
 
-def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
+def _padded(df: DataFrame, like: DataFrame, *extra: Column) -> DataFrame:
     have = set(df.columns)
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
-            if f.name in have
-            else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in like.schema.fields
-        ]
-    )
+    cells = [
+        F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
+        if f.name in have
+        else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in like.schema.fields
+    ]
+    return df.select(*cells, *extra)
 
 
 def merge_frames(
@@ -77,14 +76,10 @@ def merge_frames(
     rest = [c for c in names if c not in keys]
     fed = [c for c in rest if c in incoming.columns]
 
-    def staged(df: DataFrame, order: Column, has: Column, own: bool) -> DataFrame:
-        body = _padded(df.select(*[c for c in names if c in df.columns], order.alias("_seq"), has.alias("_has")),
-                       target.withColumns({"_seq": F.lit(0).cast("bigint"), "_has": F.array(F.lit(""))}))
-        return body.withColumn("_own", F.lit(own))
-
     has = F.col(f"`{presence}`") if presence else F.array(*[F.lit(c) for c in fed])
-    both = staged(target, F.lit(-1).cast("bigint"), F.array(*[F.lit(c) for c in rest]), True).unionByName(
-        staged(incoming, F.col(f"`{seq}`").cast("bigint"), has, False)
+    own = F.array(*[F.lit(c) for c in rest])
+    both = _padded(target, target, F.lit(-1).cast("bigint").alias("_seq"), own.alias("_has")).unionByName(
+        _padded(incoming, target, F.col(f"`{seq}`").cast("bigint").alias("_seq"), has.alias("_has"))
     )
     grouped = both.groupBy(*_keys(keys))
     row = F.struct(*[F.col(f"`{c}`") for c in rest])

@@ -37,6 +37,7 @@ def stream_ingest(
     # Only paths are asked for, so the files are listed here but read in the batch.
     arrivals = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(directory)
         .select(F.col("path").alias("file"))
