@@ -204,12 +204,16 @@ def map_last_wins(keys: Column, values: Column) -> Column:
     )
 
 
-def parse_record(text: Column) -> Column:
-    """JSON object text to ``map<string,variant>``; NULL for any other text.
+def parse_wrapped(text: Column) -> Column:
+    """Text to ``array<map<string,variant>>``: one element if it is a JSON object.
 
     The parser stops after the first value, so the text is read as the only
     element of an array: anything behind the object then is malformed too.
     """
-    body = F.rtrim(text)
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>")
-    return F.when(body.endswith("}"), F.when(F.size(wrapped) == 1, wrapped[0]))
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>")
+    return F.when(F.rtrim(text).endswith("}"), parsed)
+
+
+def only_record(wrapped: Column) -> Column:
+    """The record of :func:`parse_wrapped`, NULL for any text that is no object."""
+    return F.when(F.size(wrapped) == 1, wrapped[0])

@@ -58,8 +58,11 @@ class FilterCompiler:
         name, body = next(iter(query.items()))
         if name not in self.clauses:
             raise ValueError(f"unknown clause: {name}")
-        # Missing values match nothing, also below a negation.
-        return F.coalesce(self.clauses[name](body), F.lit(False))
+        return self.clauses[name](body)
+
+    def strict(self, query: dict) -> Column:
+        """Never NULL: a missing value does not match, hence is kept by a negation."""
+        return F.coalesce(self.compile(query), F.lit(False))
 
     def field(self, name: str) -> Column:
         if name.split(".")[0] not in self.types:
@@ -151,12 +154,12 @@ class FilterCompiler:
             raise ValueError(f"unknown part of bool: {', '.join(sorted(extra))}")
         listed = lambda key: body[key] if isinstance(body.get(key), list) else [body[key]] if key in body else []
         required = [self.compile(q) for q in [*listed("must"), *listed("filter")]]
-        optional = [self.compile(q) for q in listed("should")]
-        refused = [self.compile(q) for q in listed("must_not")]
+        optional = [self.strict(q) for q in listed("should")]
+        refused = [self.strict(q) for q in listed("must_not")]
         parts = [*required, *[~q for q in refused]]
         needed = int(body.get("minimum_should_match", 0 if required else 1))
         if optional and needed == 1:
-            parts.append(_any(optional))
+            parts.append(_any([self.compile(q) for q in listed("should")]))
         elif optional and needed > 1:
             parts.append(sum((q.cast("int") for q in optional), F.lit(0)) >= needed)
         return _all(parts)

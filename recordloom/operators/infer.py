@@ -27,7 +27,7 @@ def infer_value_type(v: Column, k: Column | None = None, t: Column | None = None
     k = code(v) if k is None else k
     t = as_text(v) if t is None else t
     number = t.try_cast("double")
-    whole = number == F.floor(number)
+    whole = number == F.rint(number)
     safe = F.abs(number) <= MAX_SAFE_INTEGER
     dated = t.rlike(ISO_DATE_TIME_PREFIX) | t.rlike(ISO_DATE)
     return (

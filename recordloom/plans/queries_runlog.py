@@ -167,10 +167,10 @@ VARIABLES = "array<struct<name:string,default_value:string>>"
 SELECT p_partkey, '2026-01-02' AS today, '03:04:05' AS now, '1767323045' AS stamp, p_name AS a, 'user' AS b, p_type AS c, '' AS d FROM part""")
 def template_vars(spark, sf):
     p = table(spark, sf, "part")
+    one = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("default_value"))
     template = F.array(
-        F.struct(F.lit("A").alias("name"), F.col("p_name").alias("default_value")),
-        F.struct(F.lit("B"), F.lit("template")), F.struct(F.lit("C"), F.lit("template")),
-        F.struct(F.lit("D"), F.lit(None).cast("string")),
+        one("A", F.col("p_name")), one("B", F.lit("template")), one("C", F.lit("template")),
+        one("D", F.lit(None).cast("string")),
     ).cast(VARIABLES)
     step = F.array(F.struct(F.lit("C").alias("name"), F.col("p_type").alias("default_value"))).cast(VARIABLES)
     merged = jobs.step_variables(template, {"B": "user", "C": "user"}, step, NOW)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions.values import as_text, code, map_last_wins, parse_record
+from recordloom.functions.values import as_text, code, map_last_wins, only_record, parse_wrapped
 from recordloom.sources.lines import barrier, is_blank, pin, read_lines
 
 META = ["file", "line_no", "row_idx"]
@@ -29,15 +29,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     A filter on the result never parses a line twice, see :func:`barrier`.
     """
-    parsed = parse_record(F.col("value"))
-    repeated = F.size(F.array_distinct(F.map_keys(F.col("rec0")))) != F.size(F.col("rec0"))
-    unique = F.when(
-        repeated, map_last_wins(F.map_keys(F.col("rec0")), F.map_values(F.col("rec0")))
-    ).otherwise(F.col("rec0"))
-    message = F.when(
-        F.col("rec0").isNull(), line_error(F.col("line_no"), " is not a JSON object")
-    )
-    staged = lines.filter(~is_blank(F.col("value"))).select("file", "line_no", parsed.alias("rec0"))
+    rec0 = F.col("rec0")
+    repeated = F.size(F.array_distinct(F.map_keys(rec0))) != F.size(rec0)
+    unique = F.when(repeated, map_last_wins(F.map_keys(rec0), F.map_values(rec0))).otherwise(rec0)
+    message = F.when(rec0.isNull(), line_error(F.col("line_no"), " is not a JSON object"))
+    # Each step refers to the one before more than once, which keeps them apart.
+    staged = lines.filter(~is_blank(F.col("value"))).select(
+        "file", "line_no", parse_wrapped(F.col("value")).alias("wrapped")
+    )
+    staged = staged.select("file", "line_no", only_record(F.col("wrapped")).alias("rec0"))
     staged = staged.select(
         "file", "line_no", F.lit(0).alias("row_idx"), unique.alias("rec"), message.alias("error")
     )
