@@ -26,6 +26,7 @@ from recordloom.functions.values import (
     json_text,
     kind_of,
     millis_timestamp,
+    staged_text,
     string_of,
     text_timestamp,
     value_number,
@@ -180,21 +181,32 @@ class Val:
         return Val(self.col, self.form, both, self.k, self.t)
 
 
-def with_values(records: DataFrame, keys: list[str], keep: list[str]) -> tuple[DataFrame, dict[str, Val]]:
-    """``keep`` plus the values of ``keys`` with their codes and texts as columns of their own.
+def find_values(records: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` plus the value of each of ``keys`` as a column ``v0, v1, ...``."""
+    found = [F.try_element_at("rec", F.lit(k)).alias(f"v{i}") for i, k in enumerate(keys)]
+    return records.select(*keep, *found)
 
-    The conversions of the returned values then refer to finished columns.
-    """
+
+def type_values(found: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[str, Val]]:
+    """Codes and texts of found values; conversions then refer to finished columns."""
     at = range(len(keys))
-    found = records.select(*keep, *[F.try_element_at("rec", F.lit(k)).alias(f"v{i}") for i, k in enumerate(keys)])
-    staged = found.select(
+    typed = found.select(
         "*",
         *[code(F.col(f"v{i}")).alias(f"k{i}") for i in at],
-        *[as_text(F.col(f"v{i}")).alias(f"t{i}") for i in at],
+        *[json_text(F.col(f"v{i}")).alias(f"j{i}") for i in at],
+    )
+    staged = typed.select(
+        *found.columns,
+        *[f"k{i}" for i in at],
+        *[staged_text(F.col(f"v{i}"), F.col(f"k{i}"), F.col(f"j{i}")).alias(f"t{i}") for i in at],
     )
     return staged, {k: Val(F.col(f"v{i}"), k=F.col(f"k{i}"), t=F.col(f"t{i}")) for i, k in enumerate(keys)}
 
 
+def with_values(records: DataFrame, keys: list[str], keep: list[str]) -> tuple[DataFrame, dict[str, Val]]:
+    return type_values(find_values(records, keys, keep), keys)
+
+
 def failure_text(column: str, source: str | Column, target: str, detail: str) -> Column:
     label = F.lit(source or "unknown") if isinstance(source, str) else source
     return F.concat(F.lit(f"column {column}: "), label, F.lit(f" -> {target or 'unknown'}: {detail}"))

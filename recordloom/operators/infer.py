@@ -11,6 +11,7 @@ from recordloom.functions.values import (
     MAX_SAFE_INTEGER,
     as_text,
     code,
+    staged_text,
 )
 from recordloom.operators.project import NAME_BITS
 from recordloom.sources.records import META
@@ -84,7 +85,9 @@ def infer_schema(records: DataFrame) -> DataFrame:
     cells = good.select(
         "file", "line_no", F.posexplode(F.concat(itself, F.map_entries("rec"))).alias("pos", "e")
     ).select("file", "line_no", "pos", F.col("e.key").alias("name"), F.col("e.value").alias("v"))
-    typed = cells.select("file", "line_no", "pos", "name", code(F.col("v")).alias("k"), as_text(F.col("v")).alias("t"))
+    coded = cells.select("*", code(F.col("v")).alias("k"), F.to_json("v").alias("j"))
+    text = staged_text(F.col("v"), F.col("k"), F.col("j"))
+    typed = coded.select("file", "line_no", "pos", "name", "k", text.alias("t"))
     rank = _rank(infer_value_type(None, F.col("k"), F.col("t")))
     ranked = typed.select(
         "file",

@@ -12,21 +12,21 @@ class RowError(ValueError):
     """The first bad row of an import that must not continue."""
 
 
-def unknown_names(columns: list[str], rec: str = "rec") -> Column:
+def unknown_names(columns: list[str], rec: str | Column = "rec") -> Column:
     return F.array_except(F.map_keys(rec), F.array(*[F.lit(c) for c in columns]))
 
 
+def column_error(what: str, names: Column) -> Column:
+    return F.concat(
+        F.lit("line "), F.col("line_no").cast("string"), F.lit(f" {what}: "), F.array_join(names, ", ")
+    )
+
+
 def reject_unknown_columns(records: DataFrame, columns: list[str]) -> DataFrame:
     """Set ``error`` on records with keys the target does not have."""
     extra = unknown_names(columns)
-    message = F.concat(
-        F.lit("line "), F.col("line_no").cast("string"), F.lit(" has columns the target lacks: "),
-        F.array_join(extra, ", "),
-    )
-    return records.withColumn(
-        "error",
-        F.when(F.col("error").isNull() & (F.size(extra) > 0), message).otherwise(F.col("error")),
-    )
+    found = F.when(F.size(extra) > 0, column_error("has columns the target lacks", extra))
+    return records.withColumn("error", F.coalesce(F.col("error"), found))
 
 
 def first_failure(records: DataFrame) -> DataFrame:

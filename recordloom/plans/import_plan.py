@@ -14,13 +14,14 @@ from recordloom.functions.convert import (
     check_rules,
     convert_column,
     family,
+    find_values,
     spark_type,
-    with_values,
+    type_values,
 )
 from recordloom.functions.engines import hive_value
 from recordloom.functions.values import code_is_missing, kind_of
 from recordloom.operators.project import missing_columns, require_columns
-from recordloom.operators.quality import fail_fast, reject_unknown_columns, split_good
+from recordloom.operators.quality import column_error, fail_fast, split_good, unknown_names
 from recordloom.sources.lines import barrier
 from recordloom.sources.records import META
 
@@ -53,23 +54,24 @@ class ImportSpec:
         return {name: feeds[name] for name in self.targets if name in feeds}
 
 
-def _with_record_errors(records: DataFrame, spec: ImportSpec) -> DataFrame:
+def _record_checks(records: DataFrame, spec: ImportSpec, present: Column) -> DataFrame:
+    """Set ``error`` on records with unknown keys or without the keys of a rule.
+
+    ``present`` counts the wanted keys a record has.  Where that is all of its
+    keys, none is unknown and the names are not looked at.
+    """
     known = list(dict.fromkeys([*spec.targets, *[r.source for r in spec.rules]]))
-    checked = reject_unknown_columns(records, known)
-    # A missing selected column stops the import even when bad rows are skipped.
-    checked = require_columns(checked, spec.selected, raising=True)
+    suspicious = F.when(F.size("rec") != present, F.col("rec"))
+    extra = unknown_names(known, suspicious)
+    found = F.when(F.size(extra) > 0, column_error("has columns the target lacks", extra))
+    error = F.coalesce(F.col("error"), found)
     needed = [r.source for r in spec.rules]
     if needed:
         absent = missing_columns(needed)
-        message = F.concat(
-            F.lit("line "), F.col("line_no").cast("string"), F.lit(" lacks columns to convert: "),
-            F.array_join(absent, ", "),
+        error = F.coalesce(
+            error, F.when(F.size(absent) > 0, column_error("lacks columns to convert", absent))
         )
-        checked = checked.withColumn(
-            "error",
-            F.when(F.col("error").isNull() & (F.size(absent) > 0), message).otherwise(F.col("error")),
-        )
-    return checked
+    return records.withColumn("error", error)
 
 
 def _value(spec: ImportSpec, column: str, source: Val, rule: FieldRule | None) -> Val:
@@ -93,9 +95,12 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
     which only rows that lost a value ever compute.
     """
     feeds = spec.sources()
-    checked = _with_record_errors(records, spec)
+    # A missing selected column stops the import even when bad rows are skipped.
+    checked = require_columns(records, spec.selected, raising=True)
     keys = list(dict.fromkeys(source for source, _ in feeds.values()))
-    staged, found = with_values(checked, keys, [*META, "error"])
+    looked = find_values(checked, keys, [*META, "error", "rec"])
+    present = sum((F.col(f"v{i}").isNotNull().cast("int") for i in range(len(keys))), F.lit(0))
+    staged, found = type_values(_record_checks(looked, spec, present).drop("rec"), keys)
     codes = [found[source].k for source, _ in feeds.values()]
 
     outputs, lost = {}, None
@@ -108,8 +113,9 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
         lost = F.when(gone, F.lit(i)) if lost is None else lost.when(gone, F.lit(i))
         if column not in plain:
             special[i] = val
-    # The inputs stay next to the outputs only until the messages are made.
-    staged = staged.select("*", *[c.alias(n) for n, c in outputs.items()])
+    # Only what the messages need stays next to the outputs.
+    kept = staged.columns if special else [*META, "error", *[f"k{i}" for i in range(len(keys))]]
+    staged = staged.select(*kept, *[c.alias(n) for n, c in outputs.items()])
     staged = staged.withColumn("lost", F.when(F.col("error").isNull(), lost))
 
     def by_column(texts: list[str]) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# The JVM never compiles methods beyond this size.  With the limit, Spark drops whole-stage code
+# that would be interpreted (conversions of wide tables) for projections that are split up.
+HUGE_METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
+HUGE_METHOD_LIMIT = "8000"
+
 
 def build_session(app: str = "recordloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
@@ -25,12 +30,19 @@ def build_session(app: str = "recordloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        HUGE_METHOD_CONF: HUGE_METHOD_LIMIT,
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the plans profit from, for a session that was built elsewhere."""
+    spark.conf.set(HUGE_METHOD_CONF, HUGE_METHOD_LIMIT)
+    return spark
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -30,8 +30,6 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A filter on the result never parses a line twice, see :func:`barrier`.
     """
     rec0 = F.col("rec0")
-    repeated = F.size(F.array_distinct(F.map_keys(rec0))) != F.size(rec0)
-    unique = F.when(repeated, map_last_wins(F.map_keys(rec0), F.map_values(rec0))).otherwise(rec0)
     message = F.when(rec0.isNull(), line_error(F.col("line_no"), " is not a JSON object"))
     # Each step refers to the one before more than once, which keeps them apart.
     staged = lines.filter(~is_blank(F.col("value"))).select(
@@ -39,7 +37,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
     staged = staged.select("file", "line_no", only_record(F.col("wrapped")).alias("rec0"))
     staged = staged.select(
-        "file", "line_no", F.lit(0).alias("row_idx"), unique.alias("rec"), message.alias("error")
+        "file", "line_no", F.lit(0).alias("row_idx"), rec0.alias("rec"), message.alias("error")
     )
     return barrier(staged, "rec", "error")
 
@@ -65,12 +63,16 @@ def expand_envelopes(records: DataFrame, detect: str = "both") -> DataFrame:
     else:
         raise ValueError(f"unknown detection: {detect}")
     envelope = F.coalesce(envelope, F.lit(False))
-    env = F.when(envelope, F.struct(cols_arr.alias("c"), rows_arr.alias("r")))
+    names = F.try_variant_get(columns, "$", "array<string>")
+    # The schema text of an array says whether all its elements are strings.
+    all_text = (F.schema_of_variant(columns) == "ARRAY<STRING>") | (F.size(cols_arr) == 0)
+    env = F.when(
+        envelope, F.struct(F.when(all_text, names).alias("names"), rows_arr.alias("r"))
+    )
     staged = records.select(*META, "rec", "error", env.alias("env"))
 
-    cols, body = F.col("env.c"), F.col("env.r")
-    all_text = F.coalesce(F.forall(cols, lambda c: code(c) == "STR"), F.lit(False))
-    staged = staged.withColumn("names", F.when(all_text, F.transform(cols, as_text)))
+    staged = staged.select(*META, "rec", "error", "env", "env.names")
+    body = F.col("env.r")
     is_env = F.col("env").isNotNull()
     whole_line_error = F.when(F.col("error").isNotNull(), F.col("error")).when(
         is_env,
