@@ -207,7 +207,7 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
 def direct_copy(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").withColumn("seq", F.col("o_orderkey"))
     path = scratch(spark, "copied")
-    sink.direct_copy(o.filter("o_custkey < 500"), path, ["o_orderkey"], "seq")
+    sink.direct_copy(o.filter("o_totalprice > 250000"), path, ["o_orderkey"], "seq")
     sink.direct_copy(o, path, ["o_orderkey"], "seq", existing=spark.read.parquet(path))
     return spark.read.parquet(path)
 

@@ -31,6 +31,8 @@ def build_session(app: str = "recordloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         HUGE_METHOD_CONF: HUGE_METHOD_LIMIT,
+        # Rounds of an iteration leave no files behind once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -38,8 +40,9 @@ def build_session(app: str = "recordloom", master: str | None = None, **conf: st
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Settings the plans profit from, for a session that was built elsewhere."""
+    """Settings the registered queries rely on, for a session that was built elsewhere."""
     spark.conf.set(HUGE_METHOD_CONF, HUGE_METHOD_LIMIT)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

@@ -270,3 +270,28 @@ def test_progress_observation(spark, records):
     df, seen = flows.with_progress(convert_records(records(['{"id":1}', '{"id":"x"}']), ImportSpec({"id": "int"})))
     df.count()
     assert seen.get == {"seen": 2, "skipped": 1, "lines": 2}
+
+
+def test_hot_key_is_combined_before_the_shuffle(spark):
+    """A key with most of the rows leaves one row per task for the exchange."""
+    incoming = spark.range(0, 4000, numPartitions=8).select(
+        F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(7).alias("k"), F.col("id").alias("v"), F.col("id").alias("seq"))
+    target = spark.createDataFrame([(7, -1), (8, -2)], "k bigint, v bigint")
+    merged = {r.k: r.v for r in conflicts.merge_frames(target, incoming, ["k"], "overwrite", "seq").collect()}
+    assert merged[7] == 3999 and merged[8] == 8 and len(merged) == 1001
+    plan = conflicts.merge_frames(target, incoming, ["k"], "skip", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_inference_shuffles_long_buffers_only(spark, records):
+    from recordloom.operators import infer
+
+    plan = infer.infer_schema(records(['{"a":1}']))._jdf.queryExecution().executedPlan().toString()
+    first = [line for line in plan.splitlines() if "partial_count(1)" in line][0]
+    assert "HashAggregate" in first and "SortAggregate" not in first
+
+
+def test_registry_is_complete():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) == set(entry.queries())
