@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm.mixing import mix_sources
+from recordloom.llm.rules import apply_rules, fit_rules
 from recordloom.llm.tables import Query, table
 
 
@@ -12,7 +13,13 @@ def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
 
 
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return apply_rules(docs, fit_rules(docs, table(spark, sf, "labels")), ["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
+    "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
 }
 ORACLES: dict[str, str] = {}

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 1000
 #: Bytes whose hashes are summed at once.
 HASH_BYTES = 2 << 20
 
@@ -139,12 +140,13 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts together stay near `most` bytes; every row is in exactly one."""
+    """Runs of at most SLICE_ROWS rows whose texts together stay near `most` bytes; every row is in exactly one."""
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        upto = min(upto, at + SLICE_ROWS)
         yield batch.slice(at, upto - at)
         at = upto
