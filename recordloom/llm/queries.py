@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm.mixing import mix_sources
+from recordloom.llm.near_dup import near_duplicates
 from recordloom.llm.rules import apply_rules, fit_rules
 from recordloom.llm.tables import Query, table
 
@@ -18,7 +19,12 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, table(spark, sf, "labels")), ["doc_id"])
 
 
+def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Query] = {
+    "op10_near_dedup": op10_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
 }
