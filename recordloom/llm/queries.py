@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordloom.llm.bpe import digests, encode_documents, vocabulary_path
 from recordloom.llm.mixing import mix_sources
 from recordloom.llm.near_dup import near_duplicates
 from recordloom.llm.rules import apply_rules, fit_rules
@@ -19,11 +20,16 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, table(spark, sf, "labels")), ["doc_id"])
 
 
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return digests(encode_documents(table(spark, sf, "documents"), *vocabulary_path(), ["doc_id"]), ["doc_id"])
+
+
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), shingle=2)
 
 
 QUERIES: dict[str, Query] = {
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
