@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm.bpe import digests, encode_documents, vocabulary_path
+from recordloom.llm.language import fit_profiles, held_out, identify
 from recordloom.llm.mixing import mix_sources
 from recordloom.llm.near_dup import near_duplicates
 from recordloom.llm.rules import apply_rules, fit_rules
@@ -20,6 +21,11 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, table(spark, sf, "labels")), ["doc_id"])
 
 
+def op5_language_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return identify(docs, fit_profiles(docs.filter(~held_out())), ["doc_id", held_out().alias("held_out")])
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return digests(encode_documents(table(spark, sf, "documents"), *vocabulary_path(), ["doc_id"]), ["doc_id"])
 
@@ -29,6 +35,7 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_language_profiles": op5_language_profiles,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
     "op4_quality_rules": op4_quality_rules,
