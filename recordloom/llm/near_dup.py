@@ -22,7 +22,7 @@ BASE, RATE, TOP = 1.002, 20.0, 65535
 #: A pair goes to verification unless its likelihood at the threshold is this much (natural log) below its best: 5 sigma.
 SLACK = 12.5
 #: Documents of a block when stragglers are compared.
-BLOCK = 256
+BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FLIP = _rng.integers(0, 2**64, REGISTERS, dtype=np.uint64)
