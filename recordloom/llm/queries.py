@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.bpe import digests, encode_documents, vocabulary_path
 from recordloom.llm.chat import by_conversation, canonical_turns, format_turns, read_back
+from recordloom.llm.edit_prints import fingerprint_documents
 from recordloom.llm.language import fit_profiles, held_out, identify
 from recordloom.llm.mixing import mix_sources
 from recordloom.llm.near_dup import near_duplicates
@@ -46,6 +47,10 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return digests(encode_documents(table(spark, sf, "documents"), *vocabulary_path(), ["doc_id"]), ["doc_id"])
 
 
+def op9_edit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), shingle=2)
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op5_language_profiles": op5_language_profiles,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_near_dedup": op10_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
