@@ -12,6 +12,7 @@ from recordloom.llm.language import fit_profiles, held_out, identify
 from recordloom.llm.mixing import mix_sources
 from recordloom.llm.near_dup import near_duplicates
 from recordloom.llm.rules import apply_rules, fit_rules
+from recordloom.llm.suffix_tree import score_documents
 from recordloom.llm.tables import Query, table
 
 
@@ -19,6 +20,10 @@ def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
 
 
+def op3_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return score_documents(table(spark, sf, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return apply_rules(docs, fit_rules(docs, table(spark, sf, "labels")), ["doc_id"])
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_near_dedup": op10_near_dedup,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
 }
