@@ -14,6 +14,7 @@ from recordloom.llm.near_dup import near_duplicates
 from recordloom.llm.rules import apply_rules, fit_rules
 from recordloom.llm.suffix_tree import score_documents
 from recordloom.llm.tables import Query, table
+from recordloom.llm.wrapper import extract_main_text
 
 
 def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op5_language_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return identify(docs, fit_profiles(docs.filter(~held_out())), ["doc_id", held_out().alias("held_out")])
 
 
+def op6_wrapper_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_main_text(table(spark, sf, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return digests(encode_documents(table(spark, sf, "documents"), *vocabulary_path(), ["doc_id"]), ["doc_id"])
 
@@ -63,6 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op5_language_profiles": op5_language_profiles,
+    "op6_wrapper_text": op6_wrapper_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_near_dedup": op10_near_dedup,
