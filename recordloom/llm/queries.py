@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.bpe import digests, encode_documents, vocabulary_path
 from recordloom.llm.chat import by_conversation, canonical_turns, format_turns, read_back
+from recordloom.llm.cotrain import score_quality
 from recordloom.llm.edit_prints import fingerprint_documents
 from recordloom.llm.language import fit_profiles, held_out, identify
 from recordloom.llm.mixing import mix_sources
@@ -21,6 +22,10 @@ def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
 
 
+def op2_cotrained_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("_key")
+
+
 def op3_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_near_dedup": op10_near_dedup,
+    "op2_cotrained_quality": op2_cotrained_quality,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
