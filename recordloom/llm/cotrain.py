@@ -76,6 +76,15 @@ TEXT_DIM = 11 + SHAPES
 META_DIM = LANGS + SOURCES + 3
 
 
+def _meta() -> dict[str, Column]:
+    """What the metadata view reads: hashes of lang and source, and n_chars."""
+
+    def hashed(name: str) -> Column:
+        return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("\0"))).bitwiseAND(F.lit(2**62 - 1))
+
+    return {"lang_hash": hashed("lang"), "source_hash": hashed("source"), "chars": F.col("n_chars").cast("double")}
+
+
 def meta_view(part: pa.RecordBatch) -> np.ndarray:
     """Features of lang, source and n_chars (nulls are values of their own); the text is not looked at."""
     n = part.num_rows
@@ -83,7 +92,7 @@ def meta_view(part: pa.RecordBatch) -> np.ndarray:
     lang, source = (part.column(c).to_numpy(zero_copy_only=False).astype(np.uint64) for c in ("lang_hash", "source_hash"))
     out[np.arange(n), (lang % np.uint64(LANGS)).astype(int)] = 1
     out[np.arange(n), LANGS + (source % np.uint64(SOURCES)).astype(int)] = 1
-    chars = part.column("n_chars").to_numpy(zero_copy_only=False).astype(float)
+    chars = part.column("chars").to_numpy(zero_copy_only=False).astype(float)
     known = np.isfinite(chars) & (chars >= 0)
     size = np.log1p(np.where(known, chars, 0)) / 10
     out[:, -3], out[:, -2], out[:, -1] = np.where(known, size, 0), np.where(known, size * size, 0), ~known
@@ -103,13 +112,7 @@ def _views(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("_id"), F.col("_lo").cast("double").alias("y"))
     )
 
-    def hashed(name: str) -> Column:
-        return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("\0"))).bitwiseAND(F.lit(2**62 - 1))
-
-    given = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("double").alias("n_chars"),
-        hashed("lang").alias("lang_hash"), hashed("source").alias("source_hash"), F.xxhash64("doc_id", "text").alias("_key"),
-    )
+    given = docs.select("doc_id", "text", *[c.alias(n) for n, c in _meta().items()], F.xxhash64("doc_id", "text").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +140,7 @@ def _probability(x: np.ndarray, model: dict) -> np.ndarray:
     return sigmoid(model["a"] * _decision(x, model) + model["b"])
 
 
-def _summed(rows: DataFrame, emit, label: str) -> dict[str, np.ndarray]:
+def _summed(rows: DataFrame, emit) -> dict[str, np.ndarray]:
     """Sums over all rows of the vectors that `emit` makes of a batch, added by name and place: each task sends one vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def _fit_views(rows: DataFrame, models: dict | None) -> dict | None:
             out[name] = np.concatenate([[len(x)], x.sum(0), (x * x).sum(0), four])
         return out
 
-    first = _summed(rows, shape, "shape")
+    first = _summed(rows, shape)
     if not first:
         return None
     made, scale = {}, {}
@@ -215,7 +218,7 @@ def _fit_views(rows: DataFrame, models: dict | None) -> dict | None:
                 out[name] = np.concatenate([x.T @ (weight * (p - y)), (x.T @ (x * h[:, None])).ravel()])
             return out
 
-        sums = _summed(rows, curve, "curve")
+        sums = _summed(rows, curve)
         for name, dim in VIEWS:
             m, s = made[name], sums[name]
             ridge = np.append(np.full(dim, RIDGE), 1e-9)
@@ -237,7 +240,7 @@ def _calibrated(rows: DataFrame, models: dict) -> dict:
         return out
 
     middle = 8 * np.arctanh((np.arange(BINS) + 0.5) / BINS * 2 - 1)
-    for name, count in _summed(rows, bins, "bins").items():
+    for name, count in _summed(rows, bins).items():
         z, y = np.repeat(middle, 2), np.tile([0.0, 1.0], BINS)
         if count.sum():
             models[name]["a"], models[name]["b"] = fit_platt(z, y, count)
@@ -245,6 +248,45 @@ def _calibrated(rows: DataFrame, models: dict) -> dict:
     return models
 
 
+def fit_cotrained(rows: DataFrame, rounds: int) -> dict | None:
+    models = None
+    for _ in range(rounds + 1):
+        models = _fit_views(rows, models)
+        if models is None:
+            return None
+    return models
+
+
+def combined(views: list[np.ndarray], models: dict) -> list[np.ndarray]:
+    """The calibrated probability of each view, and that of both."""
+    p = [np.clip(_probability(x, models[name]), 1e-9, 1 - 1e-9) for x, (name, _) in zip(views, VIEWS, strict=True)]
+    prior = models["text_view"].get("prior", 0.5)
+    return [*p, sigmoid(sum(np.log(x / (1 - x)) for x in p) - np.log(prior / (1 - prior)))]
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose combined score reaches the threshold.
+
+    The models are fitted as in `score_quality`; then the rows are scored where they are read, so no text is shuffled.
+    """
+    rows = cut_lineage(_views(docs, labels))
+    models = fit_cotrained(rows, rounds)
+    if models is None:
+        return docs
+    mark = "_" * (1 + max(map(len, docs.columns)))
+    width = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [n.removeprefix(mark) for n in batch.schema.names]
+            for part in slices(batch):
+                own = pa.RecordBatch.from_arrays([part.column("text"), *part.columns[width:]], ["text", *names[width:]])
+                score = combined([text_view(own), meta_view(own)], models)[-1]
+                yield part.select(range(width)).filter(pa.array(score >= threshold))
+
+    return docs.select("*", *[c.alias(mark + n) for n, c in _meta().items()]).mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     """Per row of `docs`: doc_id, text_score, meta_score, score, kept, and _key (a hash of doc_id and text).
 
@@ -257,23 +299,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ro
     hundred bytes in the shared folder, cover all of them, and bring only sums to the driver.
     """
     rows = cut_lineage(_views(docs, labels))
-    models = None
-    for _ in range(rounds + 1):
-        models = _fit_views(rows, models)
-        if models is None:
-            return rows.select(
-                "doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("kept"), "_key"
-            )
-    prior = models["text_view"].get("prior", 0.5)
+    models = fit_cotrained(rows, rounds)
+    if models is None:
+        return rows.select(
+            "doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("kept"), "_key"
+        )
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = [np.clip(_probability(_matrix(batch.column(name), dim), models[name]), 1e-9, 1 - 1e-9) for name, dim in VIEWS]
-            odds = sum(np.log(x / (1 - x)) for x in p) - np.log(prior / (1 - prior))
-            score = sigmoid(odds)
+            *p, score = combined([_matrix(batch.column(name), dim) for name, dim in VIEWS], models)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p[0]), pa.array(p[1]), pa.array(score), pa.array(score >= threshold), batch.column("_key")],
                 ["doc_id", "text_score", "meta_score", "score", "kept", "_key"],

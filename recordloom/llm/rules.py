@@ -173,6 +173,30 @@ SCHEMA = (
 )
 
 
+def judged(column: pa.Array, model: RuleModel | None) -> tuple[dict[str, np.ndarray], np.ndarray, pa.Array, np.ndarray]:
+    """The counts, whether the counted rules fail, the probability (null without a model) and whether the text is kept."""
+    texts = texts_of(column)
+    words = texts.words()
+    counts = rule_counts(texts, words)
+    n, again = counts["n_words"], counts["n_repeat_words"]
+    failed = (n < 20) | (100 * again > 30 * n)
+    if model is None:
+        return counts, failed, pa.nulls(len(n), pa.float64()), ~failed
+    p = model.probability(ngram_features(texts, words)).astype(float)
+    return counts, failed, pa.array(p), ~failed & (p >= model.threshold)
+
+
+def keep_by_rules(docs: DataFrame, model: RuleModel | None) -> DataFrame:
+    """The rows of `docs` that `apply_rules` keeps, with all their columns; no row is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(judged(part.column("text"), model)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def apply_rules(docs: DataFrame, model: RuleModel | None, keep: list[str]) -> DataFrame:
     """Columns `keep` of `docs` with the counts of the rules, `base_failed`, the calibrated `quality` and `kept`.
 
@@ -187,16 +211,7 @@ def apply_rules(docs: DataFrame, model: RuleModel | None, keep: list[str]) -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = texts_of(part.column("text"))
-                words = texts.words()
-                counts = rule_counts(texts, words)
-                n, again = counts["n_words"], counts["n_repeat_words"]
-                failed = (n < 20) | (100 * again > 30 * n)
-                if model is None:
-                    quality, kept = pa.nulls(len(n), pa.float64()), ~failed
-                else:
-                    p = model.probability(ngram_features(texts, words)).astype(float)
-                    quality, kept = pa.array(p), ~failed & (p >= model.threshold)
+                counts, failed, quality, kept = judged(part.column("text"), model)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [pa.array(v.astype(np.int64)) for v in counts.values()] + [pa.array(failed), quality, pa.array(kept)],
                     [*keep, *counts, "base_failed", "quality", "kept"],
