@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.words import mix, slices, texts_of
-from recordloom.operators.runlog import connected_components
 from recordloom.session import cut_lineage
 
 #: Registers; bands of ROWS registers each. At similarity 0.8 a pair misses all bands with probability 5e-8.
@@ -21,6 +20,10 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.002, 20.0, 65535
 #: A pair goes to verification unless its likelihood at the threshold is this much (natural log) below its best: 5 sigma.
 SLACK = 12.5
+#: Bits of the filter for the texts that are read a second time: a fixed 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+#: Links that one task closes; while there are more, rounds of contraction go on.
+SMALL = 200_000
 #: Documents of a block when stragglers are compared.
 BLOCK = 1024
 
@@ -142,7 +145,22 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                     ["node", "n", "elements"],
                 )
 
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    spot = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = nodes.select(F.xxhash64("doc").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot")).groupBy(F.expr("spot >> 6").alias("word"))
+    on = bits.agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[on["word"].to_numpy(np.int64)] = on["bits"].to_numpy(np.int64).view(np.uint64)
+    table = docs.sparkSession.sparkContext.broadcast(table)
+
+    def likely_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_spot").to_numpy().astype(np.int64)
+            hit = table.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select(["_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    # A filter of fixed size spares most texts the shuffle; the join decides.
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("_id"), "text", spot.alias("_spot")).mapInArrow(likely_in, f"_id {kind}, text string")
     found = texts.join(nodes, F.expr("_id <=> doc")).select("node", "digest", "text")
     sets = found.mapInArrow(run, "node long, n long, elements binary")
     # A doc_id that rows repeat gives its set as often; one is enough.
@@ -217,6 +235,54 @@ def _block_links(percent: int):
     return lambda key, left, right: run(left.rename(columns=lambda c: c.removeprefix("lone_")), right)
 
 
+def _closed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every node of a few links with the smallest node that it reaches."""
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            over.setdefault(u, u)
+            over.setdefault(v, v)
+            a, b = top(u), top(v)
+            over[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": np.array(list(over), np.int64), "root": np.array([top(x) for x in over], np.int64)})
+
+
+def classes_of(edges: DataFrame) -> DataFrame:
+    """`(id, root)` for every node of `edges(u, v)`: nodes that links connect have one root, which is one of them.
+
+    Each round every node joins its neighbour of lowest rank (or stays), and the graph shrinks to the nodes joined to. Ranks are ids at
+    first, which closes stars around a smallest node at once, then a new hash in every round, so that of any chain a
+    share goes in each: the rounds grow with the logarithm of the longest. Minima are partial aggregates. Once no more than
+    SMALL links (two numbers each) are left, one task closes them.
+    """
+    left = cut_lineage(edges.filter("u <> v").select("u", "v").distinct())
+    steps: list[DataFrame] = []
+    while left.count() > SMALL:
+        rank = F.xxhash64("v", F.lit(len(steps))) if steps else F.col("v")
+        own = F.xxhash64("u", F.lit(len(steps))) if steps else F.col("u")
+        both = left.union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.min(F.struct(rank.alias("rank"), F.col("v").alias("v"))).alias("m"))
+        joined = cut_lineage(
+            lowest.select(F.col("u").alias("id"), F.when(F.col("m.rank") < own, F.col("m.v")).otherwise(F.col("u")).alias("root"))
+        )
+        steps.append(joined)
+        to_u, to_v = joined.toDF("u", "ru"), joined.toDF("v", "rv")
+        left = cut_lineage(left.join(to_u, "u").join(to_v, "v").filter("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+    steps.append(cut_lineage(left.coalesce(1).mapInPandas(_closed, "id long, root long")))
+    roots = steps[0]
+    for step in steps[1:]:
+        further = step.toDF("root", "next")
+        roots = roots.join(further, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    return roots
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)`, one row per row of `docs`.
 
@@ -254,7 +320,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = cut_lineage(full_sets(docs, busy.select("node", "doc", "digest"), shingle))
     links = cut_lineage(verified(_likely_pairs(pairs, busy, percent), sets, percent))
 
-    roots = connected_components(links)
+    roots = classes_of(links)
     placed = busy.select("node").join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )
@@ -262,9 +328,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rooted = members.join(placed, "node")
     open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
     spread = rooted.join(open_buckets, "bucket", "left_semi").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    clusters = connected_components(spread).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
-    found = cut_lineage(_straggler_links(clusters, placed, busy, sets, percent))
-    roots = connected_components(links.unionByName(found)).withColumnRenamed("id", "node")
+    clusters = classes_of(spread).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
+    found = cut_lineage(_straggler_links(clusters, placed, busy, sets, percent)).filter("u <> v")
+    roots = classes_of(links.unionByName(found)).withColumnRenamed("id", "node")
 
     labelled = nodes.select("node", "digest", "label").join(roots, "node", "left").select(
         "digest", "label", F.coalesce("root", "node").alias("root")
@@ -296,3 +362,20 @@ def _straggler_links(clusters: DataFrame, placed: DataFrame, busy: DataFrame, se
     keys = ["cluster", "a", "b"]
     left = lone.select(*columns).toDF(*[f"lone_{c}" for c in columns]).groupBy(*[f"lone_{k}" for k in keys])
     return left.cogroup(every.select(*columns).groupBy(*keys)).applyInPandas(_block_links(percent), "u long, v long")
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one stays for each class: that of the smallest doc_id.
+
+    Documents without words stay. Of rows that repeat a kept doc_id one stays, whatever their texts. Rows are joined to
+    the ids that go, or repeat, so all other rows only pass.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    ids = found.groupBy(F.col("doc_id").alias("_keep")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    ids = cut_lineage(ids.filter("NOT _kept OR _rows > 1"))
+    mark = docs.join(ids, F.expr("doc_id <=> _keep"), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = mark.filter("_rows IS NULL").select(*columns)
+    again = mark.filter("_kept AND _rows > 1").select(*columns)
+    # Only rows whose id repeats are grouped; null ids are one id.
+    return once.unionByName(again.dropDuplicates(["doc_id"]))
