@@ -83,6 +83,23 @@ BOOLEAN_NAMES = ("boolean", "bool")
 JSON_NAMES = ("json", "jsonb")
 
 
+# The bits of sized integer types; unsigned types begin at 0.
+INTEGER_BITS = {
+    "tinyint": 8, "smallint": 16, "int2": 16, "mediumint": 24, "integer": 32, "int": 32, "int4": 32, "bigint": 64, "int8": 64,
+}
+
+
+def integer_range(target: str | None) -> tuple[int, int] | None:
+    """Least and largest value of an integer type, None for any other; an unsigned bigint ends with the signed one."""
+    found = re.match(INTEGER_PATTERN, type_name(target))
+    if not found:
+        return None
+    bits = INTEGER_BITS[found[1]]
+    if "unsigned" in type_name(target):
+        return 0, min(2**bits, 2**63) - 1
+    return -(2 ** (bits - 1)), 2 ** (bits - 1) - 1
+
+
 def family(target: str | None) -> str:
     """``string, numeric, boolean, temporal, json`` or ``other``."""
     t = type_name(target)
@@ -335,18 +352,38 @@ COERCIONS: dict[str, tuple[Callable[[Val], Val], str]] = {
 }
 
 
+def misfit_text(target: str | None) -> str:
+    """What is wrong with a value that a target does not accept."""
+    bounds = integer_range(target) if family(target) == "numeric" else None
+    if bounds:
+        return f"not an integer from {bounds[0]} to {bounds[1]}"
+    return COERCIONS.get(family(target), (None, "does not fit the type"))[1]
+
+
 def coerce_value(val: Val, target: str | None, column: str, source: str | Column | None = None) -> Val:
     """Bring a value to the family of ``target``; NULL stays NULL, unknown types pass."""
     step = COERCIONS.get(family(target))
     if step is None:
         return val
-    apply, detail = step
+    apply, detail = step[0], misfit_text(target)
     out = apply(val)
     if source is None:
         source = F.coalesce(kind_of(val.codes), F.lit("null")) if val.form == "variant" else "string"
     there = ~val.missing
     carried = Val(out.col, out.form, val.error, out.k, out.t)
-    return carried.failing(there & out.col.isNull(), failure_text(column, source, target, detail))
+    carried = carried.failing(there & out.col.isNull(), failure_text(column, source, target, detail))
+    bounds = integer_range(target) if family(target) == "numeric" else None
+    if bounds is None:
+        return carried
+    text = out.texts if out.form == "variant" else out.as_text()
+    exact = text.try_cast("decimal(38,10)")
+    # Fractions and values beyond the type are errors, never cut.
+    inside = (exact == F.floor(exact)) & exact.between(*[F.lit(str(b)).cast("decimal(38,0)") for b in bounds])
+    # Texts in other notations (hexadecimal) are accepted as they are.
+    fits = F.coalesce(inside, text.try_cast("double").isNull())
+    wrong = out.col.isNotNull() & ~fits
+    limited = Val(F.when(~wrong, out.col), carried.form, carried.error, None, F.when(~wrong, text) if out.form == "variant" else None)
+    return limited.failing(wrong, failure_text(column, source, target, detail))
 
 
 def convert_column(v: Column | Val, column: str, rule: FieldRule | None, target_type: str | None) -> Val:

@@ -217,15 +217,27 @@ def map_last_wins(keys: Column, values: Column) -> Column:
     )
 
 
+#: JSON as the standard has it: double quotes only, no NaN or Infinity.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_wrapped(text: Column) -> Column:
     """Text to ``array<map<string,variant>>``: one element if it is a JSON object.
 
-    The parser stops after the first value, so the text is read as the only
-    element of an array: anything behind the object then is malformed too.
-    Repeated keys are settled here, in the same pass over the row.
+    The parser stops after the first value, so the text is read as the first of two elements of an array; the second is an object
+    whose key is a hash of the text.  Anything behind the record, brackets included, then shifts or loses that object, and the
+    line is malformed.  Repeated keys are settled here, in the same pass over the row.
     """
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>")
-    return F.transform(F.when(F.rtrim(text).endswith("}"), parsed), unique_keys)
+    mark = F.xxhash64(text).cast("string")
+    parsed = F.from_json(
+        F.concat(F.lit("["), text, F.lit(',{"'), mark, F.lit('":0}]')), "array<map<string,variant>>", STRICT_JSON
+    )
+    # The inner function names the parsed value, so that it is parsed once.
+    alone = F.transform(
+        F.array(F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith("}"), parsed)),
+        lambda p: F.when((F.size(p) == 2) & F.map_contains_key(F.get(p, 1), mark), F.slice(p, 1, 1)),
+    )
+    return F.transform(F.get(alone, 0), unique_keys)
 
 
 def unique_keys(rec: Column) -> Column:

@@ -1,12 +1,15 @@
 """Conflict policies: what happens when an incoming key is already there.
 
-Target and incoming rows go through one aggregation per key.  It shuffles each
-side once, combines the rows of a hot key inside every task before the shuffle,
-and needs no join: the target is merely the row with the lowest sequence.
+Incoming rows are reduced to one per key first, with partial aggregation inside every task, so a hot key is small
+before the shuffle.  The reduced rows are then joined to the target: Spark broadcasts them if they are few, and else sorts both
+sides and splits skewed keys.  A row with a NULL in its key matches nothing: like a document without an id it is always appended.
+Rows that share a key in the target stay as many as they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +20,31 @@ class KeyConflict(ValueError):
     """Incoming rows whose key exists, under the policy that forbids it."""
 
 
+class UnknownColumns(ValueError):
+    """Incoming columns that the target lacks."""
+
+
 def _keys(keys: list[str]) -> list[Column]:
     return [F.col(f"`{k}`") for k in keys]
 
 
+def _keyed(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [k.isNotNull() for k in _keys(keys)])
+
+
+def check_columns(target: DataFrame, incoming: DataFrame, *helpers: str | None) -> None:
+    """Refuse incoming columns the target lacks; a write never drops or adds one silently."""
+    unknown = [c for c in incoming.columns if c not in target.columns and c not in helpers]
+    if unknown:
+        raise UnknownColumns(f"columns the target lacks: {', '.join(unknown)}")
+
+
 def conflicting_keys(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys + (in_target, incoming)`` of every key that cannot simply be appended."""
+    """``keys + (in_target, incoming)`` of every key that cannot simply be appended; NULL keys always can."""
     both = target.select(*_keys(keys), F.lit(1).alias("t"), F.lit(0).alias("i")).unionByName(
         incoming.select(*_keys(keys), F.lit(0).alias("t"), F.lit(1).alias("i"))
     )
-    counts = both.groupBy(*_keys(keys)).agg(F.max("t").alias("t"), F.sum("i").alias("i"))
+    counts = both.filter(_keyed(keys)).groupBy(*_keys(keys)).agg(F.max("t").alias("t"), F.sum("i").alias("i"))
     clash = (F.col("i") > 1) | ((F.col("i") > 0) & (F.col("t") > 0))
     return counts.filter(clash).select(
         *_keys(keys), (F.col("t") > 0).alias("in_target"), F.col("i").alias("incoming")
@@ -35,6 +53,7 @@ def conflicting_keys(target: DataFrame, incoming: DataFrame, keys: list[str]) ->
 
 def append_or_raise(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Policy ``error``: the appended table, or an error naming one such key."""
+    check_columns(target, incoming)
     found = conflicting_keys(target, incoming, keys).head()
     if found is not None:
         shown = ", ".join(f"{k}={found[k]}" for k in keys)
@@ -42,15 +61,14 @@ def append_or_raise(target: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return target.unionByName(incoming, allowMissingColumns=True)
 
 
-def _padded(df: DataFrame, like: DataFrame, *extra: Column) -> DataFrame:
+def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
     have = set(df.columns)
-    cells = [
+    return df.select(*[
         F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
         if f.name in have
         else F.lit(None).cast(f.dataType).alias(f.name)
         for f in like.schema.fields
-    ]
-    return df.select(*cells, *extra)
+    ])
 
 
 def merge_frames(
@@ -68,57 +86,67 @@ def merge_frames(
     an update can tell an absent value from a null one; without it every column
     of ``incoming`` counts as present.
     """
+    helpers = [c for c in (seq, presence) if c and c not in target.columns]
     if policy == "error":
-        return append_or_raise(target, incoming.drop(seq), keys)
+        return append_or_raise(target, incoming.drop(*helpers), keys)
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
-    names = target.columns
-    rest = [c for c in names if c not in keys]
-    fed = [c for c in rest if c in incoming.columns]
-
-    has = F.col(f"`{presence}`") if presence else F.array(*[F.lit(c) for c in fed])
-    own = F.array(*[F.lit(c) for c in rest])
-    both = _padded(target, target, F.lit(-1).cast("bigint").alias("_seq"), own.alias("_has")).unionByName(
-        _padded(incoming, target, F.col(f"`{seq}`").cast("bigint").alias("_seq"), has.alias("_has"))
-    )
-    grouped = both.groupBy(*_keys(keys))
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    check_columns(target, incoming, *helpers)
+    rest = [c for c in target.columns if c not in keys]
+    fed = [c for c in rest if c in incoming.columns and c not in helpers]
+    order = F.col(f"`{seq}`")
+    free = _padded(incoming.filter(~_keyed(keys)), target)
+    row = F.struct(*[F.col(f"`{c}`") for c in fed] or [F.lit(None).alias("_none")])
+    grouped = incoming.filter(_keyed(keys)).groupBy(*_keys(keys))
     if policy == "skip":
-        chosen = grouped.agg(F.min_by(row, "_seq").alias("r"))
-    elif policy == "overwrite":
-        chosen = grouped.agg(F.max_by(row, "_seq").alias("r"))
-    elif presence is None:
-        # All rows carry the same columns: two picks per key do for all of them.
-        fed_row = F.struct(*[F.col(f"`{c}`") for c in fed])
-        kept_row = F.struct(*[F.col(f"`{c}`") for c in rest if c not in fed] or [F.lit(None).alias("_none")])
-        chosen = grouped.agg(F.max_by(fed_row, "_seq").alias("n"), F.min_by(kept_row, "_seq").alias("o"))
-        return chosen.select(
-            *[
-                F.col(f"`{c}`") if c in keys else F.col(f"n.`{c}`") if c in fed else F.col(f"o.`{c}`")
-                for c in names
-            ]
-        )
+        reduced = grouped.agg(F.min_by(row, order).alias("_new"))
+    elif policy == "overwrite" or presence is None:
+        reduced = grouped.agg(F.max_by(row, order).alias("_new"))
     else:
-        last = [
-            F.max_by(
-                F.struct(F.col(f"`{c}`").alias("v")),
-                F.when(F.array_contains("_has", c), F.col("_seq")),
-            ).alias(c)
-            for c in rest
+        # The last row that has the column decides, one by one; an absent column is a NULL struct.
+        has = F.col(f"`{presence}`")
+        picks = [
+            F.max_by(F.struct(F.col(f"`{c}`").alias("v")), F.when(F.array_contains(has, c), order)).alias(c) for c in fed
         ]
-        chosen = grouped.agg(*last)
-        return chosen.select(*[F.col(f"`{c}`") if c in keys else F.col(f"`{c}`.v").alias(c) for c in names])
-    return chosen.select(*[F.col(f"`{c}`") if c in keys else F.col(f"r.`{c}`") for c in names])
+        reduced = grouped.agg(*picks or [F.lit(None).alias("_none")])
+        reduced = reduced.select(*_keys(keys), F.struct(*[c for c in fed] or [F.lit(None).alias("_none")]).alias("_new"))
+    by_column = presence is not None and policy == "update"
+
+    def value(c: str) -> Column:
+        return F.col(f"_new.`{c}`.v") if by_column else F.col(f"_new.`{c}`")
+
+    found = target.select(*_keys(keys)).join(reduced.select(*_keys(keys)), keys, "left_semi").distinct()
+    fresh = reduced.join(found, keys, "left_anti").select(
+        *_keys(keys), *[value(c).alias(c) for c in fed]
+    )
+    added = _padded(fresh, target).unionByName(free)
+    if policy == "skip":
+        return target.unionByName(added)
+    hit = F.col("_new").isNotNull()
+
+    def cell(c: str) -> Column:
+        old = F.col(f"`{c}`")
+        if c in keys:
+            return old
+        kind = target.schema[c].dataType
+        if c not in fed:
+            return F.when(~hit, old).cast(kind).alias(c) if policy == "overwrite" else old
+        changed = F.col(f"_new.`{c}`").isNotNull() if by_column else hit
+        return F.when(changed, value(c).cast(kind)).otherwise(old).alias(c)
+
+    return target.join(reduced, keys, "left").select(*[cell(c) for c in target.columns]).unionByName(added)
 
 
 def rows_to_append(target: DataFrame, incoming: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Policy ``skip`` for an append-only sink: first incoming row of each new key.
+    """Policy ``skip`` for an append-only sink: first incoming row of each new key, and all rows with a NULL key.
 
     Reads only the key columns of the target; nothing of it is rewritten.
     """
-    rest = [c for c in incoming.columns if c not in keys and c != seq]
-    first = incoming.groupBy(*_keys(keys)).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(f"`{seq}`")).alias("r")
+    columns = [c for c in incoming.columns if c != seq or c in keys]
+    rest = [c for c in columns if c not in keys]
+    first = incoming.filter(_keyed(keys)).groupBy(*_keys(keys)).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(None).alias("_none")]), F.col(f"`{seq}`")).alias("r")
     )
     fresh = first.join(target.select(*_keys(keys)), keys, "left_anti")
-    return fresh.select(*[F.col(f"`{c}`") if c in keys else F.col(f"r.`{c}`") for c in incoming.columns if c != seq])
+    fresh = fresh.select(*[F.col(f"`{c}`") if c in keys else F.col(f"r.`{c}`") for c in columns])
+    return fresh.unionByName(incoming.filter(~_keyed(keys)).select(*[F.col(f"`{c}`") for c in columns]))

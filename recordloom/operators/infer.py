@@ -127,13 +127,17 @@ def infer_schema(records: DataFrame) -> DataFrame:
     )
 
 
-def sample_records(records: DataFrame, n: int = DEFAULT_SAMPLE) -> DataFrame:
-    """The first ``n`` good records in file order (a bounded top-n, no full sort)."""
-    bounded = max(1, min(n, MAX_SAMPLE))
-    return records.filter(F.col("rec").isNotNull()).orderBy(*META).limit(bounded)
+def sample_records(records: DataFrame, n: int | None = DEFAULT_SAMPLE) -> DataFrame:
+    """The first ``n`` good records in file order (a bounded top-n, no full sort); ``None`` takes all."""
+    good = records.filter(F.col("rec").isNotNull())
+    if n is None:
+        return good
+    if not 1 <= n <= MAX_SAMPLE:
+        raise ValueError(f"a sample has 1 to {MAX_SAMPLE} records; None takes all")
+    return good.orderBy(*META).limit(n)
 
 
-def infer_schema_sample(records: DataFrame, n: int = DEFAULT_SAMPLE) -> DataFrame:
+def infer_schema_sample(records: DataFrame, n: int | None = DEFAULT_SAMPLE) -> DataFrame:
     return infer_schema(sample_records(records, n))
 
 

@@ -30,9 +30,10 @@ def project_frame(df: DataFrame, columns: list[str] | None) -> DataFrame:
 
 
 def project_document(records: DataFrame, columns: list[str] | None) -> DataFrame:
-    """Keep the selected keys in the order of the request."""
+    """Keep the selected keys in the order of the request; a record that lacks one gets an error."""
     if not columns:
         return records
+    records = require_columns(records, columns)
     values = F.array(*[F.try_element_at("rec", F.lit(c)) for c in columns])
     return records.withColumn(
         "rec", F.when(F.col("rec").isNotNull(), F.map_from_arrays(_names(columns), values))

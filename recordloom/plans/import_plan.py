@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.convert import (
-    COERCIONS,
     FieldRule,
     Val,
     check_rules,
     convert_column,
-    family,
     find_values,
+    misfit_text,
     spark_type,
     type_values,
 )
@@ -126,7 +125,7 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
     message = F.concat(
         F.lit("column "), by_column(names), F.lit(": "), F.coalesce(kind_of(found), F.lit("unknown")),
         F.lit(" -> "), by_column([spec.targets[c] for c in names]), F.lit(": "),
-        by_column([COERCIONS.get(family(spec.targets[c]), (None, "does not fit the type"))[1] for c in names]),
+        by_column([misfit_text(spec.targets[c]) for c in names]),
     )
     if special:
         own = None

@@ -134,6 +134,51 @@ def read_csv_table(spark, sf):
     return src.read_csv_table(spark, path).select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
 
 
+@query("read_csv_quoted", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, '' AS note, CASE WHEN doc_id % 3 <> 0 THEN '"' || source || '", said' END AS quoted
+FROM documents""")
+def read_csv_quoted(spark, sf):
+    """Whole texts with line breaks, doubled quotes, empty text and NULL."""
+    path = scratch(spark, "documents-csv")
+    d = table(spark, sf, "documents")
+    quoted = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit('"'), "source", F.lit('", said')))
+    rows = d.select("doc_id", "text", F.lit("").alias("note"), quoted.alias("quoted"))
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", '""').option("nullValue", "").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return src.read_csv_table(spark, path, line_breaks=True).select("doc_id", "text", "note", "quoted")
+
+
+@query("read_records_strict", """
+SELECT event_id AS line_no, CASE WHEN event_id % 6 IN (0, 5) THEN event_id END AS a, event_id % 6 NOT IN (0, 5) AS refused FROM events""")
+def read_records_strict(spark, sf):
+    """White space of JSON behind a record is fine; brackets, single quotes, NaN and a second value are not."""
+    e = table(spark, sf, "events")
+    number = F.col("event_id").cast("string")
+    case = F.col("event_id") % 6
+    text = (
+        F.when(case == 0, F.concat(F.lit('{"a":'), number, F.lit("}\t\r")))
+        .when(case == 1, F.concat(F.lit('{"a":'), number, F.lit('}],[{"b":1}')))
+        .when(case == 2, F.concat(F.lit("{'a':"), number, F.lit("}")))
+        .when(case == 3, F.lit('{"a":NaN}'))
+        .when(case == 4, F.concat(F.lit('{"a":'), number, F.lit('},{"a":1}')))
+        .otherwise(F.concat(F.lit('{"a":'), number, F.lit("}")))
+    )
+    rows = rec.records_of(lines_of(e, "event_id", text))
+    return rows.select("line_no", get("a", "bigint").alias("a"), F.col("error").isNotNull().alias("refused"))
+
+
+@query("project_missing", """
+SELECT o_orderkey AS line_no, o_orderkey % 2 = 1 AS refused FROM orders""")
+def project_missing(spark, sf):
+    """A document without a selected key is refused; one whose key is null is not."""
+    o = table(spark, sf, "orders")
+    number = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit('{"a":'), number, F.lit("}"))).otherwise(
+        F.concat(F.lit('{"a":'), number, F.lit(',"b":null}')))
+    rows = project.project_document(rec.records_of(lines_of(o, "o_orderkey", text)), ["b", "a"])
+    return rows.select("line_no", F.col("error").isNotNull().alias("refused"))
+
+
 @query("scan_table", """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
 WHERE l_returnflag = 'R' AND l_quantity >= 25""")

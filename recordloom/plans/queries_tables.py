@@ -187,6 +187,54 @@ def metastore_append(spark, sf):
     return spark.table(name)
 
 
+@query("append_misfits", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'x' || o_orderkey WHEN o_orderkey % 3 = 0 THEN '1.5'
+  ELSE '99999999999' END AS note, 'values that do not fit: note' AS error FROM orders
+WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 2 = 0)""")
+def append_misfits(spark, sf):
+    """Dead letters of an append: text, fractions and values beyond the type; NULLs and what fits is written."""
+    name, _, _ = _table_at(spark, "misfits", [("id", "bigint"), ("note", "int")])
+    k = F.col("o_orderkey")
+    note = F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, F.concat(F.lit("x"), k.cast("string"))).when(k % 3 == 0, "1.5").when(
+        k % 2 == 0, "99999999999").otherwise((k % 100).cast("string"))
+    rows = table(spark, sf, "orders").select(k.alias("id"), note.alias("note"))
+    sink.metastore_append(rows, name, misfits="skip")
+    return sink.append_misfits(rows, name)
+
+
+@query("conflict_null_keys", """
+WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey // 2 END AS id, o_totalprice AS v FROM orders
+  WHERE o_orderstatus = 'F'),
+i AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey // 3 END AS id, o_totalprice + 1 AS v, o_orderkey AS seq FROM orders),
+l AS (SELECT id, arg_max(v, seq) AS v FROM i WHERE id IS NOT NULL GROUP BY id)
+SELECT t.id, CASE WHEN l.id IS NULL THEN t.v ELSE l.v END AS v FROM t LEFT JOIN l ON t.id = l.id
+UNION ALL SELECT id, v FROM l WHERE id NOT IN (SELECT id FROM t WHERE id IS NOT NULL)
+UNION ALL SELECT id, v FROM i WHERE id IS NULL""")
+def conflict_null_keys(spark, sf):
+    """NULL keys match nothing and stay; keys that the target holds more than once stay as many."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    existing = o.filter("o_orderstatus = 'F'").select(F.when(k % 10 != 0, F.floor(k / 2)).cast("bigint").alias("id"), F.col("o_totalprice").alias("v"))
+    incoming = o.select(F.when(k % 7 != 0, F.floor(k / 3)).cast("bigint").alias("id"), (F.col("o_totalprice") + 1).alias("v"), k.alias("seq"))
+    return conflicts.merge_frames(existing, incoming, ["id"], "update", "seq")
+
+
+@query("conflict_unknown_columns", """
+SELECT count(*) AS rows, 'columns the target lacks: o_clerk' AS error FROM orders""")
+def conflict_unknown_columns(spark, sf):
+    """Every policy refuses a column that the target lacks, and leaves the target as it is."""
+    o = table(spark, sf, "orders")
+    target = o.select("o_orderkey", "o_custkey")
+    incoming = target.withColumn("o_clerk", F.lit("c")).withColumn("seq", F.col("o_orderkey"))
+    errors = set()
+    for policy in conflicts.POLICIES:
+        try:
+            conflicts.merge_frames(target, incoming, ["o_orderkey"], policy, "seq")
+        except conflicts.UnknownColumns as e:
+            errors.add(str(e))
+    return target.agg(F.count(F.lit(1)).alias("rows"), F.lit("; ".join(sorted(errors))).alias("error"))
+
+
 @query("write_many", """
 SELECT 'app.customer.jsonl' AS file_name, count(*) AS lines FROM customer
 UNION ALL SELECT 'app.line_item_s.jsonl', count(*) FROM lineitem

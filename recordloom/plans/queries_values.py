@@ -267,15 +267,33 @@ def coerce_search(spark, sf):
 
 @query("cast_dry_run", """
 SELECT event_id AS line_no, CASE WHEN event_type = 'view' THEN user_id WHEN event_type = 'error' AND value > 20 THEN 1
-  WHEN event_type = 'click' THEN CAST(trunc(value) AS BIGINT) END AS x,
-  CASE WHEN event_type = 'signup' THEN 'line ' || event_id || ', column x: object -> bigint: not a finite number'
-   WHEN event_type = 'purchase' THEN 'line ' || event_id || ', column x: array -> bigint: not a finite number' END AS error
+  WHEN event_type = 'click' AND value = floor(value) THEN CAST(value AS BIGINT) END AS x,
+  CASE WHEN event_type = 'click' AND value <> floor(value) THEN 'line ' || event_id
+    || ', column x: number -> bigint: not an integer from -9223372036854775808 to 9223372036854775807'
+   WHEN event_type = 'signup' THEN 'line ' || event_id || ', column x: object -> bigint: not an integer from -9223372036854775808 to 9223372036854775807'
+   WHEN event_type = 'purchase' THEN 'line ' || event_id || ', column x: array -> bigint: not an integer from -9223372036854775808 to 9223372036854775807' END AS error
 FROM events ORDER BY event_id LIMIT 50""")
 def dry_run(spark, sf):
     records = rec.records_of(mixed_events(spark, sf))
     return cast_dry_run(records, ImportSpec({"x": "bigint"}), 50).select("line_no", "x", "error")
 
 
+@query("coerce_integer_widths", """
+SELECT o_orderkey AS line_no, CASE WHEN o_orderkey <= 127 THEN o_orderkey END AS small,
+  CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(o_totalprice AS BIGINT) END AS whole,
+  CASE WHEN o_orderkey > 127 THEN 'column small: number -> tinyint: not an integer from -128 to 127' END AS small_error,
+  o_totalprice <> floor(o_totalprice) AS cut FROM orders""")
+def coerce_integer_widths(spark, sf):
+    """Fractions and values beyond an integer type are errors."""
+    price = F.col("o_totalprice")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("line_no"), F.col("o_orderkey").cast("variant").alias("k"), price.cast("variant").alias("p"))
+    small, whole = coerce_value(Val(F.col("k")), "tinyint", "small"), coerce_value(Val(F.col("p")), "bigint", "whole")
+    return o.select(
+        "line_no", small.as_type("bigint").alias("small"), whole.as_type("bigint").alias("whole"),
+        small.error_or_null().alias("small_error"), whole.error_or_null().isNotNull().alias("cut"),
+    )
+
+
 # --- row quality -----------------------------------------------------------------
 
 @query("unknown_columns", """

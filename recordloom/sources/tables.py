@@ -11,14 +11,22 @@ from pyspark.sql import types as T
 MAX_SLICES = 32
 
 
-def read_csv_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV with a header; every value stays text, short rows end in NULL."""
+def read_csv_table(spark: SparkSession, path: str | list[str], line_breaks: bool = False) -> DataFrame:
+    """CSV (RFC 4180) with a header; every value stays text, short rows end in NULL.
+
+    Quotes inside a quoted field are doubled.  A quoted empty field is empty text, an unquoted one NULL.  ``line_breaks`` allows line
+    breaks inside quotes, at a cost: a file is then one task, so large inputs should come as many files.
+    """
     return (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
         .option("enforceSchema", True)
-        .option("multiLine", False)
+        .option("multiLine", line_breaks)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("nullValue", "\0")
+        .option("emptyValue", "")
         .csv(path)
     )
 

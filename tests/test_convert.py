@@ -62,8 +62,8 @@ def test_values(one, text, rule, target, want):
 @pytest.mark.parametrize(
     "text, rule, target, error",
     [
-        ('"not-a-number"', None, "integer", "column c: string -> integer: not a finite number"),
-        ('" "', None, "integer", "column c: string -> integer: not a finite number"),
+        ('"not-a-number"', None, "integer", "column c: string -> integer: not an integer from -2147483648 to 2147483647"),
+        ('" "', None, "integer", "column c: string -> integer: not an integer from -2147483648 to 2147483647"),
         ('"1e999"', None, "double", "column c: string -> double: not a finite number"),
         ("[1]", None, "numeric(4,2)", "column c: array -> numeric(4,2): not a finite number"),
         ('"2"', None, "boolean", "column c: string -> boolean: not a boolean"),
@@ -177,7 +177,7 @@ def test_import_skips_and_reports(records):
 
 def test_import_stops_at_the_first_bad_row(records):
     r = records(['{"id":1}', '{"id":"x"}', '{"id":"y"}'])
-    with pytest.raises(quality.RowError, match="line 2, column id: string -> int: not a finite number"):
+    with pytest.raises(quality.RowError, match="line 2, column id: string -> int: not an integer from -2147483648 to 2147483647"):
         run_import(r, ImportSpec({"id": "int"}), "fail")
 
 
@@ -211,3 +211,14 @@ def test_projection(records):
     assert project.require_columns(r, ["x", "c", "y"]).collect()[0].error == "line 1 lacks selected columns: x, y"
     assert [x.name for x in project.union_columns(records(['{"b":1}', '{"a":1,"b":2}'])).orderBy("ordinal").collect()] == ["b", "a"]
     assert [x.name for x in project.first_record_columns(records(["", '{"_id":1,"_source":{"q":1}}'])).collect()] == ["q"]
+
+
+@pytest.mark.parametrize("text,target,fits", [
+    ("3.7", "bigint", False), ('"3.7"', "bigint", False), ("3.0", "bigint", True), ("300", "tinyint", False), ("-129", "tinyint", False),
+    ("200", "tinyint unsigned", True), ("-1", "int unsigned", False), ("40000", "smallint", False), ("2147483648", "int", False),
+    ("9223372036854775807", "bigint", True), ("99999999999999999999", "bigint", False), ("3.7", "double precision", True),
+])
+def test_integer_widths(one, text, target, fits):
+    value, error = one(text, None, target)
+    assert (error is None) == fits and (value is None) == (not fits)
+    assert fits or "integer from" in error

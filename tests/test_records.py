@@ -184,3 +184,38 @@ def test_bulk_lines_and_outcome(spark):
     row = out.bulk_outcome(items, "create").collect()[0]
     assert tuple(row) == (3, 1, 1, 1, "mapper")
     assert out.bulk_outcome(items, "index").collect()[0].failed == 2
+
+
+@pytest.mark.parametrize("text,good", [
+    ('{"a":1}\t', True), ('{"a":1}\r', True), ('{"a":1} ', True), ("{}", True), ('{"a":{"b":[1,2]}}', True),
+    ('{"a":1}],[{"b":2}', False), ('{"a":1},{"b":2}', False), ('{"a":1},{}],[{}', False), ('{"a":1}}', False),
+    ("{'a':1}", False), ('{"a":NaN}', False), ('{"a":Infinity}', False), ("[]", False), ('"x"', False), ('{"a":1', False),
+])
+def test_lines_are_strict_json(records, text, good):
+    row = records([text]).collect()[0]
+    assert (row.error is None) == good
+
+
+def test_csv_quotes_breaks_and_empty_text(spark, tmp_path):
+    from recordloom.sources.tables import read_csv_table
+
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,c\n"say ""hi"" now",,""\n"two\nlines",x,y\n')
+    got = [tuple(r) for r in read_csv_table(spark, str(path), line_breaks=True).collect()]
+    assert got == [('say "hi" now', None, ""), ("two\nlines", "x", "y")]
+
+
+def test_project_document_flags_missing_keys(records):
+    from recordloom.operators.project import project_document
+
+    rows = project_document(records(['{"a":1,"b":2}', '{"a":1}', '{"a":null,"b":null}']), ["b", "a"]).collect()
+    assert [r.error is None for r in rows] == [True, False, True] and "b" in rows[1].error
+
+
+def test_samples_refuse_what_they_cannot_take(records):
+    from recordloom.operators.infer import MAX_SAMPLE, sample_records
+
+    rows = records([f'{{"a":{i}}}' for i in range(5)])
+    assert sample_records(rows, None).count() == 5 and sample_records(rows, 2).count() == 2
+    with pytest.raises(ValueError):
+        sample_records(rows, MAX_SAMPLE + 1)
