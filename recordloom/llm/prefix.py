@@ -21,11 +21,15 @@ def running_sum(df: DataFrame, order: list[str | Column], value: str, name: str,
     part = ["_range"] + ([group] if group else [])
     sums = ranged.groupBy(*part).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    offsets = sums.select(
+        F.col("_range").alias("_at"), *([F.col(group).alias("_of")] if group else []), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
+    )
+    # A null group is a group.
+    match = (F.col("_range") == F.col("_at")) & (F.col(group).eqNullSafe(F.col("_of")) if group else F.lit(True))
     inside = Window.partitionBy(*part).orderBy(*keys[1 if group else 0:]).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.withColumn("_inside", F.sum(value).over(inside))
-        .join(offsets, part)
+        .join(offsets, match)
         .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset", "_range")
+        .drop("_inside", "_offset", "_range", "_at", "_of")
     )
