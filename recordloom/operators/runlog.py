@@ -12,7 +12,6 @@ from recordloom.session import cut_lineage
 
 TEMPLATE = "struct<runId:variant,templateId:variant,templateName:variant,stepIndex:variant,stepCount:variant,stepName:variant>"
 DEFAULT_TEMPLATE_NAME = "dependency group"
-MAX_ROUNDS = 200
 
 
 def _text_of(v: Column) -> Column:
@@ -148,7 +147,7 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return mark(a) == mark(b)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, root)``: the smallest id reachable from each node of ``edges(u, v)``.
 
     Alternating star contraction: every node points its larger neighbours at the
@@ -162,7 +161,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    for _ in range(max_rounds):
+    while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"))
         lowest = lowest.select("u", F.least("u", "m").alias("m"))
@@ -183,7 +182,6 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
                 following.select(F.col("v"), F.col("v")).distinct()
             )
         current = following
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def dependency_components(tasks: DataFrame) -> DataFrame:
@@ -195,7 +193,7 @@ def dependency_components(tasks: DataFrame) -> DataFrame:
     )
 
 
-def dependency_order(tasks: DataFrame, seq: str = "seq", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
     """``(id, level)``: a task's level is above the level of everything it depends on.
 
     Peels one level per round: tasks whose remaining dependencies are all placed
@@ -205,7 +203,7 @@ def dependency_order(tasks: DataFrame, seq: str = "seq", max_rounds: int = MAX_R
     edges = cut_lineage(dependency_edges(tasks))
     open_edges, level, placed = edges, 0, None
     waiting = tasks.select("id", seq)
-    while level < max_rounds:
+    while True:
         blocked = open_edges.select("id").distinct()
         split = cut_lineage(
             waiting.join(blocked.withColumn("_open", F.lit(True)), "id", "left").select(
@@ -221,9 +219,10 @@ def dependency_order(tasks: DataFrame, seq: str = "seq", max_rounds: int = MAX_R
         open_edges = open_edges.join(free.select(F.col("id").alias("dep")), "dep", "left_anti").select("id", "dep")
         if level % 4 == 3:
             open_edges = cut_lineage(open_edges)
+        if level % 16 == 15:
+            # The plan stays short however many levels there are.
+            placed = cut_lineage(placed)
         level += 1
-    else:
-        raise RuntimeError(f"dependencies are more than {max_rounds} levels deep")
     rest = waiting.withColumn("level", F.lit(None).cast("int"))
     return rest if placed is None else placed.union(rest)
 
@@ -258,7 +257,7 @@ def match_template(
     )
 
 
-def dependency_state(tasks: DataFrame, max_rounds: int = 64) -> DataFrame:
+def dependency_state(tasks: DataFrame) -> DataFrame:
     """``(id, state, blocked_by)`` of every queued task.
 
     The first dependency in list order that is not completed decides.  Which one
@@ -288,7 +287,8 @@ def dependency_state(tasks: DataFrame, max_rounds: int = 64) -> DataFrame:
             F.when(F.col("d.s") == "queued", F.col("d.dep")).alias("end"),
         )
     )
-    for _ in range(max_rounds):
+    # Each round doubles the distance that is followed: what is open after these rounds is a cycle.
+    for _ in range(current.filter(F.col("state").isNull()).count().bit_length() + 1):
         if current.filter(F.col("state").isNull()).isEmpty():
             break
         target = current.select(

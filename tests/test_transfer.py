@@ -155,7 +155,7 @@ def test_dependency_state_against_brute_force(spark):
 def test_long_chain_is_resolved_in_few_rounds(spark):
     tasks = [(0, "failed", [])] + [(i, "queued", [i - 1]) for i in range(1, 300)]
     df = spark.createDataFrame(tasks, "id bigint, status string, depends_on array<bigint>")
-    states = runlog.dependency_state(df, max_rounds=10)
+    states = runlog.dependency_state(df)
     assert states.filter("state = 'blocked'").count() == 299
 
 
@@ -330,3 +330,8 @@ def test_registry_is_complete():
     from recordloom.plans import ORACLES, QUERIES
 
     assert set(ORACLES) == set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+def test_levels_have_no_bound(spark):
+    n = 40
+    tasks = spark.createDataFrame([(str(i), [str(i - 1)] if i else [], i) for i in range(n)], "id string, depends_on array<string>, seq long")
+    assert {r.id: r.level for r in runlog.dependency_order(tasks).collect()} == {str(i): i for i in range(n)}
