@@ -1,9 +1,10 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 The root of the tree is the smoothed distribution of all words of the training texts, counted exactly. Below it are contexts of one
-word and more whose share of the training text is at least MIN_SHARE; a context becomes a state if its next-word distribution
-diverges enough from that of the longest state that is its suffix. A word's probability comes from the longest state
-that is a suffix of what stands before it.
+word and more that are seen at least LEAST times; a context becomes a state if its next-word distribution diverges enough from
+that of the longest state that is its suffix. A word's probability comes from the longest state that is a suffix of what
+stands before it. Counts, states and probabilities are Spark tables by the hash of a run of words, whatever their number;
+`Grams`, `grow` and `Tree` are the same model in one process, for small texts.
 """
 
 from __future__ import annotations
@@ -19,22 +20,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.words import slices, texts_of
+from recordloom.llm.words import mix, slices, texts_of
 from recordloom.session import cut_lineage
 
-#: Least occurrences of a context or transition, per byte of training text. So there are at most 1 / MIN_SHARE of each length.
-MIN_SHARE = 4e-6
+#: Least occurrences of a context or transition, at any size of the input.
 LEAST = 4
+#: More occurrences asked for per byte of training text: none, so that the tree grows with the texts.
+MIN_SHARE = 0.0
 #: The longest context.
 DEPTH = 2
 #: Taken off every count of a transition and given to the shorter context.
 DISCOUNT = 0.75
 #: Least divergence (nats per occurrence) of a state from its suffix.
 DIVERGENCE = 0.01
-#: Buckets of words, at least, and bytes of text whose words make one bucket.
-BUCKETS, BUCKET_BYTES = 64, 128 << 20
+#: Buckets of runs, at least, and bytes of text whose runs make one bucket.
+BUCKETS, BUCKET_BYTES = 64, 64 << 20
 #: The symbol that ends a text, and stands before its first word.
 END = np.uint64(0x5A17E0F7E27C0DE5)
+#: Bits of the filters that spare runs the shuffle; a run that passes for nothing is only a few bytes more.
+FILTER_BITS, FILTER_PARTS = 1 << 26, 64
+#: Runs that a task sums before it hands them on.
+HELD = 1 << 21
 
 
 def in_training(doc_id: str = "doc_id") -> Column:
@@ -101,38 +107,6 @@ class Grams:
         return before[-1][ok] * len(self.words) + word[ok]
 
 
-def count_grams(texts: DataFrame, grams: Grams, least: int) -> None:
-    """Add the frequent runs that are one longer; their number is bounded by 1 / MIN_SHARE and they are collected."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, numbers, held = [], [], 0
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            unique, at = np.unique(np.concatenate(codes), return_inverse=True)
-            return unique, np.bincount(at, np.concatenate(numbers)).astype(np.int64)
-
-        for batch in batches:
-            for part in slices(batch):
-                code, n = np.unique(grams.next_codes(*token_stream(part)), return_counts=True)
-                codes.append(code)
-                numbers.append(n)
-                held += len(code)
-                if held > 1 << 21:
-                    unique, total = summed()
-                    codes, numbers, held = [unique], [total], len(unique)
-                    if held > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(total)], ["code", "n"])
-                        codes, numbers, held = [], [], 0
-        if held:
-            unique, total = summed()
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(total)], ["code", "n"])
-
-    found = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    found = found.sort_values("code")
-    grams.codes.append(found["code"].to_numpy(np.int64))
-    grams.numbers.append(found["n"].to_numpy(np.int64))
-
-
 @dataclass
 class Level:
     """States of one context length: by place of the run the log10 of its left-over mass (nan: no state); transitions by code."""
@@ -223,88 +197,205 @@ def grow(grams: Grams, n: int, v: int) -> Tree:
     return Tree(grams, levels, states)
 
 
-def _root_parts(docs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """One shuffle of each document's distinct words by bucket; there they are counted, and each document gets its part of the base.
+def run_keys(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a run, by those of the run without its last word and of the run without its first."""
+    return mix(context * np.uint64(0xD1342543DE82EF95) + suffix)
+
+
+def runs_of(row: np.ndarray, token: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 1: row, hash without the last word, hash without the first and hash of the runs that end at each token.
+
+    An END stands before the first word of a row. A single word has no context (0) and is its own suffix.
+    """
+    yield row, np.zeros(len(row), np.uint64), token, token
+    context, suffix = _shifted(row, token, END), token
+    context[np.flatnonzero(np.diff(row, prepend=-1))] = END
+    for length in range(2, longest + 1):
+        key = run_keys(context, suffix)
+        yield row, context, suffix, key
+        if length < longest:
+            same = row[1:] == row[:-1]
+            row, context, suffix = row[1:][same], key[:-1][same], key[1:][same]
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of `key`, of fixed size, made in FILTER_PARTS parts."""
+    size = FILTER_BITS // FILTER_PARTS
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(size, np.uint8)
+        bits[frame["spot"].to_numpy(np.int64) % size] = 1
+        return pd.DataFrame({"part": [int(frame["spot"].iloc[0]) // size], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    spots = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot"))
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in spots.groupBy(F.expr(f"spot div {size}")).applyInPandas(fill, "part int, bits binary").toLocalIterator():
+        out[r["part"] * size // 64 : (r["part"] + 1) * size // 64] = np.frombuffer(r["bits"], np.uint64)
+    return out
+
+
+def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = key & np.uint64(FILTER_BITS - 1)
+    return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | None = None) -> DataFrame:
+    """`(key, context, suffix, n)` of the runs of a length that come at least `least` times; `shorter` has the `key` of both their parts.
+
+    A task sums what it reads, so that a run that is everywhere is a few rows for each task.
+    """
+    bits = None if shorter is None else texts.sparkSession.sparkContext.broadcast(_bits(shorter))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def summed() -> tuple[np.ndarray, ...]:
+            key, context, suffix, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            return key[at], context[order][at], suffix[order][at], np.add.reduceat(n[order], at)
+
+        def out(context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(n)], ["context", "suffix", "n"])
+
+        for batch in batches:
+            for part in slices(batch):
+                *_, (_, context, suffix, key) = runs_of(*token_stream(part), length)
+                if bits is not None:
+                    ok = _in(bits.value, context) & _in(bits.value, suffix)
+                    context, suffix, key = context[ok], suffix[ok], key[ok]
+                if not len(key):
+                    continue
+                held.append((key, context, suffix, np.ones(len(key), np.int64)))
+                size += len(key)
+                if size > HELD:
+                    held[:] = [summed()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield out(*held[0][1:])
+                        held.clear()
+                        size = 0
+        if size:
+            yield out(*summed()[1:])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix"))
+            key = suffix if length == 1 else run_keys(context, suffix)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", "context", "suffix", "n"])
+
+    sums = texts.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+    return sums.filter(F.col("n") >= least).mapInArrow(named, "key long, context long, suffix long, n long")
+
+
+def next_level(runs: DataFrame, shorter: DataFrame) -> DataFrame:
+    """`runs` with `parent` and `logp`, the log-probability of the last word by the context's suffix and by the tree so far, and `rest` and `state` of the context.
+
+    `shorter(key, n, logp)` holds both parts of every run. The formulas are those of `grow`.
+    """
+    whole = shorter.select(F.col("key").alias("context"), F.col("n").alias("total"))
+    known = runs.join(whole, "context").join(shorter.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix")
+    known = cut_lineage(known)
+    left = known.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("m"))
+    known = known.join(left, "context")
+    share = (F.col("seen") - DISCOUNT * F.col("m")) / F.col("total")
+    known = known.withColumn("rest", F.least(F.greatest(1 - share, F.lit(1e-12)), F.lit(1.0)))
+    known = known.withColumn("own", F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.exp("parent")))
+    better = F.sum(F.col("n") * (F.col("own") - F.col("parent")))
+    unseen = F.greatest(F.first("total") - F.first("seen"), F.lit(0)) * F.log(F.first("rest"))
+    tested = known.groupBy("context").agg(((better + unseen) / F.first("total") >= DIVERGENCE).alias("state"))
+    known = known.join(tested, "context").withColumn("logp", F.when(F.col("state"), F.col("own")).otherwise(F.col("parent")))
+    return cut_lineage(known.select("key", "context", "n", "parent", "logp", "rest", "state"))
+
+
+def level_gains(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`(key, gain)`: what a state adds (log10) to the score wherever it is the context, and what each of its transitions adds to that.
+
+    So the score of a text is the sum over its runs of all lengths, each found by itself.
+    """
+    kept, ten = level.filter("state"), math.log(10)
+    states = kept.groupBy(F.col("context").alias("key")).agg((F.log(F.first("rest")) / ten).alias("gain"))
+    return states, kept.select("key", ((F.col("logp") - F.col("parent") - F.log("rest")) / ten).alias("gain"))
+
+
+def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, longest: int) -> DataFrame:
+    """`(key, n_tokens, base, gain, known)` of each document: the sums over its runs of `values(key, base, gain, known)`.
 
-    Rows with slice >= 0 hold, for the documents of one slice and one bucket, the sums of log10(c + 1) and the known tokens; one
-    row for each bucket (slice -1) holds its frequent words, its distinct words and its tokens.
+    Each document's distinct runs go once over the network, by bucket, in blocks; `longer` has the `key` of the runs of two words and
+    more that have a value. A run that is everywhere is there once for each document.
     """
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(longer))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
                 row, token = token_stream(part)
-                order = np.lexsort((token, row))
-                row, token = row[order], token[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-                at = np.flatnonzero(new)
+                rows, keys = [], []
+                for length, (r, _, _, key) in enumerate(runs_of(row, token, longest), 1):
+                    ok = _in(bits.value, key) if length > 1 else slice(None)
+                    rows.append(r[ok])
+                    keys.append(key[ok])
+                n = np.bincount(row, minlength=part.num_rows)
+                row, key = np.concatenate(rows), np.concatenate(keys)
+                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+                order = np.lexsort((key, row, bucket))
+                row, key, bucket = row[order], key[order], bucket[order]
+                at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, np.int64)
                 times = np.diff(np.append(at, len(row)))
-                row, token = row[at], token[at]
-                bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                key = part.column("key").to_numpy().tobytes()
-                rows = []
+                row, key, bucket = row[at], key[at], bucket[at]
+                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                ids = part.column("key").to_numpy().tobytes()
+                out = []
                 for b in range(buckets):
-                    own = order[cut[b] : cut[b + 1]]
-                    if len(own) or b == 0:
-                        rows.append((
-                            b, number, row[own].astype(np.uint32).tobytes(), token[own].tobytes(), times[own].astype(np.uint32).tobytes(),
-                            np.packbits(train[row[own]]).tobytes(), key if b == 0 else None,
+                    own = slice(cut[b], cut[b + 1])
+                    if cut[b] < cut[b + 1] or b == 0:
+                        # A slice has at most SLICE_ROWS rows.
+                        out.append((
+                            b, number, row[own].astype(np.uint16).tobytes(), key[own].tobytes(), times[own].astype(np.uint32).tobytes(),
+                            ids if b == 0 else None, n.astype(np.int64).tobytes() if b == 0 else None,
                         ))
                 number += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)],
-                    ["bucket", "slice", "row", "token", "times", "train", "keys"],
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)],
+                    ["bucket", "slice", "row", "token", "times", "ids", "n"],
                 )
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        token = np.frombuffer(b"".join(frame["token"]), np.uint64)
-        times = np.frombuffer(b"".join(frame["times"]), np.uint32).astype(np.int64)
-        size = [len(x) // 8 for x in frame["token"]]
-        train = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(frame["train"], size, strict=True)]).astype(bool) if size else np.zeros(0, bool)
-        unique, place = np.unique(token, return_inverse=True)
-        c = np.bincount(place, times * train, len(unique)).astype(np.int64)
-        value, known = (times * np.log10(c + 1)[place]), times * (c > 0)[place]
-        out, begin = [], 0
-        for s, r, keys, n in zip(frame["slice"], frame["row"], frame["keys"], size, strict=True):
-            r = np.frombuffer(r, np.uint32)
-            at = slice(begin, begin + n)
-            docs = np.unique(r)
-            spot = np.searchsorted(docs, r)
-            out.append((
-                s, docs.astype(np.uint32).tobytes(), np.bincount(spot, value[at], len(docs)).tobytes(),
-                np.bincount(spot, known[at], len(docs)).astype(np.uint32).tobytes(), keys if isinstance(keys, bytes) else None, None, 0, 0,
-            ))
-            begin += n
-        often = c >= least
-        out.append((-1, None, None, None, None, unique[often].tobytes() + c[often].tobytes(), int((c > 0).sum()), int(c.sum())))
-        return pd.DataFrame(out, columns=["slice", "docs", "sums", "known", "keys", "often", "v", "n"])
-
-    pairs = docs.select("key", "text", "train").mapInArrow(
-        split, "bucket int, slice long, row binary, token binary, times binary, train binary, keys binary"
-    )
-    schema = "slice long, docs binary, sums binary, known binary, keys binary, often binary, v long, n long"
-    return pairs.groupBy("bucket").applyInPandas(count, schema)
-
-
-def _joined_parts(parts: DataFrame) -> DataFrame:
-    """`(key, sums, known)` of each document, from the parts of its slice."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(next(x for x in frame["keys"] if x is not None), np.int64)
-        sums, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+    def weigh(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.assign(key=table["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+        keys = table["key"].to_numpy(np.uint64)
+        value = {c: np.append(table[c].to_numpy(float), 0.0) for c in ("base", "gain", "known")}
+        out = []
+        for s, row, token, times, ids, n in zip(*(frame[c] for c in ("slice", "row", "token", "times", "ids", "n")), strict=True):
+            place = _find(keys, np.frombuffer(token, np.uint64))
+            hit = place >= 0
+            hit |= isinstance(ids, bytes)
+            rows, spot = np.unique(np.frombuffer(row, np.uint16)[hit], return_inverse=True)
+            place, weight = place[hit], np.frombuffer(times, np.uint32)[hit]
+            sums = [np.bincount(spot, weight * value[c][place], len(rows)) for c in ("base", "gain", "known")]
+            if len(rows) or isinstance(ids, bytes):
+                out.append((s, rows.tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, n))
+        return pd.DataFrame(out, columns=["slice", "rows", "base", "gain", "known", "ids", "n"])
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        head = next((i, n) for i, n in zip(frame["ids"], frame["n"], strict=True) if i is not None)
+        keys, n = (np.frombuffer(x, np.int64) for x in head)
+        base, gain, known = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
         # Always in the same order, so that sums are the same in every run.
-        for docs, s, k in sorted(zip(frame["docs"], frame["sums"], frame["known"], strict=True)):
-            at = np.frombuffer(docs, np.uint32)
-            sums[at] += np.frombuffer(s)
+        for rows, b, g, k in sorted(zip(frame["rows"], frame["base"], frame["gain"], frame["known"], strict=True)):
+            at = np.frombuffer(rows, np.uint16)
+            base[at] += np.frombuffer(b)
+            gain[at] += np.frombuffer(g)
             known[at] += np.frombuffer(k, np.uint32)
-        return pd.DataFrame({"key": keys, "sums": sums, "known": known})
+        return pd.DataFrame({"key": keys, "n_tokens": n, "base": base, "gain": gain, "known": known})
 
-    return parts.filter("slice >= 0").groupBy("slice").applyInPandas(run, "key long, sums double, known long")
+    parts = docs.select("key", "text").mapInArrow(split, "bucket int, slice long, row binary, token binary, times binary, ids binary, n binary")
+    dealt = values.withColumn("bucket", F.expr(f"int(shiftrightunsigned(key, 32) % {buckets})"))
+    schema = "slice long, rows binary, base binary, gain binary, known binary, ids binary, n binary"
+    found = parts.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(weigh, schema)
+    return found.groupBy("slice").applyInPandas(joined, "key long, n_tokens long, base double, gain double, known long")
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -314,46 +405,36 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     texts are one END. Words that training never saw count 0 and have the root's probability for an unseen word. Rows may
     repeat; other columns do not matter. Without training rows N and V are 0, and the tree is its root.
 
-    Every word of every text is counted: the words go once over the network, by hash, with each document's distinct words in blocks.
-    Only runs of words with at least MIN_SHARE occurrences per byte (at most 1 / MIN_SHARE of each length) meet in the driver.
+    Every word of every text is counted, and every longer run that comes LEAST times; nothing but bitmaps of fixed size and two sums
+    meets in the driver. Runs are known by 64-bit hashes.
     """
-    spark = docs.sparkSession
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), in_training().alias("train"))
     given = given.withColumn("key", F.xxhash64("doc_id", "text"))
     size = given.agg(F.sum(F.octet_length("text")).alias("all"), F.sum(F.when(F.col("train"), F.octet_length("text"))).alias("train")).first()
     least = max(LEAST, math.ceil(MIN_SHARE * (size["train"] or 0)))
     buckets = max(BUCKETS, math.ceil((size["all"] or 0) / BUCKET_BYTES))
-    parts = cut_lineage(_root_parts(given, buckets, least))
-    heads = parts.filter("slice = -1").select("often", "v", "n").collect()
-    n, v = sum(r["n"] for r in heads), sum(r["v"] for r in heads)
-    often = [np.frombuffer(r["often"], np.uint64).reshape(2, -1) for r in heads]
-    words = np.concatenate([x[0] for x in often]) if often else np.zeros(0, np.uint64)
-    counts = np.concatenate([x[1] for x in often]).astype(np.int64) if often else np.zeros(0, np.int64)
-    order = np.argsort(words)
-    grams = Grams(words[order], counts[order])
     texts = given.filter("train").select("text")
-    for _ in range(depth):
-        if len(grams.words) and (not grams.codes or len(grams.codes[-1])):
-            count_grams(texts, grams, least)
-    tree = spark.sparkContext.broadcast(grow(grams, n, v))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                row, token = token_stream(part)
-                gain = np.bincount(row, tree.value.gains(row, token), part.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("train"), part.column("key"), pa.array(np.bincount(row, minlength=part.num_rows)), pa.array(gain)],
-                    ["doc_id", "train", "key", "n_tokens", "gain"],
-                )
-
-    gained = given.select("doc_id", "train", "key", "text").mapInArrow(run, f"doc_id {kind}, train boolean, key long, n_tokens long, gain double")
+    words = cut_lineage(count_runs(texts, 1, 1).select("key", "n"))
+    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n, v = total["n"] or 0, total["v"]
+    level = words.withColumn("logp", F.log((F.col("n") + 1) / (n + v + 1)))
+    gains, longer, states = [], level.select("key").limit(0), 1
+    for length in range(2, depth + 2):
+        runs = count_runs(texts, length, least, level.filter(F.col("n") >= least))
+        level = next_level(runs, level)
+        of_states, of_runs = level_gains(level)
+        gains += [of_states, of_runs]
+        longer = longer.unionByName((of_runs if length == 2 else of_states.unionByName(of_runs)).select("key"))
+        states += of_states.count()
+    zero = F.lit(0.0)
+    values = words.select("key", F.log10(F.col("n") + 1).alias("base"), zero.alias("gain"), F.lit(1).alias("known"))
+    for found in gains:
+        values = values.unionByName(found.select("key", zero.alias("base"), "gain", F.lit(0).alias("known")))
+    values = cut_lineage(values.groupBy("key").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain"), F.sum("known").alias("known")))
     # Rows that are equal have one key: each adds the same to the sums.
-    base = _joined_parts(parts).groupBy("key").agg(F.first("sums").alias("sums"), F.first("known").alias("known"))
-    whole = gained.join(base, "key")
-    base_score = F.col("sums") - F.col("n_tokens") * math.log10(n + v + 1)
-    return whole.select(
+    sums = _sums(given, values, longer, buckets, depth + 1).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "base", "gain", "known")])
+    base_score = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
+    return given.select("doc_id", "train", "key").join(sums, "key").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"), (base_score + F.col("gain")).alias("score"), F.lit(tree.value.states).cast("long").alias("n_states"),
+        base_score.alias("base_score"), (base_score + F.col("gain")).alias("score"), F.lit(states).cast("long").alias("n_states"),
     )

@@ -194,6 +194,38 @@ def test_suffix_tree(spark, monkeypatch):
     assert len(empty) == 1 and suffix_tree.score_documents(docs.limit(0)).count() == 0
 
 
+def test_tree_keeps_the_same_contexts_at_any_size(spark):
+    """A pair seen a few times counts however much other text there is, and the tables give what the model in one process gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pair = [(10 + i, "rare pair seldom seen " * 2) for i in range(6)]
+    noise = [(100 + i, " ".join(f"n{rng.randrange(60)}" for _ in range(60_000))) for i in range(24)]
+    schema = "doc_id long, text string"
+    out = {}
+    for name, rows in {"small": pair, "large": pair + noise}.items():
+        got = suffix_tree.score_documents(spark.createDataFrame(rows, schema)).collect()
+        own = [r for r in got if r.doc_id < 100]
+        assert all(r.score > r.base_score + 4 for r in own)
+        out[name] = (rows, got)
+    rows, got = out["large"]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    row, token = suffix_tree.token_stream(pa.RecordBatch.from_pydict({"text": train}))
+    words, counts = np.unique(token, return_counts=True)
+    often = counts >= suffix_tree.LEAST
+    grams = suffix_tree.Grams(words[often], counts[often])
+    for _ in range(suffix_tree.DEPTH):
+        code, n = np.unique(grams.next_codes(row, token), return_counts=True)
+        grams.codes.append(code[n >= suffix_tree.LEAST])
+        grams.numbers.append(n[n >= suffix_tree.LEAST])
+    tree = suffix_tree.grow(grams, int(counts.sum()), len(words))
+    assert got[0].n_states == tree.states
+    row, token = suffix_tree.token_stream(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))
+    want = dict(zip([i for i, _ in rows], np.bincount(row, tree.gains(row, token)), strict=True))
+    assert all(math.isclose(r.score - r.base_score, want[r.doc_id], rel_tol=1e-6, abs_tol=1e-6) for r in got)
+
+
 def test_tree_is_a_distribution():
     """Over all words of the training text and one unseen, the probabilities after any context add up to at most 1, and nearly so."""
     import numpy as np
