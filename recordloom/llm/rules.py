@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.linear import fit_logistic, fit_platt, sigmoid
 from recordloom.llm.words import SEPARATOR, Texts, Words, mix, slices, span_hashes, texts_of
+from recordloom.session import cut_lineage
 
 #: Hashed dimensions of character trigrams, words and word pairs.
 CHAR_DIM, WORD_DIM, PAIR_DIM = 1024, 512, 512
@@ -132,11 +133,18 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def class_weights(y: np.ndarray, total: dict[int, int]) -> np.ndarray:
+    """Of each row the share of its class among all labels over its share among these rows; the weights add up to the rows."""
+    weight = np.where(y > 0, total[1] / max(1, (y > 0).sum()), total[0] / max(1, (y <= 0).sum()))
+    return weight * len(y) / weight.sum()
+
+
 def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.5) -> RuleModel | None:
     """Fit on at most `max_rows` labelled rows, half of each label at most, chosen by a hash of doc_id.
 
-    A fifth of them calibrates the score. Labels that are null or disagree on a document are left out. None if a label is
-    missing: then only the counted rules decide.
+    A fifth of them calibrates the score, each weighing as many labels of its class as it stands for, so that a probability means the
+    same share of all labels whatever the sample. Labels that are null or disagree on a document, or whose document is not in
+    `docs`, are left out. None if a label is missing: then only the counted rules decide.
     """
     seen = (
         labels.filter("doc_id is not null and quality is not null")
@@ -144,7 +152,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshol
         .agg(F.min("quality").alias("_y"), F.max("quality").alias("_most"))
         .filter("_y = _most")
     )
-    hashed = seen.select(F.col("doc_id").alias("_id"), F.col("_y").cast("int"), F.xxhash64("doc_id").alias("_h"))
+    seen = seen.join(docs.select("doc_id"), "doc_id", "left_semi")
+    hashed = cut_lineage(seen.select(F.col("doc_id").alias("_id"), F.col("_y").cast("int"), F.xxhash64("doc_id").alias("_h")))
+    # Of all labels, not of the chosen ones.
+    total = {r["_y"]: r["n"] for r in hashed.filter("_y in (0, 1)").groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     each = [hashed.filter(F.col("_y") == y).orderBy("_h", "_id").limit(max_rows // 2) for y in (0, 1)]
     # max_rows rows at most.
     chosen = F.broadcast(each[0].unionByName(each[1]).withColumn("_fold", F.pmod("_h", F.lit(5)).cast("int")))
@@ -163,7 +174,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshol
         held = np.zeros(len(y), bool)
     beta = fit_logistic(x[~held], y[~held], weight[~held])
     check = held if held.any() else ~held
-    a, b = fit_platt(x[check] @ beta[:-1].astype(np.float32) + beta[-1], y[check])
+    a, b = fit_platt(x[check] @ beta[:-1].astype(np.float32) + beta[-1], y[check], class_weights(y[check], total))
     return RuleModel(beta, a, b, threshold)
 
 

@@ -99,6 +99,17 @@ def test_rules_in_spark(spark):
     assert rules.apply_rules(docs.limit(0), None, ["doc_id"]).count() == 0
 
 
+def test_calibration_does_not_depend_on_the_sample(spark):
+    """A tenth of the labels is bad and the text does not tell: every probability is near 0.9, however few rows are taken of each class."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(30)), int(i % 10 > 0)) for i in range(1500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(5000 + i, 0) for i in range(3000)], "doc_id long, quality int")
+    for most in (6000, 200):
+        model = rules.fit_rules(docs, labels, max_rows=most)
+        mean = rules.apply_rules(docs, model, ["doc_id"]).agg({"quality": "avg"}).first()[0]
+        assert abs(mean - 0.9) < 0.05
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return bpe.Vocabulary.read(*bpe.vocabulary_path())
