@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the counted rules or the n-gram classifier, which is fitted on the labelled ones among them, go."""
-    return keep_by_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+    """Documents that fail the counted rules or the n-gram classifier, which is fitted on the labelled ones of the whole table, go."""
+    return keep_by_rules(docs, fit_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,6 +298,21 @@ def test_cotraining(spark):
     assert all(r.kept and r.score is None for r in one)
 
 
+def test_rules_stage_learns_from_the_whole_table(spark, tmp_path):
+    """The first stage has removed all documents that are labelled bad; junk without a label still goes."""
+    import corpus_pipeline
+
+    good = "the quick brown fox jumps over a lazy dog while rain falls softly on the old town and people walk home slowly"
+    bad = "zq##9 buy$$ now%% cheap&& pills|| win<< cash>> click## here$$ free** offer%% best&& deal|| act<< fast>> $$$1 ###2 %%%3 &&&4 |||5 <<<6 >>>7"
+    rows = [(i, f"{good if i % 2 else bad} {i}") for i in range(60)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    whole.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = whole.filter("doc_id >= 40 OR doc_id % 2 = 1")
+    kept = corpus_pipeline.quality_rules(spark, left, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(1, 60, 2))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
