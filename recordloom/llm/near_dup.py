@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.words import mix, slices, texts_of
@@ -107,8 +107,13 @@ def _digests(sets: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def row_key() -> Column:
+    """A hash of id and text: rows that share it, and the id, are one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """`(doc_id, n, digest, registers)`, one row per row of `docs`."""
+    """`(doc_id, key, n, digest, registers)`, one row per row of `docs`; `key` is a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,15 +122,17 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(_digests(sets), pa.binary()),
                         pa.array([r.tobytes() for r in registers_of(sets)], pa.binary()),
                     ],
-                    ["doc_id", "n", "digest", "registers"],
+                    ["doc_id", "key", "n", "digest", "registers"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, registers binary")
+    given = docs.select("doc_id", row_key().alias("key"), "text")
+    return given.mapInArrow(run, f"doc_id {kind}, key long, n long, digest binary, registers binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -301,10 +308,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Every step is keyed by node or by block, so a bucket or class of any size is spread; only the texts of nodes in shared
     buckets are read a second time.
     """
+    return _classed(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def _classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """`(doc_id, key, n_shingles, component_id, stays)`, one row per row of `docs`; rows that stay share doc_id and key, or have no words."""
     rows = cut_lineage(sketches(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
     some = rows.filter("n > 0")
     nodes = some.groupBy("digest").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("label"), F.min_by("doc_id", "row").alias("doc"),
+        F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"), F.min_by("doc_id", "row").alias("doc"),
         F.first("registers").alias("registers"), F.first("n").alias("n"),
     )
     nodes = cut_lineage(nodes)
@@ -332,16 +344,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     found = cut_lineage(_straggler_links(clusters, placed, busy, sets, percent)).filter("u <> v")
     roots = classes_of(links.unionByName(found)).withColumnRenamed("id", "node")
 
-    labelled = nodes.select("node", "digest", "label").join(roots, "node", "left").select(
-        "digest", "label", F.coalesce("root", "node").alias("root")
+    labelled = nodes.select("node", "digest", "best").join(roots, "node", "left").select(
+        "digest", "best", F.coalesce("root", "node").alias("root")
     )
-    least = labelled.groupBy("root").agg(F.min("label").alias("component"))
-    classes = labelled.join(least, "root").select("digest", "component")
-    own = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rest = some.select("doc_id", "n", "digest").join(classes, "digest").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    least = labelled.groupBy("root").agg(F.min("best").alias("first"))
+    classes = labelled.join(least, "root").select("digest", F.col("first.doc_id").alias("component"), F.col("first.key").alias("first"))
+    own = rows.filter("n = 0").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")
     )
-    return rest.unionByName(own).withColumn("kept", F.expr("doc_id <=> component_id"))
+    rest = some.select("doc_id", "key", "n", "digest").join(classes, "digest").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.expr("doc_id <=> component AND key = first").alias("stays"),
+    )
+    return rest.unionByName(own)
 
 
 def _straggler_links(clusters: DataFrame, placed: DataFrame, busy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -365,17 +380,20 @@ def _straggler_links(clusters: DataFrame, placed: DataFrame, busy: DataFrame, se
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with all their columns, of which one stays for each class: that of the smallest doc_id.
+    """The rows of `docs`, with all their columns, of which one stays for each class: that of the smallest doc_id, null last.
 
-    Documents without words stay. Of rows that repeat a kept doc_id one stays, whatever their texts. Rows are joined to
-    the ids that go, or repeat, so all other rows only pass.
+    Documents without words stay, every one. Rows are told apart by doc_id and text, so different texts under one id, or under none,
+    are judged each by its own class; of equal rows with words one stays. Rows are joined to those that go, or repeat, so all
+    other rows only pass.
     """
-    found = near_duplicates(docs, shingle, percent)
-    ids = found.groupBy(F.col("doc_id").alias("_keep")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    ids = cut_lineage(ids.filter("NOT _kept OR _rows > 1"))
-    mark = docs.join(ids, F.expr("doc_id <=> _keep"), "left")
+    found = _classed(docs, shingle, percent)
+    ids = found.groupBy(F.col("doc_id").alias("_keep"), F.col("key").alias("_of")).agg(
+        F.max("stays").alias("_stays"), F.sum((F.col("n_shingles") > 0).cast("int")).alias("_rows")
+    )
+    ids = cut_lineage(ids.filter("NOT _stays OR _rows > 1"))
+    mark = docs.withColumn("_key", row_key()).join(ids, F.expr("doc_id <=> _keep AND _key = _of"), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = mark.filter("_rows IS NULL").select(*columns)
-    again = mark.filter("_kept AND _rows > 1").select(*columns)
-    # Only rows whose id repeats are grouped; null ids are one id.
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    # Only rows that repeat are grouped.
+    again = mark.filter("_stays AND _rows > 1").dropDuplicates(["doc_id", "_key"]).select(*columns)
+    return once.unionByName(again)

@@ -152,6 +152,22 @@ def test_near_duplicates(spark, monkeypatch, k, small):
         assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_representatives_under_one_id_or_none(spark):
+    """Different texts under no id, or a repeated one, are judged each for itself."""
+
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(30))
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (1, text("d")), (5, text("d")), (5, text("e")), (7, text("a"))]
+    rows += [(None, ""), (None, None), (9, ""), (9, " "), (6, text("f")), (6, text("f")), (8, text("g")), (8, text("g").upper())]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(3)
+    kept = near_dup.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r.doc_id, (r.text or "").strip().lower()) for r in kept.collect())
+    want = [(7, text("a")), (None, text("b")), (None, text("c")), (1, text("d")), (5, text("e")), (6, text("f")), (8, text("g"))]
+    assert got == collections.Counter([*want, (None, ""), (None, ""), (9, ""), (9, "")])
+
+
 def test_contraction_equals_union_find(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, 201)]
