@@ -12,7 +12,10 @@ from recordloom.llm.edit_prints import fingerprint_documents
 from recordloom.llm.language import fit_profiles, held_out, identify
 from recordloom.llm.mixing import mix_sources
 from recordloom.llm.near_dup import near_duplicates
+from recordloom.llm.periods import contract_seed, periodic_runs
+from recordloom.llm.repair import repair_damaged
 from recordloom.llm.rules import apply_rules, fit_rules
+from recordloom.llm.simhash import similar_documents
 from recordloom.llm.suffix_tree import score_documents
 from recordloom.llm.tables import Query, table
 from recordloom.llm.wrapper import extract_main_text
@@ -70,6 +73,18 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), shingle=2)
 
 
+def op11_repair_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_damaged(table(spark, sf, "conversations"))
+
+
+def op12_simhash_covering(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_documents(table(spark, sf, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs(table(spark, sf, "documents"), ["doc_id"], contract_seed())
+
+
 CHAT_SQL = r"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -95,6 +110,56 @@ c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
 
+def _repair_sql() -> str:
+    """The edits as a recursion over rows: for each state the least (cost, audit, lines) so far, first row to last."""
+
+    def edit(state: str, letter: str, cost: str, line: str | None = None) -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}}"
+
+    def keep(state: str, initial: str) -> str:
+        return edit(state, "K", f"x + CASE WHEN c = '{initial}' THEN 0 ELSE 1000000 END", "role || ':' || text")
+
+    def rerole(state: str, role: str) -> str:
+        return edit(state, "R", "x + 1", f"'{role}:' || text")
+
+    def insert(state: str, role: str) -> str:
+        return edit(state, "I", "5", f"'{role}:'")
+
+    drop = {k: edit(f"s{k}", "D", "2") for k in range(4)}
+    into_user = [rerole(f"s{k}", "user") for k in (0, 1, 3)] + [keep(f"s{k}", "u") for k in (0, 1, 3)]
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 20 AS code FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h WHERE code <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS fault FROM o),
+g AS (SELECT *, CASE fault WHEN 'b' THEN 1000000 WHEN 'd' THEN 1000000 WHEN 't' THEN 5 ELSE 0 END AS x FROM f),
+r(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}},
+    {{'c': CAST(9000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}}, {{'c': CAST(5 AS BIGINT), 'a': 'I', 't': ['user:']}},
+    {{'c': CAST(10 AS BIGINT), 'a': 'II', 't': ['user:', 'assistant:']}} FROM conversations
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, least(s3, {insert("s2", "assistant")}) FROM (
+    SELECT conv_id, i, s0, s1, s3, least(s2, {insert("s0", "user")}, {insert("s1", "user")}, {insert("s3", "user")}) AS s2 FROM (
+      SELECT r.conv_id, g.i, {drop[0]} AS s0, least({drop[1]}, {keep("s0", "s")}) AS s1, least({drop[2]}, {", ".join(into_user)}) AS s2,
+        least({drop[3]}, {rerole("s2", "assistant")}, {keep("s2", "a")}) AS s3
+      FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = r.i + 1))),
+e AS (SELECT conv_id, max_by(least(s0, s3), i) AS best FROM r GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op5_language_profiles": op5_language_profiles,
@@ -106,5 +171,8 @@ QUERIES: dict[str, Query] = {
     "op3_suffix_tree": op3_suffix_tree,
     "op4_quality_rules": op4_quality_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op11_repair_conversations": op11_repair_conversations,
+    "op12_simhash_covering": op12_simhash_covering,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": CHAT_SQL, "op10_near_dedup": NEAR_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": CHAT_SQL, "op10_near_dedup": NEAR_SQL, "op11_repair_conversations": _repair_sql()}
