@@ -376,11 +376,14 @@ def coerce_value(val: Val, target: str | None, column: str, source: str | Column
     if bounds is None:
         return carried
     text = out.texts if out.form == "variant" else out.as_text()
+    # Plain digits need a range test at most, and none if the type holds all of them.
+    whole = text.try_cast("bigint")
+    plain = F.lit(True) if bounds == (-(2**63), 2**63 - 1) else whole.between(*bounds)
     exact = text.try_cast("decimal(38,10)")
     # Fractions and values beyond the type are errors, never cut.
     inside = (exact == F.floor(exact)) & exact.between(*[F.lit(str(b)).cast("decimal(38,0)") for b in bounds])
     # Texts in other notations (hexadecimal) are accepted as they are.
-    fits = F.coalesce(inside, text.try_cast("double").isNull())
+    fits = F.when(whole.isNotNull(), plain).otherwise(F.coalesce(inside, text.try_cast("double").isNull()))
     wrong = out.col.isNotNull() & ~fits
     limited = Val(F.when(~wrong, out.col), carried.form, carried.error, None, F.when(~wrong, text) if out.form == "variant" else None)
     return limited.failing(wrong, failure_text(column, source, target, detail))

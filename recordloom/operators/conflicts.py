@@ -1,9 +1,11 @@
 """Conflict policies: what happens when an incoming key is already there.
 
 Incoming rows are reduced to one per key first, with partial aggregation inside every task, so a hot key is small
-before the shuffle.  The reduced rows are then joined to the target: Spark broadcasts them if they are few, and else sorts both
-sides and splits skewed keys.  A row with a NULL in its key matches nothing: like a document without an id it is always appended.
+before the shuffle.  The reduced rows then meet the target in one join, so that incoming rows (often the end of a long
+conversion) are computed once.  A row with a NULL in its key matches nothing: like a document without an id it is always appended.
 Rows that share a key in the target stay as many as they are.
+
+``merge_frames`` gives the whole table after the write.  For a stored table of which a write touches a part, see ``sinks.keyed``.
 """
 
 from __future__ import annotations
@@ -71,6 +73,24 @@ def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
     ])
 
 
+def reduce_rows(incoming: DataFrame, keys: list[str], fed: list[str], first: bool, seq: str, presence: str | None = None) -> DataFrame:
+    """``keys + _new``: the first or last incoming row of each key; a row with a NULL in its key stays by itself.
+
+    With ``presence`` the last row that has a column decides on that column alone, and an absent one is a NULL struct.
+    """
+    order = F.col(f"`{seq}`")
+    nothing = [F.lit(None).alias("_none")]
+    # Rows with a NULL in their key are told apart by their place, so that one pass serves both kinds.
+    grouped = incoming.groupBy(*_keys(keys), F.when(~_keyed(keys), order).alias("_own"))
+    if presence is None:
+        pick = F.min_by if first else F.max_by
+        return grouped.agg(pick(F.struct(*[F.col(f"`{c}`") for c in fed] or nothing), order).alias("_new")).drop("_own")
+    has = F.col(f"`{presence}`")
+    picks = [F.max_by(F.struct(F.col(f"`{c}`").alias("v")), F.when(F.array_contains(has, c), order)).alias(f"_c{i}") for i, c in enumerate(fed)]
+    picked = grouped.agg(*picks or nothing)
+    return picked.select(*_keys(keys), F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(fed)] or nothing).alias("_new"))
+
+
 def merge_frames(
     target: DataFrame,
     incoming: DataFrame,
@@ -92,49 +112,29 @@ def merge_frames(
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
     check_columns(target, incoming, *helpers)
-    rest = [c for c in target.columns if c not in keys]
-    fed = [c for c in rest if c in incoming.columns and c not in helpers]
-    order = F.col(f"`{seq}`")
-    free = _padded(incoming.filter(~_keyed(keys)), target)
-    row = F.struct(*[F.col(f"`{c}`") for c in fed] or [F.lit(None).alias("_none")])
-    grouped = incoming.filter(_keyed(keys)).groupBy(*_keys(keys))
     if policy == "skip":
-        reduced = grouped.agg(F.min_by(row, order).alias("_new"))
-    elif policy == "overwrite" or presence is None:
-        reduced = grouped.agg(F.max_by(row, order).alias("_new"))
-    else:
-        # The last row that has the column decides, one by one; an absent column is a NULL struct.
-        has = F.col(f"`{presence}`")
-        picks = [
-            F.max_by(F.struct(F.col(f"`{c}`").alias("v")), F.when(F.array_contains(has, c), order)).alias(c) for c in fed
-        ]
-        reduced = grouped.agg(*picks or [F.lit(None).alias("_none")])
-        reduced = reduced.select(*_keys(keys), F.struct(*[c for c in fed] or [F.lit(None).alias("_none")]).alias("_new"))
+        return target.unionByName(_padded(rows_to_append(target, incoming.drop(*[h for h in helpers if h != seq]), keys, seq), target))
+    fed = [c for c in target.columns if c not in keys and c in incoming.columns and c not in helpers]
     by_column = presence is not None and policy == "update"
-
-    def value(c: str) -> Column:
-        return F.col(f"_new.`{c}`.v") if by_column else F.col(f"_new.`{c}`")
-
-    found = target.select(*_keys(keys)).join(reduced.select(*_keys(keys)), keys, "left_semi").distinct()
-    fresh = reduced.join(found, keys, "left_anti").select(
-        *_keys(keys), *[value(c).alias(c) for c in fed]
-    )
-    added = _padded(fresh, target).unionByName(free)
-    if policy == "skip":
-        return target.unionByName(added)
-    hit = F.col("_new").isNotNull()
+    reduced = reduce_rows(incoming, keys, fed, False, seq, presence if by_column else None)
+    kinds = {f.name: f.dataType for f in target.schema.fields}
+    old = target.select(*_keys(keys), F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("_old"))
+    # One full join: a stored row keeps or changes its cells, a new row has no stored one.  NULL keys meet nothing.
+    new = reduced.select(*[F.col(f"`{k}`").cast(kinds[k]).alias(k) for k in keys], "_new")
+    both = old.join(new, keys, "full_outer")
+    hit, stored = F.col("_new").isNotNull(), F.col("_old").isNotNull()
 
     def cell(c: str) -> Column:
-        old = F.col(f"`{c}`")
+        before = F.col(f"_old.`{c}`")
         if c in keys:
-            return old
-        kind = target.schema[c].dataType
+            return F.when(stored, before).otherwise(F.col(f"`{c}`")).alias(c)
         if c not in fed:
-            return F.when(~hit, old).cast(kind).alias(c) if policy == "overwrite" else old
+            return (F.when(~hit, before) if policy == "overwrite" else before).alias(c)
         changed = F.col(f"_new.`{c}`").isNotNull() if by_column else hit
-        return F.when(changed, value(c).cast(kind)).otherwise(old).alias(c)
+        value = F.col(f"_new.`{c}`.v") if by_column else F.col(f"_new.`{c}`")
+        return F.when(changed, value.cast(kinds[c])).otherwise(before).alias(c)
 
-    return target.join(reduced, keys, "left").select(*[cell(c) for c in target.columns]).unionByName(added)
+    return both.select(*[cell(c) for c in target.columns])
 
 
 def rows_to_append(target: DataFrame, incoming: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -144,9 +144,5 @@ def rows_to_append(target: DataFrame, incoming: DataFrame, keys: list[str], seq:
     """
     columns = [c for c in incoming.columns if c != seq or c in keys]
     rest = [c for c in columns if c not in keys]
-    first = incoming.filter(_keyed(keys)).groupBy(*_keys(keys)).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(None).alias("_none")]), F.col(f"`{seq}`")).alias("r")
-    )
-    fresh = first.join(target.select(*_keys(keys)), keys, "left_anti")
-    fresh = fresh.select(*[F.col(f"`{c}`") if c in keys else F.col(f"r.`{c}`") for c in columns])
-    return fresh.unionByName(incoming.filter(~_keyed(keys)).select(*[F.col(f"`{c}`") for c in columns]))
+    fresh = reduce_rows(incoming, keys, rest, True, seq).join(target.select(*_keys(keys)), keys, "left_anti")
+    return fresh.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_new.`{c}`") for c in columns])
