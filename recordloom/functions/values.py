@@ -221,23 +221,24 @@ def map_last_wins(keys: Column, values: Column) -> Column:
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text).cast("string")
+
+
 def parse_wrapped(text: Column) -> Column:
-    """Text to ``array<map<string,variant>>``: one element if it is a JSON object.
+    """Text to ``array<map<string,variant>>`` with the JSON object in front, see :func:`only_record`.
 
     The parser stops after the first value, so the text is read as the first of two elements of an array; the second is an object
     whose key is a hash of the text.  Anything behind the record, brackets included, then shifts or loses that object, and the
-    line is malformed.  Repeated keys are settled here, in the same pass over the row.
+    line is malformed.
     """
-    mark = F.xxhash64(text).cast("string")
-    parsed = F.from_json(
-        F.concat(F.lit("["), text, F.lit(',{"'), mark, F.lit('":0}]')), "array<map<string,variant>>", STRICT_JSON
-    )
-    # The inner function names the parsed value, so that it is parsed once.
-    alone = F.transform(
-        F.array(F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith("}"), parsed)),
-        lambda p: F.when((F.size(p) == 2) & F.map_contains_key(F.get(p, 1), mark), F.slice(p, 1, 1)),
-    )
-    return F.transform(F.get(alone, 0), unique_keys)
+    wrapped = F.concat(F.lit("["), text, F.lit(',{"'), _mark(text), F.lit('":0}]'))
+    return F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith("}"), F.from_json(wrapped, "array<map<string,variant>>", STRICT_JSON))
+
+
+def only_record(wrapped: Column, text: Column) -> Column:
+    """The record of :func:`parse_wrapped`, NULL for any text that is no object; repeated keys are still in it."""
+    return F.when((F.size(wrapped) == 2) & F.map_contains_key(F.get(wrapped, 1), _mark(text)), F.get(wrapped, 0))
 
 
 def unique_keys(rec: Column) -> Column:
@@ -246,8 +247,3 @@ def unique_keys(rec: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(rec), rec).otherwise(
         map_last_wins(keys, F.map_values(rec))
     )
-
-
-def only_record(wrapped: Column) -> Column:
-    """The record of :func:`parse_wrapped`, NULL for any text that is no object."""
-    return F.when(F.size(wrapped) == 1, wrapped[0])

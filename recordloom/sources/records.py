@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions.values import as_text, code, map_last_wins, only_record, parse_wrapped
+from recordloom.functions.values import as_text, code, map_last_wins, only_record, parse_wrapped, unique_keys
 from recordloom.sources.lines import barrier, is_blank, pin, read_lines
 
 META = ["file", "line_no", "row_idx"]
@@ -33,9 +33,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     message = F.when(rec0.isNull(), line_error(F.col("line_no"), " is not a JSON object"))
     # Each step refers to the one before more than once, which keeps them apart.
     staged = lines.filter(~is_blank(F.col("value"))).select(
-        "file", "line_no", parse_wrapped(F.col("value")).alias("wrapped")
+        "file", "line_no", "value", parse_wrapped(F.col("value")).alias("wrapped")
     )
-    staged = staged.select("file", "line_no", only_record(F.col("wrapped")).alias("rec0"))
+    staged = staged.select("file", "line_no", only_record(F.col("wrapped"), F.col("value")).alias("one"))
+    staged = staged.select("file", "line_no", unique_keys(F.col("one")).alias("rec0"))
     staged = staged.select(
         "file", "line_no", F.lit(0).alias("row_idx"), rec0.alias("rec"), message.alias("error")
     )
