@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.functions.convert import (
@@ -20,7 +20,7 @@ from recordloom.functions.convert import (
 from recordloom.functions.engines import hive_value
 from recordloom.functions.values import code_is_missing, kind_of
 from recordloom.operators.project import missing_columns, require_columns
-from recordloom.operators.quality import column_error, fail_fast, split_good, unknown_names
+from recordloom.operators.quality import RowError, column_error, fail_fast, split_good, unknown_names
 from recordloom.sources.lines import barrier
 from recordloom.sources.records import META
 
@@ -86,9 +86,11 @@ def _value(spec: ImportSpec, column: str, source: Val, rule: FieldRule | None) -
     return Val(stored.col, "text", error if val.error is None else F.coalesce(val.error, error))
 
 
-def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
+def convert_records(records: DataFrame, spec: ImportSpec, presence: str | None = None) -> DataFrame:
     """Canonical records to ``META + columns + error + error_column``.
 
+    ``presence`` names one more column: the output columns whose key the record has, which tells an absent value from a null one.
+
     Staged projections, each value computed once: the dynamic values, their type
     codes and texts, the typed outputs, and the message of the first failure,
     which only rows that lost a value ever compute.
@@ -99,6 +101,11 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
     keys = list(dict.fromkeys(source for source, _ in feeds.values()))
     looked = find_values(checked, keys, [*META, "error", "rec"])
     present = sum((F.col(f"v{i}").isNotNull().cast("int") for i in range(len(keys))), F.lit(0))
+    meta = list(META)
+    if presence is not None:
+        at = {k: i for i, k in enumerate(keys)}
+        there = F.array_compact(F.array(*[F.when(F.col(f"v{at[source]}").isNotNull(), F.lit(c)) for c, (source, _) in feeds.items()]))
+        looked, meta = looked.withColumn(presence, there), [*META, presence]
     staged, found = type_values(_record_checks(looked, spec, present).drop("rec"), keys)
     codes = [found[source].k for source, _ in feeds.values()]
 
@@ -113,7 +120,7 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
         if column not in plain:
             special[i] = val
     # Only what the messages need stays next to the outputs.
-    kept = staged.columns if special else [*META, "error", *[f"k{i}" for i in range(len(keys))]]
+    kept = staged.columns if special else [*meta, "error", *[f"k{i}" for i in range(len(keys))]]
     staged = staged.select(*kept, *[c.alias(n) for n, c in outputs.items()])
     staged = staged.withColumn("lost", F.when(F.col("error").isNull(), lost))
 
@@ -138,7 +145,7 @@ def convert_records(records: DataFrame, spec: ImportSpec) -> DataFrame:
         F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(", "), message),
     )
     result = staged.select(
-        *META,
+        *meta,
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
         F.coalesce(F.col("error"), text).alias("error"),
         F.when(F.col("lost").isNotNull(), by_column(names)).alias("error_column"),
@@ -156,6 +163,36 @@ def run_import(records: DataFrame, spec: ImportSpec, mode: str = "skip") -> tupl
     return split_good(converted)
 
 
+def import_once(records: DataFrame, spec: ImportSpec, path: str, mode: str = "skip", presence: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """Convert once, into ``path``: ``(good, dead_letters, counts)``, the frames read back from there.
+
+    One write divides the rows by outcome and counts them on the way: ``rows``, ``skipped``, ``lines``.  Under ``mode='fail'`` the
+    first bad row, found by the same pass, is raised once it is known; nothing outside ``path`` has been written then.
+    """
+    if mode not in ("skip", "fail"):
+        raise ValueError(f"unknown mode: {mode}")
+    converted = convert_records(records, spec, presence)
+    bad = F.col("error").isNotNull()
+    seen = Observation()
+    counted = converted.observe(
+        seen, F.count_if(~bad).alias("rows"), F.count_if(bad).alias("skipped"), F.max("line_no").alias("lines"),
+        F.min(F.when(bad, F.struct(*META, "error"))).alias("first"),
+    )
+    counted.withColumn("outcome", F.when(bad, "dead").otherwise("good")).write.partitionBy("outcome").parquet(path)
+    counts = dict(seen.get)
+    first = counts.pop("first")
+    if mode == "fail" and first is not None:
+        raise RowError(first["error"])
+    stored = records.sparkSession.read.schema(f"{_ddl(converted)}, outcome string").parquet(path)
+    good, _ = split_good(stored.filter("outcome = 'good'").drop("outcome"))
+    _, dead = split_good(stored.filter("outcome = 'dead'").drop("outcome"))
+    return good, dead, counts
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def cast_dry_run(records: DataFrame, spec: ImportSpec, n: int = 20) -> DataFrame:
     """What the import would make of the first ``n`` records; nothing is written."""
     sample = records.orderBy(*META).limit(n)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from recordloom.functions.convert import spark_type
 from recordloom.operators import catalog, conflicts, incremental, targets
 from recordloom.plans.import_plan import ImportSpec, convert_records, run_import
 from recordloom.plans.queries_records import edge_lines, node_lines
@@ -12,6 +14,7 @@ from recordloom.plans.registry import lines_of, query, table
 from recordloom.session import scratch
 from recordloom.sinks import lines as out
 from recordloom.sinks import tables as sink
+from recordloom.sinks.keyed import KeyedTable
 from recordloom.sources import records as rec
 from recordloom.sources import tables as src
 from recordloom.streaming import flows
@@ -128,6 +131,20 @@ def conflict_update_absent(spark, sf):
     return conflicts.merge_frames(existing, incoming, ["id"], "update", "seq", "has")
 
 
+@query("conflict_update_files", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 < 3 AND o_orderkey < 2000 THEN 0.0 ELSE o_totalprice END AS balance, o_orderstatus AS segment FROM orders
+UNION ALL SELECT -c_custkey - 1, c_acctbal, NULL FROM customer""")
+def conflict_update_files(spark, sf):
+    """An update of a stored table, file by file: some orders in a range of keys, and rows with new keys."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("balance"), F.col("o_orderstatus").alias("segment"))
+    stored = KeyedTable.create(spark, scratch(spark, "keyed"), o.schema, ["id"])
+    stored.write(o.repartitionByRange(8, "id").withColumn("seq", F.col("id")), "error", "seq")
+    change = o.filter("id % 100 < 3 AND id < 2000").select("id", F.lit(0.0).alias("balance"), F.col("id").alias("seq"))
+    fresh = table(spark, sf, "customer").select((-F.col("c_custkey") - 1).alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_custkey").alias("seq"))
+    stored.write(change.unionByName(fresh), "update", "seq")
+    return stored.read()
+
+
 @query("conflict_overwrite", INCOMING + """
 SELECT id, name, balance, NULL::VARCHAR AS segment FROM i WHERE d = 1
 UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT id FROM i)""")
@@ -350,6 +367,24 @@ def stream_ingest(spark, sf):
     return good.unionByName(dead.select(F.col("column_name").alias("error_column")), allowMissingColumns=True)
 
 
+@query("stream_ingest_keyed", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT o_orderkey, NULL, o_totalprice * 2, 'X' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderpriority IN ('1-URGENT', '5-LOW')""")
+def stream_ingest_keyed(spark, sf):
+    """Two drops of files into one keyed table: all good orders, then records that change two columns of every third order."""
+    root = scratch(spark, "keyed")
+    kinds = {c: spark_type(t) for c, t in ORDER_TARGETS.items()}
+    target = KeyedTable.create(spark, f"{root}/table", StructType.fromDDL(", ".join(f"{c} {t}" for c, t in kinds.items())), ["o_orderkey"])
+    third = table(spark, sf, "orders").filter("o_orderkey % 3 = 0")
+    change = F.to_json(F.struct("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("X").alias("o_orderstatus")))
+    for drop in (damaged_orders(spark, sf), lines_of(third, "o_orderkey", change)):
+        out.write_lines(drop, f"{root}/in", mode="append")
+        flow = flows.stream_ingest_keyed(spark, f"{root}/in", target, f"{root}/dead", f"{root}/ckpt", ImportSpec(ORDER_TARGETS), "update")
+        flow.awaitTermination()
+    return target.read().select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
 @query("stream_log", """
 SELECT event_type AS level, CAST(user_id AS VARCHAR) AS user_field, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_log(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,12 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from recordloom.plans.import_plan import ImportSpec, run_import
+from recordloom.plans.import_plan import ImportSpec, import_once
+from recordloom.session import scratch
+from recordloom.sinks.keyed import KeyedTable, Store
 from recordloom.sources.records import META, read_records
 
 LOG_FIELDS = ("timestamp", "level", "service", "message")
 
 
+def arriving_files(spark: SparkSession, directory: str, files_per_trigger: int) -> DataFrame:
+    """``(file)`` of each file that arrives.  Only paths are asked for, so files are listed here but read in the batch."""
+    return (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .load(directory)
+        .select(F.col("path").alias("file"))
+    )
+
+
 def stream_ingest(
     spark: SparkSession,
     directory: str,
@@ -34,31 +48,71 @@ def stream_ingest(
     ``(file, line, row)`` is stored exactly once.  Line numbers are exact, since
     a batch is made of whole files.
     """
-    # Only paths are asked for, so the files are listed here but read in the batch.
-    arrivals = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(directory)
-        .select(F.col("path").alias("file"))
-    )
-
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         # Names of the new files of one trigger: bounded by files_per_trigger.
         files = [r["file"] for r in batch.distinct().collect()]
         if not files:
             return
-        good, dead = run_import(read_records(session, files), spec)
-        seen = Observation(f"ingest-{batch_id}")
-        good = good.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("line_no").alias("lines"))
+        good, dead, counts = import_once(read_records(session, files), spec, scratch(session, "ingest"))
         good.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         dead.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
         if on_batch:
-            on_batch(batch_id, seen.get)
+            on_batch(batch_id, counts)
+
+    return (
+        arriving_files(spark, directory, files_per_trigger).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_ingest_keyed(
+    spark: SparkSession,
+    directory: str,
+    table: KeyedTable,
+    dead_letters: str,
+    checkpoint: str,
+    spec: ImportSpec,
+    policy: str = "skip",
+    files_per_trigger: int = 1000,
+    on_batch: Callable[[int, dict], None] | None = None,
+) -> StreamingQuery:
+    """Import the JSONL files that arrive in ``directory`` into a keyed table, under a conflict policy, until none is left.
+
+    Rows, batch number and names of the files read are committed in one version of the table.  A batch that died before it is run
+    again from the start, as none of it shows; one that died after it, before the stream noted it, is recognised by its number.
+    If the checkpoint is lost, files whose rows are in the table are not read again.  Of rows with one key the order of
+    file, line and row decides; an update leaves columns alone that a record does not have.
+    Dead letters of a batch go to the folder of the version it becomes, which a batch that is run again overwrites.
+    """
+    store = Store(spark, checkpoint)
+    if store.text("stream-id") is None:
+        store.publish("stream-id", uuid.uuid4().hex)
+    stream = store.text("stream-id")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if table.committed(stream) >= batch_id:
+            return
+        session = batch.sparkSession
+        # Names of the new files of one trigger: bounded by files_per_trigger.
+        files = sorted(r["file"] for r in batch.distinct().join(table.sources(), "file", "left_anti").collect())
+        if not files:
+            return
+        version = table.state()["version"] + 1
+        good, dead, counts = import_once(read_records(session, files), spec, scratch(session, "ingest"), presence="_present")
+        rows = good.withColumn("_seq", F.struct(*META)).drop(*META)
+        dead.write.mode("overwrite").parquet(f"{dead_letters}/version={version}")
+        named = session.createDataFrame([(f,) for f in files], "file string")
+        commit = {"stream": stream, "batch": batch_id, "sources": table.put_sources(named.coalesce(1))}
+        presence = "_present" if policy == "update" else None
+        done = table.write(rows if presence else rows.drop("_present"), policy, "_seq", presence, commit)
+        if on_batch:
+            on_batch(batch_id, {**counts, **done})
 
     return (
-        arrivals.writeStream.foreachBatch(write)
+        arriving_files(spark, directory, files_per_trigger).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
