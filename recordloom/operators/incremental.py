@@ -10,11 +10,78 @@ from pyspark.sql import functions as F
 from recordloom.operators.ordinal import with_ordinal
 
 
+#: Splitters of a range of keys, and rows of a range that is small enough to be sorted.
+SPLITTERS, SORTED_ROWS = 32, 20_000
+
+
+class _Keys:
+    """Key columns, compared as tuples with NULLs first, and their values as literals by way of exact texts."""
+
+    def __init__(self, df: DataFrame, keys: list[str]) -> None:
+        self.keys = keys
+        self.kinds = [df.schema[k].dataType.simpleString() for k in keys]
+        self.tuple = F.struct(*[F.col(f"`{k}`") for k in keys])
+
+    def texts(self) -> list[Column]:
+        shown = [F.base64(F.col(f"`{k}`")) if t == "binary" else F.col(f"`{k}`").cast("string") for k, t in zip(self.keys, self.kinds)]
+        return [c.alias(f"_t{i}") for i, c in enumerate(shown)]
+
+    def literal(self, texts: tuple) -> Column:
+        made = [F.unbase64(F.lit(x)) if t == "binary" else F.lit(x).cast(t) for x, t in zip(texts, self.kinds)]
+        return F.struct(*[c.alias(k) for c, k in zip(made, self.keys)])
+
+    def between(self, low: tuple | None, high: tuple | None) -> Column:
+        """Strictly between; the bounds of the first key stand alone as well, so that files are pruned by them."""
+        test, first = F.lit(True), F.col(f"`{self.keys[0]}`")
+        if low is not None:
+            test = test & (self.tuple > self.literal(low))
+            test = test & (first >= self.literal(low)[self.keys[0]]) if low[0] is not None else test
+        if high is not None:
+            test = test & (self.tuple < self.literal(high))
+            if high[0] is not None:
+                test = test & (first.isNull() | (first <= self.literal(high)[self.keys[0]]))
+        return test
+
+
+def key_at(df: DataFrame, keys: list[str], n: int) -> tuple[tuple, int] | None:
+    """The key (as texts) of the row at place ``n`` in key order, from 0, and the number of rows with smaller keys; None beyond the end.
+
+    A few rows drawn at random split the range of keys; one pass over the key columns counts the rows below and up to each splitter;
+    only the part that holds the place is split again, until a splitter is its key or few rows are left.
+    """
+    of = _Keys(df, keys)
+    low = high = None
+    below, rows = 0, None
+    while rows is None or rows > SORTED_ROWS:
+        part = df.filter(of.between(low, high)).select(*[F.col(f"`{k}`") for k in keys])
+        drawn = part.select("*", F.rand(17).alias("_r")).orderBy("_r").limit(SPLITTERS).drop("_r")
+        splits = [tuple(r) for r in drawn.distinct().orderBy(*[F.col(f"`{k}`") for k in keys]).select(*of.texts()).collect()]
+        counts = [F.count(F.lit(1))]
+        for s in splits:
+            counts += [F.count_if(of.tuple < of.literal(s)), F.count_if(of.tuple <= of.literal(s))]
+        total, *found = part.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).head()
+        if n >= below + total:
+            return None
+        upto, top = 0, total
+        for s, less, most in zip(splits, found[::2], found[1::2]):
+            if below + less <= n < below + most:
+                return s, below + less
+            if n >= below + most:
+                low, upto = s, most
+            else:
+                high, top = s, less
+                break
+        below, rows = below + upto, top - upto
+    part = df.filter(of.between(low, high)).orderBy(*[F.col(f"`{k}`") for k in keys]).offset(n - below).limit(1)
+    key = tuple(part.select(*of.texts()).head())
+    return key, below + df.filter(of.between(low, high) & (of.tuple < of.literal(key))).count()
+
+
 def resume_offset(df: DataFrame, keys: list[str], done: int) -> DataFrame:
-    """Rows after the first ``done`` in key order.
+    """Rows after the first ``done`` in key order (NULLs first; of equal keys by all columns).
 
-    Uses exact positions per partition; ``OFFSET`` would pull all rows through
-    one task.
+    The key at that place is found by counting, see :func:`key_at`.  Rows with greater keys pass a filter; only rows with that very key are put
+    in order, if some of them are done.  Nothing else is sorted or stored.
     """
     if not keys:
         raise ValueError("resuming by offset needs keys")
@@ -22,7 +89,16 @@ def resume_offset(df: DataFrame, keys: list[str], done: int) -> DataFrame:
         raise ValueError("the offset is negative")
     if done == 0:
         return df
-    return with_ordinal(df, keys, "_ord").filter(F.col("_ord") >= done).drop("_ord")
+    found = key_at(df, keys, done)
+    if found is None:
+        return df.limit(0)
+    key, below = found
+    of = _Keys(df, keys)
+    rest = df.filter(of.between(key, None))
+    ties = df.filter(of.tuple == of.literal(key))
+    if done > below:
+        ties = with_ordinal(ties, df.columns, "_ord").filter(F.col("_ord") >= done - below).drop("_ord")
+    return rest.unionByName(ties)
 
 
 def resume_lines(lines: DataFrame, cursor: DataFrame | dict[str, int]) -> DataFrame:

@@ -17,6 +17,7 @@ from recordloom.sinks import tables as sink
 from recordloom.sinks.keyed import KeyedTable
 from recordloom.sources import records as rec
 from recordloom.sources import tables as src
+from recordloom.sources.lines import read_lines
 from recordloom.streaming import flows
 
 
@@ -288,6 +289,27 @@ def resume_offset(spark, sf):
     return left.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
+@query("resume_offset_ties", """
+SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_quantity, l_orderkey, l_linenumber) AS n FROM lineitem)
+WHERE n > (SELECT count(*) // 3 FROM lineitem)""")
+def resume_offset_ties(spark, sf):
+    """A third of the rows is done, in order of a key that thousands of rows share."""
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_orderkey", "l_linenumber")
+    return incremental.resume_offset(li, ["l_quantity"], li.count() // 3).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("resume_files", """
+SELECT o_orderkey, o_orderkey + 1 AS line_no FROM orders WHERE o_orderkey >= 4321""")
+def resume_files(spark, sf):
+    """A file of lines read on from a cursor that is joined to its blocks."""
+    path = scratch(spark, "resumed")
+    o = table(spark, sf, "orders")
+    out.write_lines(lines_of(o, "o_orderkey").orderBy("line_no").coalesce(1), path)
+    name = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    left = read_lines(spark, path, after=name.select("file", F.lit(4321).alias("line_no")))
+    return left.select(F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey"), "line_no")
+
+
 @query("resume_lines", """
 WITH c AS (SELECT event_type, min(event_id) AS done FROM events WHERE value > 150 GROUP BY 1)
 SELECT e.event_type AS file, e.event_id AS line_no FROM events e LEFT JOIN c USING (event_type)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import as_text, code, map_last_wins, only_record, parse_wrapped, unique_keys
-from recordloom.sources.lines import barrier, is_blank, pin, read_lines
+from recordloom.sources.lines import barrier, block_table, is_blank, numbered_lines, pin, raw_lines, read_lines
 
 META = ["file", "line_no", "row_idx"]
 # Keys of a search hit that are not part of the document.
@@ -235,6 +235,21 @@ def graph_edges(records: DataFrame) -> DataFrame:
     )
 
 
+def read_complete_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(file, line_no, value)``: what an interrupted writer finished of each file, blank lines left out.
+
+    The pass that counts the lines of a block finds its first broken line too, so no file is parsed twice and no line is shuffled.
+    """
+    raw = raw_lines(spark, [paths] if isinstance(paths, str) else list(paths))
+    value = F.col("value")
+    parsed = raw.select("*", F.when(~is_blank(value), parse_wrapped(value)).alias("wrapped"))
+    bad = F.when(~is_blank(value) & only_record(F.col("wrapped"), value).isNull(), F.col("mid"))
+    blocks = block_table(parsed.select("file", "block", "mid", bad.alias("bad")), broken=F.min("bad"))
+    first = blocks.groupBy("file").agg(F.min(F.col("broken") - F.col("first_mid") + F.col("before") + 1).alias("mark"))
+    lines = numbered_lines(raw, blocks, first)
+    return lines.filter(~is_blank(F.col("value")) & (F.col("mark").isNull() | (F.col("line_no") < F.col("mark")))).drop("mark")
+
+
 def recover_complete_lines(lines: DataFrame) -> DataFrame:
     """Keep, per file, what an interrupted writer finished.
 
