@@ -25,8 +25,6 @@ from recordloom.session import cut_lineage
 
 #: Least occurrences of a context or transition, at any size of the input.
 LEAST = 4
-#: More occurrences asked for per byte of training text: none, so that the tree grows with the texts.
-MIN_SHARE = 0.0
 #: The longest context.
 DEPTH = 2
 #: Taken off every count of a transition and given to the shorter context.
@@ -41,6 +39,10 @@ END = np.uint64(0x5A17E0F7E27C0DE5)
 FILTER_BITS, FILTER_PARTS = 1 << 26, 64
 #: Runs that a task sums before it hands them on.
 HELD = 1 << 21
+#: Runs of one length from which on their hashes are counted first, packed, and only the frequent ones are then fetched from the texts.
+PACKED_LENGTH = 3
+#: The most frequent words and runs, at most, whose values every task holds (28 bytes each); all others meet their values by bucket.
+HOT = 1 << 19
 
 
 def in_training(doc_id: str = "doc_id") -> Column:
@@ -239,46 +241,72 @@ def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | None = None) -> DataFrame:
-    """`(key, context, suffix, n)` of the runs of a length that come at least `least` times; `shorter` has the `key` of both their parts.
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte from the lowest, so that the high bytes, which are zero, cost nothing once compressed."""
+    return np.ascontiguousarray(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1).T).tobytes()
 
-    A task sums what it reads, so that a run that is everywhere is a few rows for each task.
-    """
-    bits = None if shorter is None else texts.sparkSession.sparkContext.broadcast(_bits(shorter))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel(), dtype=kind)
 
-        def summed() -> tuple[np.ndarray, ...]:
-            key, context, suffix, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(key)
-            key = key[order]
-            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            return key[at], context[order][at], suffix[order][at], np.add.reduceat(n[order], at)
 
-        def out(context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(n)], ["context", "suffix", "n"])
+class _Held:
+    """Rows of equal columns, the first a key, that are made distinct whenever there are more than HELD of them."""
 
-        for batch in batches:
-            for part in slices(batch):
-                *_, (_, context, suffix, key) = runs_of(*token_stream(part), length)
-                if bits is not None:
-                    ok = _in(bits.value, context) & _in(bits.value, suffix)
-                    context, suffix, key = context[ok], suffix[ok], key[ok]
-                if not len(key):
-                    continue
-                held.append((key, context, suffix, np.ones(len(key), np.int64)))
-                size += len(key)
-                if size > HELD:
-                    held[:] = [summed()]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield out(*held[0][1:])
-                        held.clear()
-                        size = 0
-        if size:
-            yield out(*summed()[1:])
+    def __init__(self, merge) -> None:
+        self.merge, self.parts, self.size = merge, [], 0
+
+    def add(self, *columns: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """What has to leave, if merging did not make enough room."""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size <= HELD:
+            return None
+        merged = self.take()
+        if len(merged[0]) > HELD // 2:
+            return merged
+        self.parts, self.size = [merged], len(merged[0])
+        return None
+
+    def take(self) -> tuple[np.ndarray, ...] | None:
+        if not self.size:
+            return None
+        key, *rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return (key[at], *self.merge(order, at, rest))
+
+
+def _summing(order: np.ndarray, at: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    return (*[x[order][at] for x in rest[:-1]], np.add.reduceat(rest[-1][order], at))
+
+
+def _firsts(order: np.ndarray, at: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    return tuple(x[order][at] for x in rest)
+
+
+def _signed(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64)) for c in columns]
+
+
+def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """`(key, context, suffix, n)` of the runs of a length that come at least `least` times; `shorter` has the `key` of both their parts.
+
+    A task sums what it reads, so that a run that is everywhere is a few rows for each task. Of long runs most come once or twice: there the
+    hashes alone are counted, sorted and packed in a row for each task and bucket, and the parts of those that are frequent are
+    fetched in a second pass over the texts.
+    """
+    bits = None if shorter is None else texts.sparkSession.sparkContext.broadcast(_bits(shorter))
+
+    def parts_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        *_, (_, context, suffix, key) = runs_of(*token_stream(part), length)
+        if bits is not None:
+            ok = _in(bits.value, context) & _in(bits.value, suffix)
+            context, suffix, key = context[ok], suffix[ok], key[ok]
+        return context, suffix, key
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,8 +314,74 @@ def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | N
             key = suffix if length == 1 else run_keys(context, suffix)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", "context", "suffix", "n"])
 
-    sums = texts.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") >= least).mapInArrow(named, "key long, context long, suffix long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(_summing)
+        for batch in batches:
+            for part in slices(batch):
+                context, suffix, key = parts_of(part)
+                if len(key) and (full := held.add(key, context, suffix, np.ones(len(key), np.int64))):
+                    yield pa.RecordBatch.from_arrays([*_signed(*full[1:3]), pa.array(full[3])], ["context", "suffix", "n"])
+        if full := held.take():
+            yield pa.RecordBatch.from_arrays([*_signed(*full[1:3]), pa.array(full[3])], ["context", "suffix", "n"])
+
+    if length < PACKED_LENGTH:
+        sums = texts.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+        return sums.filter(F.col("n") >= least).mapInArrow(named, "key long, context long, suffix long, n long")
+
+    edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            cut = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+            own = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
+            columns = [pa.array([b for b, _ in own], pa.int32()), pa.array([_pack(key[x]) for _, x in own], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([_planes(n[x]) for _, x in own], pa.binary())], ["bucket", "keys", "n"])
+
+        held = _Held(_summing)
+        for batch in batches:
+            for part in slices(batch):
+                *_, key = parts_of(part)
+                if len(key) and (full := held.add(key, np.ones(len(key), np.uint32))):
+                    yield out(*full)
+        if full := held.take():
+            yield out(*full)
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([_unpack(x, np.uint64) for x in frame["keys"]])
+        n = np.concatenate([_unplanes(x) for x in frame["n"]]).astype(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.add.reduceat(n[order], at)
+        often = total >= least
+        return pd.DataFrame({"key": key[at][often].view(np.int64), "n": total[often]})
+
+    packed = texts.mapInArrow(pack, "bucket int, keys binary, n binary")
+    often = cut_lineage(packed.groupBy("bucket").applyInPandas(summed, "key long, n long"))
+    wanted = texts.sparkSession.sparkContext.broadcast(_bits(often))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(_firsts)
+        for batch in batches:
+            for part in slices(batch):
+                context, suffix, key = parts_of(part)
+                ok = _in(wanted.value, key)
+                if ok.any() and (full := held.add(key[ok], context[ok], suffix[ok])):
+                    yield pa.RecordBatch.from_arrays(_signed(*full), ["key", "context", "suffix"])
+        if full := held.take():
+            yield pa.RecordBatch.from_arrays(_signed(*full), ["key", "context", "suffix"])
+
+    parts = texts.mapInArrow(fetch, "key long, context long, suffix long")
+    once = parts.groupBy("key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"))
+    return once.join(often, "key").select("key", "context", "suffix", "n")
+
+
+def _planes(n: np.ndarray) -> bytes:
+    return np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(len(n), 4).T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def next_level(runs: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -311,22 +405,39 @@ def next_level(runs: DataFrame, shorter: DataFrame) -> DataFrame:
 
 
 def level_gains(level: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`(key, gain)`: what a state adds (log10) to the score wherever it is the context, and what each of its transitions adds to that.
+    """`(key, gain, n)`: what a state adds (log10) to the score wherever it is the context, and what each of its transitions adds to that.
 
     So the score of a text is the sum over its runs of all lengths, each found by itself.
     """
     kept, ten = level.filter("state"), math.log(10)
-    states = kept.groupBy(F.col("context").alias("key")).agg((F.log(F.first("rest")) / ten).alias("gain"))
-    return states, kept.select("key", ((F.col("logp") - F.col("parent") - F.log("rest")) / ten).alias("gain"))
+    states = kept.groupBy(F.col("context").alias("key")).agg((F.log(F.first("rest")) / ten).alias("gain"), F.sum("n").alias("n"))
+    return states, kept.select("key", ((F.col("logp") - F.col("parent") - F.log("rest")) / ten).alias("gain"), "n")
+
+
+def hottest(values: DataFrame, most: int) -> dict[str, np.ndarray]:
+    """`key` (sorted), `base`, `gain` and `known` of the words and runs from some frequency on, `most` at most; the last of each column is for none."""
+    step = F.floor(F.log2("n") * 4)
+    upto, least = 0, None
+    for r in values.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect():
+        upto += r["count"]
+        if upto > most:
+            break
+        least = r["step"]
+    kept = values.filter(step >= least) if least is not None else values.limit(0)
+    found = kept.select("key", "base", "gain", "known").toArrow()
+    key = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return {"key": key[order], **{c: np.append(found.column(c).to_numpy().astype(float)[order], 0.0) for c in ("base", "gain", "known")}}
 
 
 def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, longest: int) -> DataFrame:
-    """`(key, n_tokens, base, gain, known)` of each document: the sums over its runs of `values(key, base, gain, known)`.
+    """`(key, n_tokens, base, gain, known)` of each document: the sums over its runs of `values(key, base, gain, known, n)`.
 
-    Each document's distinct runs go once over the network, by bucket, in blocks; `longer` has the `key` of the runs of two words and
-    more that have a value. A run that is everywhere is there once for each document.
+    The values of the HOT most frequent words and runs are in every task, so a run that is everywhere stays where it is. A document's other
+    distinct runs go once over the network, by bucket, in blocks; `longer` has the `key` of the runs of two words and more that have a value.
     """
     bits = docs.sparkSession.sparkContext.broadcast(_bits(longer))
+    hot = docs.sparkSession.sparkContext.broadcast(hottest(values, HOT))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -334,10 +445,16 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
             for part in slices(batch):
                 row, token = token_stream(part)
                 rows, keys = [], []
+                own_sums = np.zeros((3, part.num_rows))
                 for length, (r, _, _, key) in enumerate(runs_of(row, token, longest), 1):
-                    ok = _in(bits.value, key) if length > 1 else slice(None)
-                    rows.append(r[ok])
-                    keys.append(key[ok])
+                    if length > 1:
+                        ok = _in(bits.value, key)
+                        r, key = r[ok], key[ok]
+                    place = _find(hot.value["key"], key)
+                    for i, c in enumerate(("base", "gain", "known")):
+                        own_sums[i] += np.bincount(r, hot.value[c][place], part.num_rows)
+                    rows.append(r[place < 0])
+                    keys.append(key[place < 0])
                 n = np.bincount(row, minlength=part.num_rows)
                 row, key = np.concatenate(rows), np.concatenate(keys)
                 bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
@@ -347,20 +464,21 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                 times = np.diff(np.append(at, len(row)))
                 row, key, bucket = row[at], key[at], bucket[at]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                ids = part.column("key").to_numpy().tobytes()
+                ids = np.concatenate([part.column("key").to_numpy(), n]).astype(np.int64).tobytes()
                 out = []
-                for b in range(buckets):
+                # What a slice has in hand goes to a bucket of its own choice.
+                head = int(mix(np.array([number], np.uint64))[0] % np.uint64(buckets))
+                for b in np.union1d(np.flatnonzero(cut[1:] > cut[:-1]), [head]).tolist():
                     own = slice(cut[b], cut[b + 1])
-                    if cut[b] < cut[b + 1] or b == 0:
-                        # A slice has at most SLICE_ROWS rows.
-                        out.append((
-                            b, number, row[own].astype(np.uint16).tobytes(), key[own].tobytes(), times[own].astype(np.uint32).tobytes(),
-                            ids if b == 0 else None, n.astype(np.int64).tobytes() if b == 0 else None,
-                        ))
+                    # A slice has at most SLICE_ROWS rows.
+                    out.append((
+                        b, number, row[own].astype(np.uint16).tobytes(), key[own].tobytes(), times[own].astype(np.uint32).tobytes(),
+                        ids if b == head else None, own_sums.tobytes() if b == head else None,
+                    ))
                 number += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)],
-                    ["bucket", "slice", "row", "token", "times", "ids", "n"],
+                    ["bucket", "slice", "row", "token", "times", "ids", "own"],
                 )
 
     def weigh(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
@@ -368,21 +486,21 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
         keys = table["key"].to_numpy(np.uint64)
         value = {c: np.append(table[c].to_numpy(float), 0.0) for c in ("base", "gain", "known")}
         out = []
-        for s, row, token, times, ids, n in zip(*(frame[c] for c in ("slice", "row", "token", "times", "ids", "n")), strict=True):
+        for s, row, token, times, ids, own in zip(*(frame[c] for c in ("slice", "row", "token", "times", "ids", "own")), strict=True):
             place = _find(keys, np.frombuffer(token, np.uint64))
             hit = place >= 0
-            hit |= isinstance(ids, bytes)
             rows, spot = np.unique(np.frombuffer(row, np.uint16)[hit], return_inverse=True)
             place, weight = place[hit], np.frombuffer(times, np.uint32)[hit]
             sums = [np.bincount(spot, weight * value[c][place], len(rows)) for c in ("base", "gain", "known")]
             if len(rows) or isinstance(ids, bytes):
-                out.append((s, rows.tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, n))
-        return pd.DataFrame(out, columns=["slice", "rows", "base", "gain", "known", "ids", "n"])
+                out.append((s, rows.tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, own))
+        return pd.DataFrame(out, columns=["slice", "rows", "base", "gain", "known", "ids", "own"])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
-        head = next((i, n) for i, n in zip(frame["ids"], frame["n"], strict=True) if i is not None)
-        keys, n = (np.frombuffer(x, np.int64) for x in head)
-        base, gain, known = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        ids, own = next((i, x) for i, x in zip(frame["ids"], frame["own"], strict=True) if i is not None)
+        keys, n = np.frombuffer(ids, np.int64).reshape(2, -1)
+        base, gain, known = np.frombuffer(own).reshape(3, -1).copy()
+        known = known.astype(np.int64)
         # Always in the same order, so that sums are the same in every run.
         for rows, b, g, k in sorted(zip(frame["rows"], frame["base"], frame["gain"], frame["known"], strict=True)):
             at = np.frombuffer(rows, np.uint16)
@@ -391,9 +509,9 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
             known[at] += np.frombuffer(k, np.uint32)
         return pd.DataFrame({"key": keys, "n_tokens": n, "base": base, "gain": gain, "known": known})
 
-    parts = docs.select("key", "text").mapInArrow(split, "bucket int, slice long, row binary, token binary, times binary, ids binary, n binary")
-    dealt = values.withColumn("bucket", F.expr(f"int(shiftrightunsigned(key, 32) % {buckets})"))
-    schema = "slice long, rows binary, base binary, gain binary, known binary, ids binary, n binary"
+    parts = docs.select("key", "text").mapInArrow(split, "bucket int, slice long, row binary, token binary, times binary, ids binary, own binary")
+    dealt = values.drop("n").withColumn("bucket", F.expr(f"int(shiftrightunsigned(key, 32) % {buckets})"))
+    schema = "slice long, rows binary, base binary, gain binary, known binary, ids binary, own binary"
     found = parts.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(weigh, schema)
     return found.groupBy("slice").applyInPandas(joined, "key long, n_tokens long, base double, gain double, known long")
 
@@ -410,8 +528,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), in_training().alias("train"))
     given = given.withColumn("key", F.xxhash64("doc_id", "text"))
-    size = given.agg(F.sum(F.octet_length("text")).alias("all"), F.sum(F.when(F.col("train"), F.octet_length("text"))).alias("train")).first()
-    least = max(LEAST, math.ceil(MIN_SHARE * (size["train"] or 0)))
+    size = given.agg(F.sum(F.octet_length("text")).alias("all")).first()
     buckets = max(BUCKETS, math.ceil((size["all"] or 0) / BUCKET_BYTES))
     texts = given.filter("train").select("text")
     words = cut_lineage(count_runs(texts, 1, 1).select("key", "n"))
@@ -420,17 +537,18 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     level = words.withColumn("logp", F.log((F.col("n") + 1) / (n + v + 1)))
     gains, longer, states = [], level.select("key").limit(0), 1
     for length in range(2, depth + 2):
-        runs = count_runs(texts, length, least, level.filter(F.col("n") >= least))
+        runs = count_runs(texts, length, LEAST, level.filter(F.col("n") >= LEAST), buckets)
         level = next_level(runs, level)
         of_states, of_runs = level_gains(level)
         gains += [of_states, of_runs]
         longer = longer.unionByName((of_runs if length == 2 else of_states.unionByName(of_runs)).select("key"))
         states += of_states.count()
     zero = F.lit(0.0)
-    values = words.select("key", F.log10(F.col("n") + 1).alias("base"), zero.alias("gain"), F.lit(1).alias("known"))
+    values = words.select("key", F.log10(F.col("n") + 1).alias("base"), zero.alias("gain"), F.lit(1).alias("known"), "n")
     for found in gains:
-        values = values.unionByName(found.select("key", zero.alias("base"), "gain", F.lit(0).alias("known")))
-    values = cut_lineage(values.groupBy("key").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain"), F.sum("known").alias("known")))
+        values = values.unionByName(found.select("key", zero.alias("base"), "gain", F.lit(0).alias("known"), "n"))
+    sums = [F.sum(c).alias(c) for c in ("base", "gain", "known")]
+    values = cut_lineage(values.groupBy("key").agg(*sums, F.max("n").alias("n")))
     # Rows that are equal have one key: each adds the same to the sums.
     sums = _sums(given, values, longer, buckets, depth + 1).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "base", "gain", "known")])
     base_score = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)

@@ -184,8 +184,9 @@ def test_contraction_equals_union_find(spark, monkeypatch):
     assert classes() == plain
 
 
-def test_suffix_tree(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "MIN_SHARE", 1e-4)
+@pytest.mark.parametrize("hot", [0, 300, 1 << 19])
+def test_suffix_tree(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
     rng = random.Random(3)
     rows = []
     for i in range(300):
