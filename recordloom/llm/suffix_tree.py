@@ -40,7 +40,7 @@ FILTER_BITS, FILTER_PARTS = 1 << 26, 64
 #: Runs that a task sums before it hands them on.
 HELD = 1 << 21
 #: Runs of one length from which on their hashes are counted first, packed, and only the frequent ones are then fetched from the texts.
-PACKED_LENGTH = 3
+PACKED_LENGTH = 2
 #: The most frequent words and runs, at most, whose values every task holds (28 bytes each); all others meet their values by bucket.
 HOT = 1 << 19
 
