@@ -337,16 +337,19 @@ def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | N
             columns = [pa.array([b for b, _ in own], pa.int32()), pa.array([_pack(key[x]) for _, x in own], pa.binary())]
             return pa.RecordBatch.from_arrays([*columns, pa.array([_planes(n[x]) for _, x in own], pa.binary())], ["bucket", "keys", "n"])
 
-        held = _Held(_summing)
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 *_, key = parts_of(part)
-                if len(key) and (full := held.add(key, np.ones(len(key), np.uint32))):
-                    yield out(*full)
-        if full := held.take():
-            yield out(*full)
-
-    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+                held.append(key)
+                size += len(key)
+                if size > 2 * HELD:
+                    yield out(*np.unique(np.concatenate(held), return_counts=True))
+                    held, size = [], 0
+        if size:
+            yield out(*np.unique(np.concatenate(held), return_counts=True))
+
+    def summed(bucket: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([_unpack(x, np.uint64) for x in frame["keys"]])
         n = np.concatenate([_unplanes(x) for x in frame["n"]]).astype(np.int64)
         order = np.argsort(key)
@@ -354,26 +357,42 @@ def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | N
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         total = np.add.reduceat(n[order], at)
         often = total >= least
-        return pd.DataFrame({"key": key[at][often].view(np.int64), "n": total[often]})
+        return pd.DataFrame({"bucket": np.full(int(often.sum()), bucket[0], np.int32), "key": key[at][often].view(np.int64), "n": total[often]})
 
     packed = texts.mapInArrow(pack, "bucket int, keys binary, n binary")
-    often = cut_lineage(packed.groupBy("bucket").applyInPandas(summed, "key long, n long"))
+    often = cut_lineage(packed.groupBy("bucket").applyInPandas(summed, "bucket int, key long, n long"))
     wanted = texts.sparkSession.sparkContext.broadcast(_bits(often))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
+            cut = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+            own = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
+            columns = [pa.array([x[s].tobytes() for _, s in own], pa.binary()) for x in (context, suffix)]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), *columns], ["bucket", "context", "suffix"])
+
         held = _Held(_firsts)
         for batch in batches:
             for part in slices(batch):
                 context, suffix, key = parts_of(part)
                 ok = _in(wanted.value, key)
                 if ok.any() and (full := held.add(key[ok], context[ok], suffix[ok])):
-                    yield pa.RecordBatch.from_arrays(_signed(*full), ["key", "context", "suffix"])
+                    yield out(*full)
         if full := held.take():
-            yield pa.RecordBatch.from_arrays(_signed(*full), ["key", "context", "suffix"])
+            yield out(*full)
+
+    def matched(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(known["key"].to_numpy(np.int64).view(np.uint64))
+        key, n = known["key"].to_numpy(np.int64).view(np.uint64)[order], known["n"].to_numpy(np.int64)[order]
+        parts = np.zeros((2, len(key)), np.uint64)
+        for context, suffix in zip(frame["context"], frame["suffix"], strict=True):
+            context, suffix = np.frombuffer(context, np.uint64), np.frombuffer(suffix, np.uint64)
+            place = _find(key, run_keys(context, suffix))
+            hit = place >= 0
+            parts[:, place[hit]] = context[hit], suffix[hit]
+        return pd.DataFrame({"key": key.view(np.int64), "context": parts[0].view(np.int64), "suffix": parts[1].view(np.int64), "n": n})
 
-    parts = texts.mapInArrow(fetch, "key long, context long, suffix long")
-    once = parts.groupBy("key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"))
-    return once.join(often, "key").select("key", "context", "suffix", "n")
+    parts = texts.mapInArrow(fetch, "bucket int, context binary, suffix binary")
+    return parts.groupBy("bucket").cogroup(often.groupBy("bucket")).applyInPandas(matched, "key long, context long, suffix long, n long")
 
 
 def _planes(n: np.ndarray) -> bytes:
@@ -434,7 +453,7 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
     """`(key, n_tokens, base, gain, known)` of each document: the sums over its runs of `values(key, base, gain, known, n)`.
 
     The values of the HOT most frequent words and runs are in every task, so a run that is everywhere stays where it is. A document's other
-    distinct runs go once over the network, by bucket, in blocks; `longer` has the `key` of the runs of two words and more that have a value.
+    runs go once over the network, by bucket, in blocks; `longer` has the `key` of the runs of two words and more that have a value.
     """
     bits = docs.sparkSession.sparkContext.broadcast(_bits(longer))
     hot = docs.sparkSession.sparkContext.broadcast(hottest(values, HOT))
@@ -457,12 +476,9 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                     keys.append(key[place < 0])
                 n = np.bincount(row, minlength=part.num_rows)
                 row, key = np.concatenate(rows), np.concatenate(keys)
-                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
-                order = np.lexsort((key, row, bucket))
+                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+                order = np.argsort(bucket, kind="stable")
                 row, key, bucket = row[order], key[order], bucket[order]
-                at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, np.int64)
-                times = np.diff(np.append(at, len(row)))
-                row, key, bucket = row[at], key[at], bucket[at]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 ids = np.concatenate([part.column("key").to_numpy(), n]).astype(np.int64).tobytes()
                 out = []
@@ -472,13 +488,13 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                     own = slice(cut[b], cut[b + 1])
                     # A slice has at most SLICE_ROWS rows.
                     out.append((
-                        b, number, row[own].astype(np.uint16).tobytes(), key[own].tobytes(), times[own].astype(np.uint32).tobytes(),
+                        b, number, row[own].astype(np.uint16).tobytes(), key[own].tobytes(),
                         ids if b == head else None, own_sums.tobytes() if b == head else None,
                     ))
                 number += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)],
-                    ["bucket", "slice", "row", "token", "times", "ids", "own"],
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)],
+                    ["bucket", "slice", "row", "token", "ids", "own"],
                 )
 
     def weigh(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
@@ -486,12 +502,12 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
         keys = table["key"].to_numpy(np.uint64)
         value = {c: np.append(table[c].to_numpy(float), 0.0) for c in ("base", "gain", "known")}
         out = []
-        for s, row, token, times, ids, own in zip(*(frame[c] for c in ("slice", "row", "token", "times", "ids", "own")), strict=True):
+        for s, row, token, ids, own in zip(*(frame[c] for c in ("slice", "row", "token", "ids", "own")), strict=True):
             place = _find(keys, np.frombuffer(token, np.uint64))
             hit = place >= 0
             rows, spot = np.unique(np.frombuffer(row, np.uint16)[hit], return_inverse=True)
-            place, weight = place[hit], np.frombuffer(times, np.uint32)[hit]
-            sums = [np.bincount(spot, weight * value[c][place], len(rows)) for c in ("base", "gain", "known")]
+            place = place[hit]
+            sums = [np.bincount(spot, value[c][place], len(rows)) for c in ("base", "gain", "known")]
             if len(rows) or isinstance(ids, bytes):
                 out.append((s, rows.tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, own))
         return pd.DataFrame(out, columns=["slice", "rows", "base", "gain", "known", "ids", "own"])
@@ -509,7 +525,7 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
             known[at] += np.frombuffer(k, np.uint32)
         return pd.DataFrame({"key": keys, "n_tokens": n, "base": base, "gain": gain, "known": known})
 
-    parts = docs.select("key", "text").mapInArrow(split, "bucket int, slice long, row binary, token binary, times binary, ids binary, own binary")
+    parts = docs.select("key", "text").mapInArrow(split, "bucket int, slice long, row binary, token binary, ids binary, own binary")
     dealt = values.drop("n").withColumn("bucket", F.expr(f"int(shiftrightunsigned(key, 32) % {buckets})"))
     schema = "slice long, rows binary, base binary, gain binary, known binary, ids binary, own binary"
     found = parts.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(weigh, schema)
