@@ -87,7 +87,9 @@ def label_counts(nodes: DataFrame) -> DataFrame:
 
 
 def edge_type_counts(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("_type").alias("type")).agg(F.count(F.lit(1)).alias("edges"))
+    """Relationships per type; lines that are none are left out where the frame says so."""
+    good = edges.filter("error IS NULL") if "error" in edges.columns else edges
+    return good.groupBy(F.col("_type").alias("type")).agg(F.count(F.lit(1)).alias("edges"))
 
 
 def index_listing(stats: DataFrame, aliases: DataFrame, fields: DataFrame) -> DataFrame:

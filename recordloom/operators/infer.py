@@ -13,7 +13,10 @@ from recordloom.functions.values import (
     code,
     staged_text,
 )
-from recordloom.operators.project import NAME_BITS
+from recordloom.operators.ordinal import with_ordinal
+from recordloom.operators.project import place
+from recordloom.operators.quality import fail_fast
+from recordloom.session import cut_lineage
 from recordloom.sources.records import META
 
 # The logical types; the three numeric ones widen in this order.
@@ -74,7 +77,7 @@ def merge_types(left: Column, right: Column) -> Column:
 def infer_schema(records: DataFrame) -> DataFrame:
     """``(ordinal, name, logical_type, nullable, present)`` of the good records.
 
-    One pass.  Records become one short row per key; the aggregation per key
+    One pass, made at once.  Records become one short row per key; the aggregation per key
     and file runs inside each task first and keeps only long buffers, so the
     shuffle carries a few rows per task however many records there are, and a
     key that every record has is no hot spot.
@@ -93,7 +96,7 @@ def infer_schema(records: DataFrame) -> DataFrame:
         "file",
         F.when(F.col("pos") > 0, F.col("name")).alias("name"),
         rank.alias("rank"),
-        (F.shiftleft(F.col("line_no"), NAME_BITS) + F.col("pos")).alias("at"),
+        place(F.col("line_no"), F.col("pos")).alias("at"),
     )
     per_file = ranked.groupBy("name", "file").agg(
         F.count(F.lit(1)).alias("present"),
@@ -109,24 +112,29 @@ def infer_schema(records: DataFrame) -> DataFrame:
         F.max("hi").alias("hi"),
         F.min(F.struct("file", "at")).alias("first"),
     )
-    # From here on there is one row per column.
-    columns = per_name.agg(
-        F.array_sort(F.collect_list(F.struct("first", "name", "present", "typed", "lo", "hi"))).alias("all")
-    )
-    whole = F.element_at(F.filter("all", lambda c: c["name"].isNull()), 1)["present"]
-    named = columns.select(
-        whole.alias("total"),
-        F.posexplode(F.filter("all", lambda c: c["name"].isNotNull())).alias("ordinal", "c"),
-    )
-    return named.select(
+    # One row per column, which may be as many as records where keys are data: they are numbered range by range.  The number of
+    # records, which is the count of the entry without a name, is a single row.
+    per_name = cut_lineage(per_name)
+    whole = per_name.filter("name IS NULL").head()
+    ranked = with_ordinal(per_name.filter("name IS NOT NULL"), ["first", "name"], "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
+    return ranked.select(
         "ordinal",
-        F.col("c.name").alias("name"),
-        merged_type(F.col("c.lo"), F.col("c.hi")).alias("logical_type"),
-        ((F.col("c.typed") < F.col("c.present")) | (F.col("c.present") < F.col("total"))).alias("nullable"),
-        F.col("c.present").alias("present"),
+        "name",
+        merged_type(F.col("lo"), F.col("hi")).alias("logical_type"),
+        ((F.col("typed") < F.col("present")) | (F.col("present") < F.lit(whole["present"] if whole else 0))).alias("nullable"),
+        "present",
     )
 
 
+def infer_with_errors(records: DataFrame, mode: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """The columns of the good records, and the bad ones as ``(file, line_no, row_idx, error)``; ``mode='fail'`` raises the first of these."""
+    if mode not in ("skip", "fail"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "fail":
+        fail_fast(records)
+    return infer_schema(records), records.filter(F.col("error").isNotNull()).select(*META, "error")
+
+
 def sample_records(records: DataFrame, n: int | None = DEFAULT_SAMPLE) -> DataFrame:
     """The first ``n`` good records in file order (a bounded top-n, no full sort); ``None`` takes all."""
     good = records.filter(F.col("rec").isNotNull())

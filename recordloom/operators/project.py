@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.ordinal import with_ordinal
 from recordloom.sources.lines import pin
 
-NAME_BITS = 20
-
 
 def _names(columns: list[str]) -> Column:
     return F.array(*[F.lit(c) for c in columns])
@@ -103,18 +102,22 @@ def first_record_columns(records: DataFrame) -> DataFrame:
     return first.select(F.posexplode("names").alias("pos", "name"))
 
 
+def place(line_no: Column, pos: Column) -> Column:
+    """Line and key position as one number of fixed width: 38 digits hold any line number and any position."""
+    return line_no.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
+
+
 def first_seen_columns(records: DataFrame) -> DataFrame:
     """``(name, file, at)`` with the place of the first occurrence of every key.
 
-    ``at`` packs line and key position into one long, so the first aggregation
-    runs on mutable fixed-width buffers and shrinks each task's rows to one per
-    key and file before anything is shuffled.
+    ``at`` is :func:`place`, so the first aggregation runs on fixed-width
+    buffers and shrinks each task's rows to one per key and file before
+    anything is shuffled.
     """
     keys = records.filter(F.col("rec").isNotNull()).select(
         "file", "line_no", F.posexplode(F.map_keys("rec")).alias("pos", "name")
     )
-    at = F.shiftleft(F.col("line_no"), NAME_BITS) + F.col("pos")
-    per_file = keys.groupBy("name", "file").agg(F.min(at).alias("at"))
+    per_file = keys.groupBy("name", "file").agg(F.min(place(F.col("line_no"), F.col("pos"))).alias("at"))
     return (
         per_file.groupBy("name")
         .agg(F.min(F.struct("file", "at")).alias("first"))
@@ -125,13 +128,10 @@ def first_seen_columns(records: DataFrame) -> DataFrame:
 def union_columns(records: DataFrame) -> DataFrame:
     """All keys over all records in first-seen order, as ``(ordinal, name)``.
 
-    One row per distinct key: the single-task numbering is bounded by the
-    number of columns, not by the number of records.
+    The keys are numbered range by range, so there may be as many as records.
     """
-    names = first_seen_columns(records).agg(
-        F.array_sort(F.collect_list(F.struct("file", "at", "name"))).alias("all")
-    )
-    return names.select(F.posexplode("all").alias("ordinal", "c")).select("ordinal", "c.name")
+    numbered = with_ordinal(first_seen_columns(records), ["file", "at", "name"], "ordinal")
+    return numbered.select(F.col("ordinal").cast("int").alias("ordinal"), "name")
 
 
 def pin_values(records: DataFrame, **columns: Column) -> DataFrame:

@@ -270,6 +270,22 @@ def filter_dsl(spark, sf):
     return filters.filter_dsl(events, query_object, "event_id", now).select("event_id", "event_type", "value")
 
 
+@query("graph_bad_lines", """
+SELECT o_orderkey + 1 AS line_no, CASE o_orderstatus WHEN 'F' THEN CAST(o_orderkey AS VARCHAR) END AS _id,
+  CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderpriority = '5-LOW' THEN 'line ' || (o_orderkey + 1) || ' is not a JSON object'
+    ELSE 'line ' || (o_orderkey + 1) || ' is neither a node nor a relationship' END AS error
+FROM orders WHERE o_orderstatus <> 'O'""")
+def graph_bad_lines(spark, sf):
+    """Nodes among relationships (left to their own reader), lines of neither kind, and lines that are cut off."""
+    o = table(spark, sf, "orders")
+    node = F.to_json(F.struct(F.col("o_orderkey").alias("_id"), F.array(F.lit("Order")).alias("_labels")))
+    edge = F.to_json(F.struct(F.col("o_orderkey").alias("_id"), F.lit("P").alias("_type"), F.lit(1).alias("_src"), F.lit(2).alias("_dst")))
+    other = F.when(F.col("o_orderpriority") == "5-LOW", F.lit('{"_id":')).otherwise(F.lit('{"_id":1,"_type":"P"}'))
+    value = F.when(F.col("o_orderstatus") == "F", node).when(F.col("o_orderstatus") == "O", edge).otherwise(other)
+    nodes = rec.graph_nodes(rec.records_of(lines_of(o, F.col("o_orderkey") + 1, value)))
+    return nodes.select("line_no", "_id", "error")
+
+
 @query("graph_where", """
 SELECT CAST(c_custkey AS VARCHAR) AS _id, c_acctbal AS balance FROM customer
 WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 1000""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -425,6 +428,36 @@ def stream_log(spark, sf):
     return got.groupBy("level", F.try_element_at("fields", F.lit("user_id")).alias("user_field")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_log_growing", """
+SELECT event_type AS level, CAST(user_id AS VARCHAR) AS user_field, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_log_growing(spark, sf):
+    """Four log files that tasks append to between the triggers, each time leaving off inside a line."""
+    root = scratch(spark, "growing").removeprefix("file://").removeprefix("file:")
+    os.makedirs(f"{root}/in")
+    e = table(spark, sf, "events")
+    line = F.to_json(F.struct(F.col("ts").alias("timestamp"), F.col("event_type").alias("level"), F.lit("svc").alias("service"),
+                              F.lit("m").alias("message"), F.col("user_id")))
+
+    def append(rows):
+        with open(f"{root}/in/{TaskContext.get().partitionId()}.log", "a") as f:
+            for r in rows:
+                f.write(f"\n{r.line}")
+
+    def deliver(batch, batch_id):
+        batch.write.mode("append").parquet(f"{root}/out")
+
+    def drain():
+        flows.stream_log_growing(spark, f"{root}/in", f"{root}/ckpt", deliver, interval=None, start="begin").awaitTermination()
+
+    for third in range(3):
+        e.filter(F.col("event_id") % 3 == third).select("event_id", line.alias("line")).repartition(4, "event_id").foreachPartition(append)
+        drain()
+    spark.range(0, 4, 1, 4).select(F.lit("").alias("line")).foreachPartition(append)
+    drain()
+    got = spark.read.parquet(f"{root}/out")
+    return got.groupBy("level", F.try_element_at("fields", F.lit("user_id")).alias("user_field")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("progress_metrics", """
 SELECT 'table' AS file, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '5-LOW')) AS rows, max(o_orderkey) + 1 AS lines,
   count(*) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')) AS skipped FROM orders""")

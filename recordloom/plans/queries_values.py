@@ -411,6 +411,20 @@ def infer_schema_ragged(spark, sf):
     return infer.infer_schema(rec.records_of(ragged_events(spark, sf)))
 
 
+@query("infer_schema_keyed_by_data", """
+SELECT 0 AS ordinal, 'id' AS name, 'integer' AS logical_type, false AS nullable, (SELECT count(*) FROM orders WHERE o_orderpriority <> '5-LOW') AS present
+UNION ALL SELECT row_number() OVER (ORDER BY o_orderkey), 'k' || o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'string' ELSE 'integer' END, true, 1
+FROM orders WHERE o_orderpriority <> '5-LOW'""")
+def infer_schema_keyed_by_data(spark, sf):
+    """Records with a key of their own each: as many columns as records; broken lines are handed on beside them."""
+    o = table(spark, sf, "orders")
+    value = F.when(F.col("o_orderstatus") == "F", F.lit('"x"')).otherwise(F.col("o_custkey").cast("string"))
+    whole = F.concat(F.lit('{"id":'), "o_orderkey", F.lit(',"k'), "o_orderkey", F.lit('":'), value, F.lit("}"))
+    text = F.when(F.col("o_orderpriority") == "5-LOW", F.lit('{"id":')).otherwise(whole)
+    columns, bad = infer.infer_with_errors(rec.records_of(lines_of(o, F.col("o_orderkey") + 1, text)))
+    return columns
+
+
 @query("infer_schema_sample", """
 WITH s AS (SELECT * FROM events ORDER BY event_id LIMIT 1000), k AS (
   SELECT 'event_id' AS name, 'integer' AS t, min(event_id) AS m, 0 AS p, count(*) AS present FROM s

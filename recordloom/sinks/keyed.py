@@ -174,6 +174,8 @@ class KeyedTable:
         if commit:
             new["streams"] = {**state["streams"], commit["stream"]: commit["batch"]}
             new["sources"] = [*state["sources"], commit["sources"]]
+            sums = state.get("progress", {})
+            new["progress"] = {**sums, **{k: sums.get(k, 0) + v for k, v in commit.get("progress", {}).items()}}
         self._publish(new)
         return {"version": new["version"], "rewritten": len(gone), "kept": len(kept), "added": len(added)}
 
@@ -181,6 +183,10 @@ class KeyedTable:
         """The last batch of a stream whose rows are in the table, -1 for none."""
         return self.state()["streams"].get(stream, -1)
 
+    def progress(self) -> dict:
+        """Sums over all committed batches of what their commits counted."""
+        return self.state().get("progress", {})
+
     def put_sources(self, files: DataFrame) -> str:
         """Write the names of source files, for a commit to refer to."""
         folder = f"_sources/{uuid.uuid4().hex}"

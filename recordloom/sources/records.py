@@ -205,34 +205,37 @@ def records_of(lines: DataFrame, detect: str = "both") -> DataFrame:
     return expand_envelopes(parse_lines(lines), detect)
 
 
+def _is_edge(rec: Column) -> Column:
+    return F.map_contains_key(rec, "_type") & F.map_contains_key(rec, "_src")
+
+
+def _graph_frame(records: DataFrame, own: Column, other: Column, fields: dict[str, Column]) -> DataFrame:
+    """Lines of one kind with their fields; bad lines and lines of neither kind stay, with an error and without fields."""
+    no = F.lit(False)
+    mine = F.coalesce(own, no)
+    error = F.coalesce(F.col("error"), F.when(~mine, line_error(F.col("line_no"), " is neither a node nor a relationship")))
+    properties = F.try_variant_get(F.try_element_at("rec", F.lit("properties")), "$", "map<string,variant>")
+    return records.filter(mine | ~F.coalesce(other, no)).select(
+        *META,
+        *[F.when(mine, c).alias(n) for n, c in {**fields, "properties": properties}.items()],
+        error.alias("error"),
+    )
+
+
 def graph_nodes(records: DataFrame) -> DataFrame:
-    """Node lines ``{_id, _labels, properties}`` to a node frame."""
+    """Node lines ``{_id, _labels, properties}`` to a node frame; relationships are left to :func:`graph_edges`."""
     rec = F.col("rec")
     labels = F.try_variant_get(F.try_element_at(rec, F.lit("_labels")), "$", "array<string>")
-    return records.filter(F.map_contains_key(rec, "_labels")).select(
-        *META,
-        as_text(F.try_element_at(rec, F.lit("_id"))).alias("_id"),
-        labels.alias("_labels"),
-        F.try_variant_get(
-            F.try_element_at(rec, F.lit("properties")), "$", "map<string,variant>"
-        ).alias("properties"),
-    )
+    fields = {"_id": as_text(F.try_element_at(rec, F.lit("_id"))), "_labels": labels}
+    return _graph_frame(records, F.map_contains_key(rec, "_labels"), _is_edge(rec), fields)
 
 
 def graph_edges(records: DataFrame) -> DataFrame:
-    """Relationship lines ``{_id, _type, _src, _dst, properties}`` to an edge frame."""
+    """Relationship lines ``{_id, _type, _src, _dst, properties}`` to an edge frame; nodes are left to :func:`graph_nodes`."""
     rec = F.col("rec")
-    text = lambda name: as_text(F.try_element_at(rec, F.lit(name)))
-    return records.filter(F.map_contains_key(rec, "_type") & F.map_contains_key(rec, "_src")).select(
-        *META,
-        text("_id").alias("_id"),
-        text("_type").alias("_type"),
-        text("_src").alias("_src"),
-        text("_dst").alias("_dst"),
-        F.try_variant_get(
-            F.try_element_at(rec, F.lit("properties")), "$", "map<string,variant>"
-        ).alias("properties"),
-    )
+    fields = {n: as_text(F.try_element_at(rec, F.lit(n))) for n in ("_id", "_type", "_src", "_dst")}
+    node = F.map_contains_key(rec, "_labels") & ~F.coalesce(_is_edge(rec), F.lit(False))
+    return _graph_frame(records, _is_edge(rec), node, fields)
 
 
 def read_complete_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

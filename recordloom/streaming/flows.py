@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -15,18 +16,19 @@ from recordloom.plans.import_plan import ImportSpec, import_once
 from recordloom.session import scratch
 from recordloom.sinks.keyed import KeyedTable, Store
 from recordloom.sources.records import META, read_records
+from recordloom.streaming.tail import FORMAT, GrowingLines
 
 LOG_FIELDS = ("timestamp", "level", "service", "message")
 
 
 def arriving_files(spark: SparkSession, directory: str, files_per_trigger: int) -> DataFrame:
-    """``(file)`` of each file that arrives.  Only paths are asked for, so files are listed here but read in the batch."""
+    """``(file, bytes)`` of each file that arrives.  Only paths and sizes are asked for, so files are listed here but read in the batch."""
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(directory)
-        .select(F.col("path").alias("file"))
+        .select(F.col("path").alias("file"), F.col("length").alias("bytes"))
     )
 
 
@@ -51,14 +53,16 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         # Names of the new files of one trigger: bounded by files_per_trigger.
-        files = [r["file"] for r in batch.distinct().collect()]
+        began = time.monotonic()
+        found = {r["file"]: r["bytes"] for r in batch.collect()}
+        files = list(found)
         if not files:
             return
         good, dead, counts = import_once(read_records(session, files), spec, scratch(session, "ingest"))
         good.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         dead.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
         if on_batch:
-            on_batch(batch_id, counts)
+            on_batch(batch_id, {**counts, "bytes": sum(found.values()), "seconds": time.monotonic() - began})
 
     return (
         arriving_files(spark, directory, files_per_trigger).writeStream.foreachBatch(write)
@@ -83,6 +87,7 @@ def stream_ingest_keyed(
 
     Rows, batch number and names of the files read are committed in one version of the table.  A batch that died before it is run
     again from the start, as none of it shows; one that died after it, before the stream noted it, is recognised by its number.
+    Rows, skipped rows, files, bytes and seconds of all batches add up there too (``table.progress()``), whatever was restarted in between.
     If the checkpoint is lost, files whose rows are in the table are not read again.  Of rows with one key the order of
     file, line and row decides; an update leaves columns alone that a record does not have.
     Dead letters of a batch go to the folder of the version it becomes, which a batch that is run again overwrites.
@@ -97,7 +102,9 @@ def stream_ingest_keyed(
             return
         session = batch.sparkSession
         # Names of the new files of one trigger: bounded by files_per_trigger.
-        files = sorted(r["file"] for r in batch.distinct().join(table.sources(), "file", "left_anti").collect())
+        began = time.monotonic()
+        found = {r["file"]: r["bytes"] for r in batch.join(table.sources(), "file", "left_anti").collect()}
+        files = sorted(found)
         if not files:
             return
         version = table.state()["version"] + 1
@@ -106,10 +113,11 @@ def stream_ingest_keyed(
         dead.write.mode("overwrite").parquet(f"{dead_letters}/version={version}")
         named = session.createDataFrame([(f,) for f in files], "file string")
         commit = {"stream": stream, "batch": batch_id, "sources": table.put_sources(named.coalesce(1))}
+        commit["progress"] = {**{k: counts[k] or 0 for k in ("rows", "skipped", "lines")}, "files": len(files), "bytes": sum(found.values()), "seconds": time.monotonic() - began}
         presence = "_present" if policy == "update" else None
         done = table.write(rows if presence else rows.drop("_present"), policy, "_seq", presence, commit)
         if on_batch:
-            on_batch(batch_id, {**counts, **done})
+            on_batch(batch_id, {**counts, **commit["progress"], **done})
 
     return (
         arriving_files(spark, directory, files_per_trigger).writeStream.foreachBatch(write)
@@ -160,6 +168,30 @@ def stream_log_batches(
     return writer.start()
 
 
+def stream_log_growing(
+    spark: SparkSession,
+    directory: str,
+    checkpoint: str,
+    deliver: Callable[[DataFrame, int], None],
+    interval: str | None = "5 seconds",
+    start: str = "end",
+) -> StreamingQuery:
+    """Hand over the lines that are added to the log files of a folder, one batch per interval, see :mod:`recordloom.streaming.tail`.
+
+    The first start begins at the current end of each file (``start="begin"``: at its beginning); later ones go on where the
+    checkpoint is.  ``interval=None`` drains what there is and stops.
+    """
+    spark.dataSource.register(GrowingLines)
+    lines = spark.readStream.format(FORMAT).option("start", start).load(directory).filter(F.col("value").rlike(r"\S"))
+
+    def hand_over(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            deliver(parse_log_lines(batch), batch_id)
+
+    writer = lines.writeStream.foreachBatch(hand_over).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
     """Count rows, lines and skipped records while the frame is written."""
     seen = Observation(name)
@@ -170,8 +202,13 @@ def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Obs
     return df.observe(seen, *measures), seen
 
 
+def line_bytes(lines: DataFrame) -> DataFrame:
+    """``(file, bytes)`` of numbered lines, line ends included: one sum a file, taken by the tasks that read it."""
+    return lines.groupBy("file").agg(F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"))
+
+
 def progress_metrics(records: DataFrame) -> DataFrame:
-    """``(file, rows, lines, skipped)`` per file of a converted frame."""
+    """``(file, rows, lines, skipped)`` per file of a converted frame; join :func:`line_bytes` for the bytes of its lines."""
     return records.groupBy("file").agg(
         F.count_if(F.col("error").isNull()).alias("rows"),
         F.max("line_no").alias("lines"),
