@@ -160,7 +160,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshol
     # max_rows rows at most.
     chosen = F.broadcast(each[0].unionByName(each[1]).withColumn("_fold", F.pmod("_h", F.lit(5)).cast("int")))
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
-    rows = rows.select(F.col("_id").cast("long"), "text", "_y", "_fold").mapInArrow(_feature_rows, "id long, y int, fold int, x binary")
+    rows = rows.select("_h", "text", "_y", "_fold").mapInArrow(_feature_rows, "id long, y int, fold int, x binary")
     found = rows.groupBy("id", "y", "fold").agg(F.min("x").alias("x")).collect()
     if len({r["y"] for r in found}) < 2:
         return None
