@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import (
@@ -17,7 +17,7 @@ from recordloom.operators.ordinal import with_ordinal
 from recordloom.operators.project import place
 from recordloom.operators.quality import fail_fast
 from recordloom.session import cut_lineage
-from recordloom.sources.records import META
+from recordloom.sources.records import META, read_first_records
 
 # The logical types; the three numeric ones widen in this order.
 LOGICAL_TYPES = ("boolean", "integer", "bigint", "number", "datetime", "string", "json")
@@ -149,6 +149,17 @@ def infer_schema_sample(records: DataFrame, n: int | None = DEFAULT_SAMPLE) -> D
     return infer_schema(sample_records(records, n))
 
 
+def infer_schema_files(spark: SparkSession, paths: str | list[str], n: int = DEFAULT_SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """The columns of the first ``n`` good records of some files, and the bad lines among them; the rest is not read.
+
+    Lines are bounded as well: twice the records, at least 200 and at most 40 000.
+    """
+    if not 1 <= n <= MAX_SAMPLE:
+        raise ValueError(f"a sample has 1 to {MAX_SAMPLE} records")
+    good, bad, _ = read_first_records(spark, paths, n, most_lines=max(200, min(2 * n, 40_000)))
+    return infer_schema(good), bad.select(*META, "error")
+
+
 def document_bodies(records: DataFrame) -> DataFrame:
     """Records of a search target: the body where ``_source`` is an object, else the record."""
     body = F.try_variant_get(F.try_element_at("rec", F.lit("_source")), "$", "map<string,variant>")

@@ -22,7 +22,7 @@ from recordloom.functions.values import code_is_missing, kind_of
 from recordloom.operators.project import missing_columns, require_columns
 from recordloom.operators.quality import RowError, column_error, fail_fast, split_good, unknown_names
 from recordloom.sources.lines import barrier
-from recordloom.sources.records import META
+from recordloom.sources.records import META, read_first_records
 
 
 @dataclass(frozen=True)
@@ -197,3 +197,9 @@ def cast_dry_run(records: DataFrame, spec: ImportSpec, n: int = 20) -> DataFrame
     """What the import would make of the first ``n`` records; nothing is written."""
     sample = records.orderBy(*META).limit(n)
     return convert_records(sample, spec)
+
+
+def cast_dry_run_files(spark: SparkSession, paths: str | list[str], spec: ImportSpec, n: int = 20) -> DataFrame:
+    """The same for the first ``n`` good records of some files, of which only the beginning is read; bad lines before them are in it."""
+    good, bad, _ = read_first_records(spark, paths, n)
+    return convert_records(good.unionByName(bad), spec)

@@ -11,6 +11,7 @@ from recordloom.operators import infer, quality, targets
 from recordloom.plans.import_plan import ImportSpec, cast_dry_run, convert_records, run_import
 from recordloom.plans.queries_records import customer_hits, ragged_events
 from recordloom.plans.registry import lines_of, query, table
+from recordloom.session import scratch
 from recordloom.sources import records as rec
 
 
@@ -437,6 +438,21 @@ def infer_schema_sample(spark, sf):
     return infer.infer_schema_sample(rec.records_of(ragged_events(spark, sf)), 1000)
 
 
+@query("infer_schema_files", """
+SELECT 0 AS ordinal, 'o_orderkey' AS name, 'integer' AS logical_type, false AS nullable, 500 AS present
+UNION ALL SELECT 1, 'o_orderpriority', 'string', false, 500
+UNION ALL SELECT 2, 'o_clerk', 'string', true, count(*) FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500) WHERE o_orderstatus = 'F'""")
+def infer_schema_files(spark, sf):
+    """The first 500 records of a folder of files, of which only the beginning is read."""
+    path = scratch(spark, "sampled")
+    clerk = F.when(F.col("o_orderstatus") == "F", F.lit("c"))
+    text = F.to_json(F.struct("o_orderkey", "o_orderpriority", clerk.alias("o_clerk")))
+    o = table(spark, sf, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    o.select(text.alias("value")).write.text(path)
+    columns, _ = infer.infer_schema_files(spark, path, 500)
+    return columns
+
+
 @query("infer_schema_hits", """
 WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_mktsegment = 'BUILDING') AS flat FROM customer),
 f AS (SELECT c_mktsegment = 'BUILDING' AS first_flat FROM customer ORDER BY c_custkey LIMIT 1),

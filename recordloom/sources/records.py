@@ -200,6 +200,49 @@ def read_records(
     return expand_envelopes(parse_lines(read_lines(spark, paths, numbering)), detect)
 
 
+#: Lines of the first read of a sample, and characters that a sample holds at most.
+FIRST_LINES, SAMPLE_CHARS = 64, 64 << 20
+
+
+def read_first_records(
+    spark: SparkSession, paths: str | list[str], n: int, detect: str = "both", most_lines: int | None = None
+) -> tuple[DataFrame, DataFrame, int]:
+    """``(good, bad, lines_read)``: the first ``n`` good records in order of file names and lines, the bad lines before them, and the cost.
+
+    Files are read in order, one after another, and the lines of a file twice as many each time, until enough good records came: a
+    sample of a large folder reads its beginning only.  ``most_lines`` and 64 million characters bound the sample, which the driver holds.
+    """
+    if n < 1:
+        raise ValueError("a sample has at least one record")
+    listed = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select("path", "length")
+    files = [r["path"] for r in listed.filter("length > 0").orderBy("path").collect()]
+    held: list[tuple[str, int, str]] = []
+    read = chars = good = 0
+    for file in files:
+        want, taken = FIRST_LINES, 0
+        while good < n and chars < SAMPLE_CHARS and (most_lines is None or len(held) < most_lines):
+            limit = want if most_lines is None else min(want, taken + most_lines - len(held))
+            # Taking rows goes through a file's blocks from the front and stops when there are enough.
+            rows = spark.read.text(file).take(limit)
+            read += len(rows)
+            fresh = [(file, i + 1, rows[i]["value"]) for i in range(taken, len(rows))]
+            held += fresh
+            chars += sum(len(x[2]) for x in fresh)
+            lines = spark.createDataFrame(fresh, "file string, line_no bigint, value string")
+            good += records_of(lines, detect).filter("error IS NULL").count() if fresh else 0
+            taken = len(rows)
+            if taken < limit or limit < want:
+                break
+            want *= 2
+        if good >= n:
+            break
+    records = records_of(spark.createDataFrame(held, "file string, line_no bigint, value string"), detect)
+    first = records.filter("error IS NULL").orderBy(*META).limit(n)
+    last = first.agg(F.max(F.struct(*META)).alias("m")).head()["m"]
+    bad = records.filter("error IS NOT NULL")
+    return first, bad if last is None or good < n else bad.filter(F.struct(*META) < F.struct(*[F.lit(last[c]).cast(records.schema[c].dataType).alias(c) for c in META])), read
+
+
 def records_of(lines: DataFrame, detect: str = "both") -> DataFrame:
     """The same for a frame that already is ``(file, line_no, value)``."""
     return expand_envelopes(parse_lines(lines), detect)
