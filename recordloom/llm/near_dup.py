@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """`(node, n, elements)` for nodes(node, doc, digest): the texts of those documents only, read again."""
+    """`(node, n, elements)` for nodes(node, of, digest): the texts of those rows only, known by `row_key`, read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +152,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                     ["node", "n", "elements"],
                 )
 
-    spot = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = nodes.select(F.xxhash64("doc").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot")).groupBy(F.expr("spot >> 6").alias("word"))
+    spot = row_key().bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = nodes.select(F.col("of").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot")).groupBy(F.expr("spot >> 6").alias("word"))
     on = bits.agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[on["word"].to_numpy(np.int64)] = on["bits"].to_numpy(np.int64).view(np.uint64)
@@ -163,14 +163,13 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             at = batch.column("_spot").to_numpy().astype(np.int64)
             hit = table.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield batch.select(["_id", "text"]).filter(pa.array(hit.astype(bool)))
+            yield batch.select(["_of", "text"]).filter(pa.array(hit.astype(bool)))
 
     # A filter of fixed size spares most texts the shuffle; the join decides.
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.col("doc_id").alias("_id"), "text", spot.alias("_spot")).mapInArrow(likely_in, f"_id {kind}, text string")
-    found = texts.join(nodes, F.expr("_id <=> doc")).select("node", "digest", "text")
+    texts = docs.select(row_key().alias("_of"), "text", spot.alias("_spot")).mapInArrow(likely_in, "_of long, text string")
+    found = texts.join(nodes, F.expr("_of = of")).select("node", "digest", "text")
     sets = found.mapInArrow(run, "node long, n long, elements binary")
-    # A doc_id that rows repeat gives its set as often; one is enough.
+    # A row that is repeated gives its set as often; one is enough.
     return sets.dropDuplicates(["node"])
 
 
@@ -316,7 +315,7 @@ def _classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     rows = cut_lineage(sketches(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
     some = rows.filter("n > 0")
     nodes = some.groupBy("digest").agg(
-        F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"), F.min_by("doc_id", "row").alias("doc"),
+        F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"), F.min_by("key", "row").alias("of"),
         F.first("registers").alias("registers"), F.first("n").alias("n"),
     )
     nodes = cut_lineage(nodes)
@@ -329,7 +328,7 @@ def _classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     pairs = members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     inside = members.select("node").distinct()
     busy = cut_lineage(nodes.join(inside, "node", "left_semi"))
-    sets = cut_lineage(full_sets(docs, busy.select("node", "doc", "digest"), shingle))
+    sets = cut_lineage(full_sets(docs, busy.select("node", "of", "digest"), shingle))
     links = cut_lineage(verified(_likely_pairs(pairs, busy, percent), sets, percent))
 
     roots = classes_of(links)

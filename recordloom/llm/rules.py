@@ -128,7 +128,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             texts = texts_of(part.column("text"))
             x = ngram_features(texts, texts.words()).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), part.column("_y"), part.column("_fold"), pa.array([r.tobytes() for r in x], pa.binary())],
+                [part.column("_h"), part.column("_y"), part.column("_fold"), pa.array([r.tobytes() for r in x], pa.binary())],
                 ["id", "y", "fold", "x"],
             )
 
