@@ -21,8 +21,6 @@ def stored(spark, tmp_path):
     rows = spark.range(400).select("id", F.concat(F.lit("r"), "id").alias("name"), F.lit(0).alias("n"))
     table = KeyedTable.create(spark, str(tmp_path / "t"), spark.createDataFrame([], SHAPE).schema, ["id"])
     done = table.write(rows.repartitionByRange(4, "id").withColumn("seq", F.col("id")), "skip", "seq")
-    for name in list(table.state()["files"])[:0]:
-        assert name
     assert done["rewritten"] == 0
     return table
 
