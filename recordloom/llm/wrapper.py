@@ -41,7 +41,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""=\s*["']|>""")
-_SPACE = re.compile(r"[ \t\n\r\f\v   \u0085]+")
+_SPACE = re.compile(r"[ \t\n\r\f\v   \u0085]{2,}|[\t\n\r\f\v   \u0085]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
@@ -82,7 +82,7 @@ ENDS_P = frozenset(
 class Node:
     """An element: its tag, its label (tag and names, digits as #), whether it is marked as no content, and what it holds in order."""
 
-    __slots__ = ("tag", "label", "off", "parts", "text", "template", "path", "depth", "above")
+    __slots__ = ("tag", "label", "off", "parts", "text", "template", "path", "depth", "above", "below", "hidden", "linked", "leaf")
 
     def __init__(self, tag: str, label: str, off: bool) -> None:
         self.tag, self.label, self.off = tag, label, off
@@ -91,20 +91,25 @@ class Node:
         self.template = False
         self.path = self.depth = 0
         self.above: Node | None = None
+        self.below: list[Node] | None = None
+        self.hidden = self.linked = self.leaf = False
 
     def nodes(self) -> list[Node]:
         return [p for p in self.parts if not isinstance(p, str)]
 
     def blocks(self) -> list[Node]:
         """The next elements below that are not inline, in page order."""
-        out, stack = [], self.nodes()[::-1]
-        while stack:
-            node = stack.pop()
-            if node.tag in INLINE:
-                stack.extend(reversed(node.nodes()))
-            else:
-                out.append(node)
-        return out
+        if self.below is None:
+            out, stack = [], self.nodes()[::-1]
+            while stack:
+                node = stack.pop()
+                if node.tag in INLINE:
+                    if node.parts:
+                        stack.extend(reversed(node.nodes()))
+                else:
+                    out.append(node)
+            self.below = out
+        return self.below
 
 
 def marks(names: str) -> bool:
@@ -151,6 +156,8 @@ class _Scanner:
 
     def tag_end(self, at: int) -> int:
         """The `>` of a tag: the first outside quoted values, or, once quotes have run to the end of the page, the first of all."""
+        if self.page.startswith(">", at):
+            return at
         place = at
         while not self.loose:
             m = _STOP.search(self.page, place)
@@ -257,7 +264,8 @@ def clean(text: str) -> str:
 def numbered(root: Node) -> list[Node]:
     """All blocks in page order; each gets the text it holds directly (with its inline elements'), its path of labels and its depth.
 
-    A header is content only inside an article, a main or a section.
+    A header is content only inside an article, a main or a section. A block is hidden if it or one above is marked as no content, linked if
+    its text has links, a leaf if its whole content is its text.
     """
     out, stack = [], [(root, False)]
     while stack:
@@ -265,6 +273,8 @@ def numbered(root: Node) -> list[Node]:
         out.append(node)
         if node.tag == "header" and not inside:
             node.off = True
+        node.hidden = node.off or node.above is not None and node.above.hidden
+        node.leaf = not node.blocks()
         direct = []
         held = [iter(node.parts)]
         while held:
@@ -272,9 +282,15 @@ def numbered(root: Node) -> list[Node]:
                 if isinstance(part, str):
                     direct.append(part)
                 elif part.tag in INLINE:
-                    direct.append(" " if part.tag == "br" else "")
-                    held.append(iter(part.parts))
-                    break
+                    if part.tag == "br":
+                        direct.append(" ")
+                    elif part.off:
+                        node.leaf = False
+                    elif part.tag == "a":
+                        node.linked = True
+                    if part.parts:
+                        held.append(iter(part.parts))
+                        break
             else:
                 held.pop()
         node.text = clean("".join(direct)) if direct else ""
@@ -422,6 +438,10 @@ def main_text(root: Node, slots: frozenset[int] = frozenset()) -> str:
                     stack.extend((p, fixed) for p in reversed(part.parts))
             elif part is top or not part.off and (part.path not in slots or top is not root):
                 flush()
+                if part.leaf:
+                    if part.text:
+                        blocks.append((part.text, part.template))
+                    continue
                 stack.append((None, False))
                 stack.extend((p, part.template) for p in reversed(part.parts))
         flush()
@@ -462,8 +482,8 @@ def _small(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-#: Kinds of votes: a node of the reference, a text beside it, a slot.
-PLACE, BESIDE, SLOT = 0, 1, 2
+#: Kinds of votes: a node of the reference, a text beside it, a slot, a slot whose name marks it.
+PLACE, BESIDE, SLOT, MARK = 0, 1, 2, 3
 VOTES = "host string, layout long, kind int, slot long, parent long, depth int, pages long, times long, chars long, links long"
 _ARROW = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -472,17 +492,18 @@ def page_votes(own: Node, nodes: list[Node], root: Node, places: dict[int, int],
     """What one page says of its wrapper: `(kind, slot, parent, depth)` and the sums `(pages, times, chars, links)`.
 
     A node with text that matches the reference votes for its place: `times` says whether the texts agree. One that matches none votes for
-    its path, and for path and text. A container votes for its path with the text and the links below it, marked parts left out.
+    its path, and for path and text. A container votes for its path with the text and the links below it, marked parts left out; so does the
+    top of a marked part with its own.
     """
     if not first:
         pairs = matched(root, own)
         for a, b in pairs:
-            if a.text and not b.off:
+            if a.text and not b.hidden:
                 yield (PLACE, places[id(a)], 0, 0), (1, int(a.text == b.text), 0, 0)
         met = {id(b) for _, b in pairs}
         seen = set()
         for node in nodes:
-            if node.text and not node.off and id(node) not in met:
+            if node.text and not node.hidden and id(node) not in met:
                 seen.update([(BESIDE, node.path, 0, 0), (BESIDE, _hash(f"{node.path} {node.text}"), node.path, 1)])
         for key in seen:
             yield key, (1, 0, 0, 0)
@@ -490,15 +511,14 @@ def page_votes(own: Node, nodes: list[Node], root: Node, places: dict[int, int],
     slots: dict[tuple, list[int]] = {}
     for node in reversed(nodes):
         chars, links = below.pop(id(node), (0, 0))
-        if node.off:
-            continue
-        chars, links = chars + len(node.text), links + _link_chars(node)
-        if node.above is not None:
+        chars += len(node.text)
+        links += _link_chars(node) if node.linked else 0
+        if node.above is not None and not (node.off and not node.above.hidden):
             held = below.setdefault(id(node.above), [0, 0])
             held[0] += chars
             held[1] += links
-        if node.above is None or node.tag in CONTAINERS:
-            sums = slots.setdefault((SLOT, node.path, node.above.path if node.above else 0, node.depth), [1, 0, 0, 0])
+        if node.above is None or node.off and not node.above.hidden or node.tag in CONTAINERS and not node.hidden:
+            sums = slots.setdefault((MARK if node.off else SLOT, node.path, node.above.path if node.above else 0, node.depth), [1, 0, 0, 0])
             for i, x in enumerate((1, chars, links)):
                 sums[i + 1] += x
     for key, sums in slots.items():
@@ -554,7 +574,7 @@ def induce(pages: DataFrame) -> DataFrame:
     found = [
         places.groupBy(by).agg(F.collect_list("slot").alias("places")),
         texts.groupBy(by).agg(F.collect_list("slot").alias("texts")),
-        template_slots(votes.filter(F.col("kind") == SLOT)).groupBy(by).agg(F.collect_list("slot").alias("slots")),
+        template_slots(votes.filter(F.col("kind").isin(SLOT, MARK))).groupBy(by).agg(F.collect_list("slot").alias("slots")),
     ]
     for part in found:
         references = references.join(part, by, "left")
@@ -566,16 +586,17 @@ def template_slots(slots: DataFrame) -> DataFrame:
 
     The region is the deepest container that pages have once and that holds `REGION` of the layout's text outside links. Of the
     containers beside it and its holders, one is template if nearly all pages have it, once, and its text is short against the region's; or if
-    links make up most of its text. Inside the region only slots of links right below the body count, where the body itself is the region.
+    links make up most of its text. A marked slot is never of the region. Inside the region only slots of links right below the body count, where the body itself is the region.
     """
     by = ["host", "layout"]
     prose = F.col("chars") - F.col("links")
-    whole = slots.filter("depth = 0").select(*by, F.col("pages").alias("n"), prose.alias("all_prose"))
+    whole = slots.filter((F.col("depth") == 0) & (F.col("kind") == SLOT)).select(*by, F.col("pages").alias("n"), prose.alias("all_prose"))
     known = slots.join(whole, by).withColumn("prose", prose)
     once = F.col("times") == F.col("pages")
     # The root is always one of the chain, the others lie below each other; a path has DEEPEST steps at most.
     chain = (
-        known.filter((F.col("depth") == 0) | once & (F.col("prose") > 0) & (F.col("prose") >= REGION * F.col("all_prose")))
+        known.filter(F.col("kind") == SLOT)
+        .filter((F.col("depth") == 0) | once & (F.col("prose") > 0) & (F.col("prose") >= REGION * F.col("all_prose")))
         .groupBy(by)
         .agg(
             F.collect_list("slot").alias("chain"), F.max("depth").alias("deep"),
