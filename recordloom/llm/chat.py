@@ -53,9 +53,17 @@ MAPPINGS: tuple[Mapping, ...] = (
 )
 
 
-def layout_of(record: Column) -> Column:
-    """Nested field paths of a variant in normal form."""
-    return F.regexp_replace(F.schema_of_variant(record), _SCALARS, "_")
+#: Scalar fields that say nothing about turns; records and messages may have them or not.
+EXTRA = ("created_at", "id", "lang", "language", "model", "name", "source", "timestamp", "train", "weight")
+
+
+def layout_of(record: Column, extra: tuple[str, ...] = EXTRA) -> Column:
+    """Nested field paths of a variant in normal form, without the scalar fields `extra`."""
+    paths = F.regexp_replace(F.schema_of_variant(record), _SCALARS, "_")
+    if extra:
+        paths = F.regexp_replace(paths, rf"(?<=[<,] ?)(?:{'|'.join(map(re.escape, extra))}): _(?:, |(?=>))", "")
+        paths = F.regexp_replace(paths, ", >", ">")
+    return paths
 
 
 def fingerprint(layout: Column) -> Column:
@@ -103,14 +111,18 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     return rows.withColumn("mapping", name).withColumn("conv_key", key).withColumn("turns", found).drop("_print")
 
 
-def by_conversation(turns: DataFrame, key: str, kind: str = "long") -> DataFrame:
-    """`(key, turns)` from rows by turn: the turns of a conversation, ordered by position (null first), role and text.
+def by_conversation(turns: DataFrame, key: str, kind: str = "long", own: Column | None = None, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """`(key, turns)`, a row for each conversation, from what `canonical_turns` returned; any mixture of layouts.
 
-    A conversation is one row of the result, so one task holds it; its turns are combined before the shuffle only into
-    lists. Rows without an id are one conversation whose id is null. Repeated turns stay.
+    Records of layouts by turn are put together by their id: the turns of a conversation, ordered by position (null first), role and
+    text; repeated turns stay; those without an id are one conversation whose id is null. Every other record is a conversation of its
+    own under the id `own` (null if not given), with its turns in the order they have: none is lost or merged; a record without a
+    mapping (an empty list of messages shows no layout either) has null for turns. Only records by turn are shuffled; one task holds a conversation.
     """
-    said = turns.select(F.try_variant_get("conv_key", "$", kind).alias(key), F.explode("turns").alias("turn"))
-    return said.groupBy(key).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    by_turn = F.coalesce(F.col("mapping").isin([m.name for m in mappings if m.key]), F.lit(False))
+    whole = turns.filter(~by_turn).select((F.lit(None) if own is None else own).cast(kind).alias(key), "turns")
+    said = turns.filter(by_turn).select(F.try_variant_get("conv_key", "$", kind).alias(key), F.explode("turns").alias("turn"))
+    return said.groupBy(key).agg(F.array_sort(F.collect_list("turn")).alias("turns")).unionByName(whole)
 
 
 @dataclass(frozen=True)
@@ -155,15 +167,15 @@ class Template:
 
 
 def format_turns(conversations: DataFrame, key: str, template: Template | None = None) -> DataFrame:
-    """`(key, formatted, mask)`: `mask` lists the spans (start, end; code points) of trained texts."""
+    """`(key, formatted, mask)`: `mask` lists the spans (start, end; code points) of trained texts. Null turns have null for both."""
     template = template or Template()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [template.format([(t["role"], t["text"]) for t in turns]) for turns in frame["turns"]]
+            done = [None if turns is None else template.format([(t["role"], t["text"]) for t in turns]) for turns in frame["turns"]]
             yield pd.DataFrame({
-                key: frame[key], "formatted": [d[0] for d in done],
-                "mask": [[{"start": a, "stop": b} for a, b in d[1]] for d in done],
+                key: frame[key], "formatted": pd.Series([d and d[0] for d in done], dtype=object),
+                "mask": pd.Series([d and [{"start": a, "stop": b} for a, b in d[1]] for d in done], dtype=object),
             })
 
     kind = conversations.schema[key].dataType.simpleString()
@@ -171,18 +183,25 @@ def format_turns(conversations: DataFrame, key: str, template: Template | None =
 
 
 def read_back(formatted: DataFrame, key: str, template: Template | None = None) -> DataFrame:
-    """What formatted texts and masks say: n_turns, turns_text (role, \\n, text, \\n per turn), loss_text, formatted_chars."""
+    """What formatted texts and masks say: n_turns, turns_text (role, \\n, text, \\n per turn), loss_text, formatted_chars.
+
+    A null text has no turns and null for the rest.
+    """
     template = template or Template()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            turns = [template.read(x) for x in frame["formatted"]]
-            loss = ["".join(template.unescaped(x[s["start"] : s["stop"]]) for s in mask) for x, mask in zip(frame["formatted"], frame["mask"], strict=True)]
-            yield pd.DataFrame({
-                key: frame[key], "n_turns": [len(t) for t in turns],
-                "turns_text": ["".join(f"{r}\n{x}\n" for r, x in t) for t in turns],
-                "loss_text": loss, "loss_chars": [len(x) for x in loss], "formatted_chars": [len(x) for x in frame["formatted"]],
-            })
+            rows = []
+            for x, mask in zip(frame["formatted"], frame["mask"], strict=True):
+                if x is None:
+                    rows.append((0, None, None, None, None))
+                    continue
+                turns = template.read(x)
+                loss = "".join(template.unescaped(x[s["start"] : s["stop"]]) for s in mask)
+                rows.append((len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), loss, len(loss), len(x)))
+            done = pd.DataFrame(rows, columns=["n_turns", "turns_text", "loss_text", "loss_chars", "formatted_chars"], dtype=object)
+            done.insert(0, key, frame[key].to_numpy())
+            yield done
 
     kind = formatted.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_turns long, turns_text string, loss_text string, loss_chars long, formatted_chars long"
