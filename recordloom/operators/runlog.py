@@ -193,37 +193,63 @@ def dependency_components(tasks: DataFrame) -> DataFrame:
     )
 
 
-def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
-    """``(id, level)``: a task's level is above the level of everything it depends on.
+#: More than any path has tasks; the lengths of paths around a cycle stop growing here.
+FAR = 1 << 60
+
 
-    Peels one level per round: tasks whose remaining dependencies are all placed
-    are next.  Sorting by ``(level, seq)`` puts dependencies first.  Tasks on or
-    behind a cycle have no level.
+def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
+    """``(id, seq, level)``: a task's level is the length of the longest path to a task without dependencies.
+
+    Sorting by ``(level, seq)`` puts dependencies first.  Tasks on or behind a
+    cycle have no level.
+
+    Every open task keeps a floor, below which its level cannot be, and paths to
+    tasks that are open too.  Each round places the tasks without a path at
+    their floor.  A task with just one path is passed by: whoever led to it
+    leads on to where it leads, over a path as long as both.  So the stretch
+    that a path covers doubles in every round, and chains and trees of any depth
+    take a number of rounds that grows with the logarithm of it.  A level whose
+    tasks all have several open paths costs one round.
     """
-    edges = cut_lineage(dependency_edges(tasks))
-    open_edges, level, placed = edges, 0, None
-    waiting = tasks.select("id", seq)
+    one = F.lit(1).cast("long")
+    paths = cut_lineage(dependency_edges(tasks).withColumn("far", one))
+    waiting = tasks.select("id", seq, F.lit(0).cast("long").alias("floor"))
+    placed, rounds = None, 0
     while True:
-        blocked = open_edges.select("id").distinct()
-        split = cut_lineage(
-            waiting.join(blocked.withColumn("_open", F.lit(True)), "id", "left").select(
-                "id", seq, F.col("_open").isNull().alias("free")
-            )
+        # Target and length are only used where there is one path.
+        leads = paths.groupBy("id").agg(
+            F.count(F.lit(1)).alias("ways"), F.max("dep").alias("target"), F.max("far").alias("stretch")
         )
-        free = split.filter("free").select("id", seq)
+        state = cut_lineage(waiting.join(leads, "id", "left"))
+        free = state.filter("ways IS NULL")
         if free.isEmpty():
             break
-        here = free.withColumn("level", F.lit(level))
+        here = free.select("id", seq, F.col("floor").cast("int").alias("level"))
         placed = here if placed is None else placed.union(here)
-        waiting = split.filter("not free").select("id", seq)
-        open_edges = open_edges.join(free.select(F.col("id").alias("dep")), "dep", "left_anti").select("id", "dep")
-        if level % 4 == 3:
-            open_edges = cut_lineage(open_edges)
-        if level % 16 == 15:
-            # The plan stays short however many levels there are.
+        # A task whose one path ends at a task placed just now is placed in the next round, hence not passed by.
+        ends = free.select(F.col("id").alias("target"), F.lit(True).alias("ends")).distinct()
+        at = state.join(ends, "target", "left").select(
+            F.col("id").alias("dep"), F.col("floor").alias("below"), "ways", "target", "stretch", "ends"
+        )
+        single = (F.col("ways") == 1) & F.col("ends").isNull()
+        moved = cut_lineage(
+            paths.join(at, "dep").select(
+                "id",
+                F.least(F.col("below") + F.col("far"), F.lit(FAR)).alias("reach"),
+                F.when(single, F.col("target")).when(F.col("ways") > 0, F.col("dep")).alias("dep"),
+                F.when(single, F.least(F.col("far") + F.col("stretch"), F.lit(FAR))).otherwise(F.col("far")).alias("far"),
+            )
+        )
+        raised = moved.groupBy("id").agg(F.max("reach").alias("reach"))
+        waiting = state.filter("ways IS NOT NULL").join(raised, "id").select(
+            "id", seq, F.greatest("floor", "reach").alias("floor")
+        )
+        paths = moved.filter("dep IS NOT NULL").groupBy("id", "dep").agg(F.max("far").alias("far"))
+        rounds += 1
+        if rounds % 16 == 0:
+            # The plan stays short however many rounds there are.
             placed = cut_lineage(placed)
-        level += 1
-    rest = waiting.withColumn("level", F.lit(None).cast("int"))
+    rest = state.select("id", seq, F.lit(None).cast("int").alias("level"))
     return rest if placed is None else placed.union(rest)
 
 

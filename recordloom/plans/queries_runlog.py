@@ -119,6 +119,16 @@ def dependency_order(spark, sf):
     return runlog.dependency_order(task_chain(spark, sf)).select("id", "level")
 
 
+@query("dependency_order_chain", """
+SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS level FROM orders""")
+def dependency_order_chain(spark, sf):
+    """Each order waits for the one before it: a chain as long as the table."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    tasks = o.select(key.alias("id"), key.alias("seq"), F.array(key - 1).alias("depends_on"))
+    return runlog.dependency_order(tasks).select("id", "level")
+
+
 @query("match_template", CHAIN + """,
 l AS (SELECT component, count(*) AS n, string_agg(CASE WHEN o_orderstatus = 'O' THEN 'E' ELSE 'I' END, '' ORDER BY o_orderkey) AS types FROM c GROUP BY 1)
 SELECT component, n, CASE types WHEN 'EI' THEN 'copy' WHEN 'EII' THEN 'fan' WHEN 'I' THEN 'load' ELSE 'dependency group' END AS template_name FROM l""")

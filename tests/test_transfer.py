@@ -119,6 +119,43 @@ def test_order_puts_dependencies_first_and_flags_cycles(spark):
     assert level == {3: 0, 7: 0, 1: 1, 2: 2, 4: 3, 5: None, 6: None, 8: None}
 
 
+def brute_levels(deps):
+    """Levels by peeling; what is left is on or behind a cycle."""
+    known = {k: {d for d in v if d in deps} for k, v in deps.items()}
+    level = {}
+    while found := [k for k, v in known.items() if k not in level and all(d in level for d in v)]:
+        level.update({k: 1 + max((level[d] for d in known[k]), default=-1) for k in found})
+    return {k: level.get(k) for k in deps}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_against_peeling(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    deps = {i: [] for i in range(n)}
+    for i in range(1, n):
+        # Chains, joins, repeated and unknown dependencies; the odd seed has cycles, also of odd length.
+        deps[i] = [i - 1] * (i % 10 != 0) + rng.sample(range(i), min(i, rng.choice([0, 0, 0, 0, 0, 2]))) + rng.choice([[], [999], [None]])
+    if seed % 2:
+        deps[40].append(42)
+        deps[55].append(55)
+    tasks = spark.createDataFrame([(k, -k, v) for k, v in deps.items()], "id bigint, seq bigint, depends_on array<bigint>")
+    found = runlog.dependency_order(tasks).collect()
+    assert {r.id: r.level for r in found} == brute_levels(deps) and all(r.seq == -r.id for r in found)
+
+
+def test_a_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    cuts = []
+    cut = runlog.cut_lineage
+    monkeypatch.setattr(runlog, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    n = 1000
+    chain = spark.range(n).selectExpr("id", "id AS seq", "IF(id = 0, array(), array(id - 1)) AS depends_on")
+    found = {r.id: r.level for r in runlog.dependency_order(chain).collect()}
+    assert found == {i: i for i in range(n)}
+    # Two cuts a round; 2 ** 10 > n.
+    assert len(cuts) <= 2 * 12 + 2
+
+
 def brute_state(tasks):
     status = {i: s for i, s, _ in tasks}
     changed = True
