@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import operator
 import re
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
@@ -29,6 +31,7 @@ def _any(parts: list[Column]) -> Column:
 
 # Units of relative dates.
 DATE_UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
+RELATIVE = re.compile(r"now(?:([+-])(\d+)([smhdw]))?(/d)?")
 
 
 class FilterCompiler:
@@ -64,13 +67,38 @@ class FilterCompiler:
         """Never NULL: a missing value does not match, hence is kept by a negation."""
         return F.coalesce(self.compile(query), F.lit(False))
 
-    def field(self, name: str) -> Column:
-        if name.split(".")[0] not in self.types:
+    def field(self, name: str) -> tuple[Column, T.DataType]:
+        """A column, or a field inside of one, and its type; a field of a list of records is the list of its values."""
+        if name in self.types:
+            return F.col(f"`{name}`"), self.types[name]
+        head, *path = name.split(".")
+        if head not in self.types:
             raise ValueError(f"unknown field: {name}")
-        return F.col(name)
-
-    def literal(self, name: str, value: object) -> Column:
-        dt = self.types.get(name)
+        column, dt, listed = F.col(f"`{head}`"), self.types[head], False
+        for step in path:
+            if isinstance(dt, T.ArrayType) and not listed:
+                dt, listed = dt.elementType, True
+            if not isinstance(dt, T.StructType) or step not in dt.names:
+                raise ValueError(f"unknown field: {name}")
+            column, dt = column[step], dt[step].dataType
+        if listed and isinstance(dt, T.ArrayType):
+            raise ValueError(f"lists inside of lists: {name}")
+        return column, T.ArrayType(dt) if listed else dt
+
+    def test(self, name: str, passes: Callable[[Column, T.DataType], Column]) -> Column:
+        """Whether the field passes; of a list, whether any of its values does."""
+        column, dt = self.field(name)
+        if isinstance(dt, T.ArrayType):
+            return F.exists(column, lambda v: passes(v, dt.elementType))
+        return passes(column, dt)
+
+    def operands(self, column: Column, dt: T.DataType, value: object) -> tuple[Column, Column]:
+        """What is compared: a relative date compares texts as points in time, so that a text that is none does not match."""
+        if isinstance(dt, T.StringType) and isinstance(value, str) and RELATIVE.fullmatch(value):
+            return column.try_cast("timestamp"), F.lit(self.date(value)).cast("timestamp")
+        return column, self.literal(dt, value)
+
+    def literal(self, dt: T.DataType, value: object) -> Column:
         if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             text = self.date(value) if isinstance(value, str) else None
             if text is not None:
@@ -81,7 +109,7 @@ class FilterCompiler:
 
     def date(self, text: str) -> str:
         """``now``, ``now-7d``, ``now-1d/d`` or a date text."""
-        found = re.fullmatch(r"now(?:([+-])(\d+)([smhdw]))?(/d)?", text)
+        found = RELATIVE.fullmatch(text)
         if not found:
             return text
         sign, amount, unit, rounded = found.groups()
@@ -102,41 +130,50 @@ class FilterCompiler:
     def term(self, body: object) -> Column:
         name, value = self.single(body, "term")
         value = value["value"] if isinstance(value, dict) else value
-        return self.field(name) == self.literal(name, value)
+        return self.test(name, lambda c, dt: operator.eq(*self.operands(c, dt, value)))
 
     def terms(self, body: object) -> Column:
         name, values = self.single(body, "terms")
         if not isinstance(values, list):
             raise ValueError("terms needs a list")
-        return self.field(name).isin([self.literal(name, v) for v in values]) if values else F.lit(False)
+        relative = [v for v in values if isinstance(v, str) and RELATIVE.fullmatch(v)]
+        plain = [v for v in values if v not in relative]
+
+        def passes(column: Column, dt: T.DataType) -> Column:
+            # Plain values stay one list, which reaches the scan.
+            listed = [column.isin([self.literal(dt, v) for v in plain])] if plain else []
+            return _any([*listed, *[operator.eq(*self.operands(column, dt, v)) for v in relative]])
+
+        return self.test(name, passes)
 
     def range(self, body: object) -> Column:
         name, bounds = self.single(body, "range")
         tests = {
-            "gt": lambda c, v: c > v,
-            "gte": lambda c, v: c >= v,
-            "lt": lambda c, v: c < v,
-            "lte": lambda c, v: c <= v,
+            "gt": operator.gt,
+            "gte": operator.ge,
+            "lt": operator.lt,
+            "lte": operator.le,
         }
         if not isinstance(bounds, dict) or set(bounds) - set(tests):
             raise ValueError("range takes gt, gte, lt and lte")
-        column = self.field(name)
-        return _all([column.isNotNull(), *[tests[op](column, self.literal(name, v)) for op, v in bounds.items()]])
+        return self.test(
+            name, lambda c, dt: _all([c.isNotNull(), *[tests[op](*self.operands(c, dt, v)) for op, v in bounds.items()]])
+        )
 
     def exists(self, body: object) -> Column:
         _, name = self.single(body, "exists")
-        return self.field(name).isNotNull()
+        return self.test(name, lambda c, _: c.isNotNull())
 
     def prefix(self, body: object) -> Column:
         name, value = self.single(body, "prefix")
         value = value["value"] if isinstance(value, dict) else value
-        return self.field(name).startswith(value)
+        return self.test(name, lambda c, _: c.startswith(value))
 
     def wildcard(self, body: object) -> Column:
         name, value = self.single(body, "wildcard")
         value = value["value"] if isinstance(value, dict) else value
         escaped = re.sub(r"([\\%_])", r"\\\1", value)
-        return self.field(name).like(escaped.replace("*", "%").replace("?", "_"))
+        return self.test(name, lambda c, _: c.like(escaped.replace("*", "%").replace("?", "_")))
 
     def ids(self, body: object) -> Column:
         if self.id_column is None:

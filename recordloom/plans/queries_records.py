@@ -270,6 +270,23 @@ def filter_dsl(spark, sf):
     return filters.filter_dsl(events, query_object, "event_id", now).select("event_id", "event_type", "value")
 
 
+@query("filter_dsl_text_dates", """
+SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AND event_type <> 'view'
+  AND (value > 5 OR user_id % 10 > 7) AND NOT (event_type = 'click' AND value < 1)""")
+def filter_dsl_text_dates(spark, sf):
+    query_object = {"bool": {
+        "filter": [{"range": {"doc.at": {"gte": "now-20d/d", "lt": "now/d"}}}, {"range": {"doc.hits.n": {"gt": 5}}}],
+        "must_not": [{"bool": {"must": [{"term": {"doc.kind": "click"}}, {"range": {"doc.value": {"lt": 1}}}]}}],
+    }}
+    now = datetime(2024, 1, 25, 12, tzinfo=timezone.utc)
+    e = table(spark, sf, "events")
+    # Dates are texts; those of views are none.
+    at = F.when(F.col("event_type") == "view", "some day").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    hits = F.array(F.struct(F.col("value").alias("n")), F.struct((F.col("user_id") % 10 - 2).cast("double").alias("n")))
+    docs = e.select("event_id", F.struct(at.alias("at"), F.col("event_type").alias("kind"), "value", hits.alias("hits")).alias("doc"))
+    return filters.filter_dsl(docs, query_object, "event_id", now).select("event_id")
+
+
 @query("graph_bad_lines", """
 SELECT o_orderkey + 1 AS line_no, CASE o_orderstatus WHEN 'F' THEN CAST(o_orderkey AS VARCHAR) END AS _id,
   CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderpriority = '5-LOW' THEN 'line ' || (o_orderkey + 1) || ' is not a JSON object'

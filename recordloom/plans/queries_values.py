@@ -251,6 +251,28 @@ def graph_normalise(spark, sf):
     return o.select(F.col("o_orderkey").alias("line_no"), engines.graph_json(text).alias("value"))
 
 
+@query("graph_temporal", """
+SELECT o_orderkey AS line_no, CASE WHEN o_orderkey % 7 <> 0 THEN '{"at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE o_orderkey % 3
+  WHEN 0 THEN 'Z","zone":"' WHEN 1 THEN '+01:30","zone":"' ELSE '-02:00","zone":"' END || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+  || '.000000012[Europe/Paris]","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","took":"P1M-2DT' || o_custkey || 'S","map":{"year":'
+  || year(o_orderdate) || ',"month":13,"day":1}}' END AS value, o_orderkey % 7 = 0 AS bad FROM orders""")
+def graph_temporal(spark, sf):
+    o = table(spark, sf, "orders")
+    day = [F.date_part(F.lit(p), "o_orderdate").cast("int") for p in ("YEAR", "MONTH", "DAY")]
+    clock = [F.hour("o_orderdate"), F.minute("o_orderdate"), F.second("o_orderdate")]
+    shift = F.element_at(F.array(F.lit(0), F.lit(5400), F.lit(-7200)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    moment = '{"year":%d,"month":%d,"day":{"low":%d,"high":0},"hour":%d,"minute":%d,"second":%d,"nanosecond":'
+    text = F.format_string(
+        '{"at":' + moment + '0,"timeZoneOffsetSeconds":%d},"zone":' + moment + '12,"timeZoneOffsetSeconds":null,"timeZoneId":"Europe/Paris"},'
+        '"day":{"year":%d,"month":%d,"day":%d},"took":{"months":1,"days":-2,"seconds":%d,"nanoseconds":0},"map":{"year":%d,"month":13,"day":1}}',
+        *day, *clock, shift, *day, *clock, *day, F.col("o_custkey"), day[0],
+    )
+    # Every seventh text is cut short.
+    given = F.when(F.col("o_orderkey") % 7 == 0, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t"))
+    found = o.withColumn("t", text).select("o_orderkey", engines.graph_result(given).alias("r"))
+    return found.select(F.col("o_orderkey").alias("line_no"), F.col("r.value").alias("value"), F.col("r.error").isNotNull().alias("bad"))
+
+
 @query("coerce_search", f"""
 SELECT event_id AS line_no, CASE event_type WHEN 'click' THEN {NUM} WHEN 'view' THEN '"' || user_id || '"'
   WHEN 'error' THEN CASE WHEN value > 20 THEN 'true' ELSE 'null' END

@@ -149,6 +149,38 @@ def test_graph_values():
     assert json.dumps(n(deep)).count("d") == 60
 
 
+@pytest.mark.parametrize("value, want", [
+    ({"year": 2024, "month": 5, "day": {"low": 6, "high": 0}}, "2024-05-06"),
+    ({"year": -5, "month": 5, "day": 6}, "-0005-05-06"),
+    ({"hour": 7, "minute": 8, "second": 9, "nanosecond": 0}, "07:08:09"),
+    ({"hour": 7, "minute": 8, "second": 9, "nanosecond": 10, "timeZoneOffsetSeconds": -5400}, "07:08:09.000000010-01:30"),
+    ({"year": 2024, "month": 5, "day": 6, "hour": 7, "minute": 8, "second": 9, "nanosecond": 0, "timeZoneOffsetSeconds": 0}, "2024-05-06T07:08:09Z"),
+    ({"year": 2024, "month": 5, "day": 6, "hour": 7, "minute": 8, "second": 9, "nanosecond": 0, "timeZoneOffsetSeconds": 7200, "timeZoneId": "Europe/Rome"},
+     "2024-05-06T07:08:09+02:00[Europe/Rome]"),
+    ({"months": 14, "days": -3, "seconds": -2, "nanoseconds": 500_000_000}, "P14M-3DT-1.500000000S"),
+])
+def test_graph_temporals(value, want):
+    assert engines.normalise_graph({"v": [value]}) == {"v": [want]}
+
+
+@pytest.mark.parametrize("value", [
+    {}, {"year": 2024}, {"year": 2024, "month": 13, "day": 1}, {"year": 2024, "month": 5, "day": "6"}, {"year": 2024, "month": 5, "day": 6, "note": 1},
+    {"year": 2024.5, "month": 5, "day": 6}, {"hour": 7, "minute": 8}, {"months": 1, "days": 2}, {"timeZoneOffsetSeconds": 5},
+])
+def test_maps_that_are_no_temporals_stay(value):
+    assert engines.normalise_graph(value) == value
+
+
+def test_graph_texts_that_are_no_json_or_deep(spark):
+    deep = '{"d":[' * 2500 + '{"low":1,"high":0}' + "]}" * 2500
+    given = [deep, "[" * 400_000, "{bad", "NaN", '"\\ud800"', None, "", '{"a":null}']
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", engines.graph_result("t").alias("r"), engines.graph_json("t").alias("v"))
+    found = {r.i: (r.r.value, r.r.error) for r in rows.collect()}
+    assert found[0] == (deep.replace('{"low":1,"high":0}', "1"), None) and found[7] == ('{"a":null}', None)
+    assert found[1] == (None, "nested too deeply") and found[5] == (None, None)
+    assert all(found[i][0] is None and found[i][1].startswith("not JSON") for i in (2, 3, 4, 6))
+
+
 def test_search_strings(spark):
     df = spark.range(1).select(*[F.to_json(coerce_for_search(F.parse_json(F.lit('{"a":1}')), t)).alias(t) for t in ("keyword", "long")])
     assert tuple(df.collect()[0]) == ('"{\\"a\\":1}"', '{"a":1}')

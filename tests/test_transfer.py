@@ -248,6 +248,26 @@ def test_filter_language(spark):
     assert filters.where(df, " ").count() == 3 and filters.where(df, "n > 5").count() == 1
 
 
+def test_filter_on_text_dates_and_inner_fields(spark):
+    now = datetime(2024, 1, 10, 12, tzinfo=timezone.utc)
+    df = spark.sql("""
+        SELECT * FROM VALUES (1, '2024-01-09T13:00:00Z', named_struct('b', 1), array(named_struct('k', 1), named_struct('k', 9))),
+          (2, '2024-01-01', named_struct('b', 2), array(named_struct('k', 5))), (3, 'soon', NULL, array()),
+          (4, NULL, named_struct('b', NULL), NULL) AS t(id, day, a, items)""").withColumn("x.y", F.col("id"))
+    ids = lambda q: [r.id for r in filters.filter_dsl(df, q, "id", now).orderBy("id").collect()]
+    assert ids({"range": {"day": {"gte": "now-1d"}}}) == [1] and ids({"range": {"day": {"lt": "now-1d"}}}) == [2]
+    assert ids({"bool": {"must_not": {"range": {"day": {"gte": "now-1d"}}}}}) == [2, 3, 4]
+    assert ids({"range": {"day": {"gte": "2024-01-05", "lt": "now"}}}) == [1] and ids({"term": {"day": "soon"}}) == [3]
+    assert ids({"terms": {"day": ["soon", "now-9d/d"]}}) == [2, 3]
+    assert ids({"term": {"a.b": 2}}) == [2] and ids({"exists": {"field": "a.b"}}) == [1, 2] and ids({"term": {"x.y": 3}}) == [3]
+    # Any value of a list, one value within all bounds.
+    assert ids({"term": {"items.k": 9}}) == [1] and ids({"range": {"items.k": {"gt": 2, "lt": 8}}}) == [2]
+    assert ids({"bool": {"must_not": {"terms": {"items.k": [1, 5]}}}}) == [3, 4]
+    for bad in ("a.c", "a.b.c", "items.z", "day.x", "q.b"):
+        with pytest.raises(ValueError):
+            filters.filter_dsl(df, {"term": {bad: 1}})
+
+
 def test_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "f")
     spark.range(10).select(F.col("id").alias("n")).write.parquet(path)
