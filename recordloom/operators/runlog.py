@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators.ordinal import with_ordinal
-from recordloom.session import cut_lineage
+from recordloom.session import cut_lineage, scratch
 
 TEMPLATE = "struct<runId:variant,templateId:variant,templateName:variant,stepIndex:variant,stepCount:variant,stepName:variant>"
 DEFAULT_TEMPLATE_NAME = "dependency group"
@@ -197,6 +197,13 @@ def dependency_components(tasks: DataFrame) -> DataFrame:
 FAR = 1 << 60
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: unlike a checkpoint it does not hand what the planner knew on to the next round."""
+    path = scratch(df.sparkSession, "levels")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
     """``(id, seq, level)``: a task's level is the length of the longest path to a task without dependencies.
 
@@ -212,7 +219,7 @@ def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
     tasks all have several open paths costs one round.
     """
     one = F.lit(1).cast("long")
-    paths = cut_lineage(dependency_edges(tasks).withColumn("far", one))
+    paths = _written(dependency_edges(tasks).withColumn("far", one))
     waiting = tasks.select("id", seq, F.lit(0).cast("long").alias("floor"))
     placed, rounds = None, 0
     while True:
@@ -220,7 +227,7 @@ def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
         leads = paths.groupBy("id").agg(
             F.count(F.lit(1)).alias("ways"), F.max("dep").alias("target"), F.max("far").alias("stretch")
         )
-        state = cut_lineage(waiting.join(leads, "id", "left"))
+        state = _written(waiting.join(leads, "id", "left"))
         free = state.filter("ways IS NULL")
         if free.isEmpty():
             break
@@ -232,7 +239,7 @@ def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
             F.col("id").alias("dep"), F.col("floor").alias("below"), "ways", "target", "stretch", "ends"
         )
         single = (F.col("ways") == 1) & F.col("ends").isNull()
-        moved = cut_lineage(
+        moved = _written(
             paths.join(at, "dep").select(
                 "id",
                 F.least(F.col("below") + F.col("far"), F.lit(FAR)).alias("reach"),
@@ -248,7 +255,7 @@ def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
         rounds += 1
         if rounds % 16 == 0:
             # The plan stays short however many rounds there are.
-            placed = cut_lineage(placed)
+            placed = _written(placed)
     rest = state.select("id", seq, F.lit(None).cast("int").alias("level"))
     return rest if placed is None else placed.union(rest)
 
