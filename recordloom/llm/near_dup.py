@@ -24,7 +24,9 @@ SLACK = 12.5
 FILTER_BITS = 1 << 24
 #: Links that one task closes; while there are more, rounds of contraction go on.
 SMALL = 200_000
-#: Documents of a block when stragglers are compared.
+#: Nodes of a bucket whose pairs are written out; the pairs of larger buckets stay inside the tasks that compare them.
+FEW = 32
+#: Documents of a block when stragglers of larger buckets are compared.
 BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -206,7 +208,10 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def _block_links(percent: int):
-    """Links between the rows of two blocks whose classes differ; only links leave the task, never its pairs."""
+    """Links between the rows of two blocks of a bucket whose classes differ; only links leave the task, never its pairs.
+
+    A pair that shares several buckets is compared in that of its first common band.
+    """
 
     def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
         regs = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS)
@@ -218,10 +223,13 @@ def _block_links(percent: int):
             return none
         (ra, sa), (rb, sb) = unpack(left), unpack(right)
         na, nb = left["n"].to_numpy(float), right["n"].to_numpy(float)
+        band = left["band"].iloc[0]
         us, vs = [], []
         for i in range(len(sa)):
             test = (left["root"].iloc[i] != right["root"].to_numpy()) & (np.minimum(na[i], nb) * 100 >= percent * np.maximum(na[i], nb))
             at = np.flatnonzero(test)
+            shared = (ra[i] == rb[at]).reshape(-1, BANDS, ROWS).all(-1)
+            at = at[shared.argmax(-1) == band]
             if len(at):
                 at = at[likely(ra[i][None], rb[at], np.full(len(at), na[i]), nb[at], percent / 100)]
             if not len(at):
@@ -300,9 +308,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     1. Equal sets meet by a 128-bit digest: one node for each distinct set.
     2. Every node goes to BANDS buckets of ROWS registers. In each bucket all nodes are paired with the smallest one only.
        Pairs pass the joint likelihood of their registers, then a check on the full sets.
-    3. Buckets that still hold several classes are joined to clusters. There each straggler (a node outside the cluster's largest
-       class) is compared with all nodes of the cluster, block by block, again by likelihood and then exactly. So every link
-       between texts that share a bucket counts, and no pairs are written.
+    3. In buckets whose other nodes still belong to several classes, each straggler (a node outside the largest class) is compared
+       with all of them, again by likelihood and then exactly: pair by pair in buckets of up to FEW nodes, block by block in
+       larger ones, whose pairs are not written. So every link between texts that share a bucket counts, and texts that share
+       none are never compared, however far chains of buckets reach.
 
     Every step is keyed by node or by block, so a bucket or class of any size is spread; only the texts of nodes in shared
     buckets are read a second time.
@@ -321,7 +330,7 @@ def _classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     nodes = cut_lineage(nodes)
     width = 2 * ROWS
     bands = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.expr(f"substring(registers, {1 + width * b}, {width})"), F.lit(b)) for b in range(BANDS)]))).select(
-        "node", F.col("col").alias("bucket")
+        "node", F.col("pos").alias("band"), F.col("col").alias("bucket")
     )
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").select("bucket", "hub")
     members = cut_lineage(bands.join(shared, "bucket"))
@@ -335,12 +344,7 @@ def _classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     placed = busy.select("node").join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )
-    placed = cut_lineage(placed)
-    rooted = members.join(placed, "node")
-    open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    spread = rooted.join(open_buckets, "bucket", "left_semi").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    clusters = classes_of(spread).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
-    found = cut_lineage(_straggler_links(clusters, placed, busy, sets, percent)).filter("u <> v")
+    found = cut_lineage(_straggler_links(members.join(placed, "node"), busy, sets, percent))
     roots = classes_of(links.unionByName(found)).withColumnRenamed("id", "node")
 
     labelled = nodes.select("node", "digest", "best").join(roots, "node", "left").select(
@@ -358,24 +362,34 @@ def _classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rest.unionByName(own)
 
 
-def _straggler_links(clusters: DataFrame, placed: DataFrame, busy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links from nodes outside their cluster's largest class to all nodes of the cluster."""
-    inside = cut_lineage(clusters.join(placed, "node"))
-    classes = inside.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
-    shape = classes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    known = inside.join(shape, "cluster")
-    whole = cut_lineage(known.join(busy.select("node", "n", "registers"), "node").join(sets.select("node", "elements"), "node"))
+def _straggler_links(rooted: DataFrame, busy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links from nodes outside their bucket's largest class to its other nodes, for `rooted(bucket, band, hub, node, root)`.
+
+    All nodes of a bucket have been compared with its hub, so that is left out, and with it most buckets that two nodes share by chance.
+    """
+    rest = rooted.filter("node <> hub")
+    classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    shape = classes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    known = cut_lineage(rest.join(shape.filter("most < all"), "bucket").drop("hub"))
+
+    few = known.filter(F.col("all") <= FEW)
+    left, right = few.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru")), few.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv"))
+    pairs = left.join(right, "bucket").filter("u < v AND ru <> rv").select("u", "v").distinct()
+    links = verified(_likely_pairs(pairs, busy, percent), sets, percent)
+
+    many = known.filter(F.col("all") > FEW)
+    whole = cut_lineage(many.join(busy.select("node", "n", "registers"), "node").join(sets.select("node", "elements"), "node"))
     blocks = F.ceil(F.col("all") / BLOCK).cast("long")
     lone_blocks = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long")
     spot = F.xxhash64("node")
-    columns = ["cluster", "a", "b", "node", "root", "n", "registers", "elements"]
+    columns = ["bucket", "a", "b", "band", "node", "root", "n", "registers", "elements"]
     every = whole.withColumn("b", F.pmod(spot, blocks)).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), lone_blocks - 1)))
     lone = whole.filter("root <> main").withColumn("a", F.pmod(spot, lone_blocks)).withColumn(
         "b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     )
-    keys = ["cluster", "a", "b"]
-    left = lone.select(*columns).toDF(*[f"lone_{c}" for c in columns]).groupBy(*[f"lone_{k}" for k in keys])
-    return left.cogroup(every.select(*columns).groupBy(*keys)).applyInPandas(_block_links(percent), "u long, v long")
+    keys = ["bucket", "a", "b"]
+    by_lone = lone.select(*columns).toDF(*[f"lone_{c}" for c in columns]).groupBy(*[f"lone_{k}" for k in keys])
+    return links.unionByName(by_lone.cogroup(every.select(*columns).groupBy(*keys)).applyInPandas(_block_links(percent), "u long, v long"))
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
