@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,12 +205,70 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Tasks with one path that the rounds of :func:`dependency_order` take as they are; more are contracted first.
+FEW_SINGLE = 500_000
+
+
+def _heads(name: str, turn: int) -> Column:
+    return F.xxhash64(F.col(name), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
+
+
+def _contracted(edges: DataFrame, few: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``(paths(id, dep, far), turns)``: the edges with most tasks that have one path passed over.
+
+    Each turn takes out tasks with one path, no two of which follow each other: by a coin per task, heads that lead to tails, or
+    to a task that has not just one path.  Whoever led to one of them leads on to where it leads.  A turn takes a quarter or more, so all turns
+    together move a few times the edges; ``turns`` holds what each took out, whose targets stay until a later turn.
+    """
+    ways = edges.groupBy("id").agg(F.count(F.lit(1)).alias("ways")).filter("ways = 1 AND id IS NOT NULL").select("id")
+    ends = ways.select(F.col("id").alias("dep"), F.lit(True).alias("more"))
+    paths = edges.join(ways.withColumn("one", F.lit(True)), "id", "left").join(ends, "dep", "left")
+    paths = _written(paths.select("id", "dep", F.lit(1).cast("long").alias("far"), F.coalesce("one", F.lit(False)).alias("one"), F.coalesce("more", F.lit(False)).alias("more")))
+    turns: list[DataFrame] = []
+    while paths.filter("one AND id <> dep").count() > few:
+        out = F.col("one") & _heads("id", len(turns)) & (~F.col("more") | ~_heads("dep", len(turns))) & (F.col("id") != F.col("dep"))
+        taken = _written(paths.filter(out).drop("one"))
+        passed = taken.toDF("dep", "to", "add", "ahead")
+        stay = paths.filter(~out)
+        led = stay.filter("more").join(passed, "dep", "left").select(
+            "id", F.coalesce("to", "dep").alias("dep"), (F.col("far") + F.coalesce("add", F.lit(0))).alias("far"), "one", F.coalesce("ahead", "more").alias("more")
+        )
+        paths = _written(led.unionByName(stay.filter("NOT more")))
+        turns.append(taken.select("id", "dep", "far"))
+    if turns:
+        paths = _written(paths.groupBy("id", "dep").agg(F.max("far").alias("far")))
+    return paths.select("id", "dep", "far"), turns
+
+
 def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
     """``(id, seq, level)``: a task's level is the length of the longest path to a task without dependencies.
 
     Sorting by ``(level, seq)`` puts dependencies first.  Tasks on or behind a
     cycle have no level.
 
+    While more than ``FEW_SINGLE`` tasks have one path, they are taken out turn
+    by turn (:func:`_contracted`); the rest gets its levels by
+    :func:`_ordered`, and what was taken out follows, last turn first: a task's
+    level is that of its target and the length of the path.
+    """
+    paths, turns = _contracted(dependency_edges(tasks), FEW_SINGLE)
+    if not turns:
+        return _ordered(tasks, paths, seq)
+    gone = reduce(DataFrame.unionByName, turns).select("id")
+    rest = _written(_ordered(tasks.join(gone, "id", "left_anti"), paths, seq))
+    known = rest.select("id", "level").distinct()
+    late: list[DataFrame] = []
+    for turn in reversed(turns):
+        at = known.toDF("dep", "level")
+        late.append(_written(turn.join(at, "dep").select("id", (F.col("level") + F.col("far")).cast("int").alias("level"))))
+        known = known.unionByName(late[-1])
+    followed = reduce(DataFrame.unionByName, late)
+    return rest.unionByName(tasks.select("id", seq).join(followed, "id").select("id", seq, "level"))
+
+
+def _ordered(tasks: DataFrame, paths: DataFrame, seq: str) -> DataFrame:
+    """``(id, seq, level)`` of tasks by paths ``(id, dep, far)`` between them.
+
     Every open task keeps a floor, below which its level cannot be, and paths to
     tasks that are open too.  Each round places the tasks without a path at
     their floor.  A task with just one path is passed by: whoever led to it
@@ -218,8 +277,6 @@ def dependency_order(tasks: DataFrame, seq: str = "seq") -> DataFrame:
     take a number of rounds that grows with the logarithm of it.  A level whose
     tasks all have several open paths costs one round.
     """
-    one = F.lit(1).cast("long")
-    paths = _written(dependency_edges(tasks).withColumn("far", one))
     waiting = tasks.select("id", seq, F.lit(0).cast("long").alias("floor"))
     placed, rounds = None, 0
     while True:

@@ -144,6 +144,31 @@ def test_levels_against_peeling(spark, seed):
     assert {r.id: r.level for r in found} == brute_levels(deps) and all(r.seq == -r.id for r in found)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_of_contracted_chains(spark, monkeypatch, seed):
+    monkeypatch.setattr(runlog, "FEW_SINGLE", 3, raising=False)
+    rng = random.Random(seed)
+    n = 90
+    deps = {i: [i - 1] * (i % 30 != 0) + rng.sample(range(max(i, 1)), min(i, rng.choice([0, 0, 0, 0, 1]))) for i in range(n)}
+    deps |= {100: [101], 101: [100], 102: [101], 103: [102], 104: [], 105: [105], 106: [999]}
+    tasks = spark.createDataFrame([(k, -k, v) for k, v in deps.items()] + [(None, 1, [5]), (50, 7, [49])], "id bigint, seq bigint, depends_on array<bigint>")
+    found = [tuple(r) for r in runlog.dependency_order(tasks).collect()]
+    deps[50] = list({*deps[50], 49})
+    level = brute_levels(deps)
+    assert sorted(found, key=str) == sorted([(k, -k, level[k]) for k in deps] + [(None, 1, 0), (50, 7, level[50])], key=str)
+
+
+def test_a_chain_writes_a_few_times_its_rows(spark, monkeypatch):
+    rows = []
+    put = runlog._written
+    monkeypatch.setattr(runlog, "_written", lambda df: rows.append((made := put(df)).count()) or made)
+    monkeypatch.setattr(runlog, "FEW_SINGLE", 100, raising=False)
+    n = 4000
+    chain = spark.range(n).selectExpr("id", "id AS seq", "IF(id = 0, array(), array(id - 1)) AS depends_on")
+    assert {r.id: r.level for r in runlog.dependency_order(chain).collect()} == {i: i for i in range(n)}
+    assert sum(rows) < 10 * n
+
+
 def test_a_chain_takes_logarithmic_rounds(spark, monkeypatch):
     cuts = []
     cut = runlog._written
