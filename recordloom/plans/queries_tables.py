@@ -14,7 +14,7 @@ from recordloom.plans.import_plan import ImportSpec, convert_records, run_import
 from recordloom.plans.queries_records import edge_lines, node_lines
 from recordloom.plans.queries_values import ORDER_TARGETS, damaged_orders
 from recordloom.plans.registry import lines_of, query, table
-from recordloom.session import scratch
+from recordloom.session import cut_lineage, scratch
 from recordloom.sinks import lines as out
 from recordloom.sinks import tables as sink
 from recordloom.sinks.keyed import KeyedTable
@@ -307,7 +307,8 @@ def resume_files(spark, sf):
     """A file of lines read on from a cursor that is joined to its blocks."""
     path = scratch(spark, "resumed")
     o = table(spark, sf, "orders")
-    out.write_lines(lines_of(o, "o_orderkey").orderBy("line_no").coalesce(1), path)
+    # All tasks sort; the one that writes the file only reads their parts, one after another.
+    out.write_lines(cut_lineage(lines_of(o, "o_orderkey").orderBy("line_no")).coalesce(1), path)
     name = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
     left = read_lines(spark, path, after=name.select("file", F.lit(4321).alias("line_no")))
     return left.select(F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey"), "line_no")

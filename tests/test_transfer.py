@@ -417,3 +417,15 @@ def test_levels_have_no_bound(spark):
     n = 40
     tasks = spark.createDataFrame([(str(i), [str(i - 1)] if i else [], i) for i in range(n)], "id string, depends_on array<string>, seq long")
     assert {r.id: r.level for r in runlog.dependency_order(tasks).collect()} == {str(i): i for i in range(n)}
+
+
+def test_the_task_that_writes_one_file_does_not_sort(spark, monkeypatch, tmp_path):
+    from recordloom.plans import queries_tables
+
+    spark.range(6000).select(F.expr("id AS o_orderkey"), F.lit("x").alias("o_clerk")).repartition(5).write.parquet(str(tmp_path / "orders.parquet"))
+    plans = []
+    put = queries_tables.out.write_lines
+    monkeypatch.setattr(queries_tables.out, "write_lines", lambda df, path: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, path))
+    found = queries_tables.resume_files(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, i + 1) for i in range(4321, 6000)]
+    assert len(plans) == 1 and "Sort" not in plans[0] and "Exchange" not in plans[0]
