@@ -254,3 +254,22 @@ def test_integer_widths(one, text, target, fits):
     value, error = one(text, None, target)
     assert (error is None) == fits and (value is None) == (not fits)
     assert fits or "integer from" in error
+
+
+def test_graph_values_share_one_decoder_a_batch(monkeypatch):
+    import json
+
+    import pandas as pd
+
+    made = []
+
+    class Counted(json.JSONDecoder):
+        def __init__(self, *a, **k):
+            made.append(1)
+            super().__init__(*a, **k)
+
+    monkeypatch.setattr(json, "JSONDecoder", Counted)
+    texts = ['{"d":{"year":2020,"month":2,"day":{"low":3,"high":0},"hour":null}}', "{", None, '[NaN]', '{"low":1,"high":1}'] * 50
+    got = engines.graph_result.func(pd.Series(texts, dtype=object))
+    assert got["value"][:5].tolist() == ['{"d":"2020-02-03"}', None, None, None, "4294967297"] and got["error"].notna().sum() == 100
+    assert len(made) == 1
