@@ -222,23 +222,26 @@ STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def _mark(text: Column) -> Column:
-    return F.xxhash64(text).cast("string")
+    return F.xxhash64(text)
 
 
 def parse_wrapped(text: Column) -> Column:
     """Text to ``array<map<string,variant>>`` with the JSON object in front, see :func:`only_record`.
 
     The parser stops after the first value, so the text is read as the first of two elements of an array; the second is an object
-    whose key is a hash of the text.  Anything behind the record, brackets included, then shifts or loses that object, and the
-    line is malformed.
+    that holds a hash of the text.  Anything behind the record, brackets included, then shifts or loses that object, and the
+    line is malformed.  The hash is a value, since the parser keeps every new key that it meets.
     """
-    wrapped = F.concat(F.lit("["), text, F.lit(',{"'), _mark(text), F.lit('":0}]'))
-    return F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith("}"), F.from_json(wrapped, "array<map<string,variant>>", STRICT_JSON))
+    wrapped = F.concat(F.lit("["), text, F.lit(',{"":'), _mark(text).cast("string"), F.lit("}]"))
+    # Trimming a set of characters walks the whole text, so it is left to texts that need it.
+    closed = text.endswith("}") | F.rtrim(text, F.lit(" \t\r\n")).endswith("}")
+    return F.when(closed, F.from_json(wrapped, "array<map<string,variant>>", STRICT_JSON))
 
 
 def only_record(wrapped: Column, text: Column) -> Column:
     """The record of :func:`parse_wrapped`, NULL for any text that is no object; repeated keys are still in it."""
-    return F.when((F.size(wrapped) == 2) & F.map_contains_key(F.get(wrapped, 1), _mark(text)), F.get(wrapped, 0))
+    seal = F.try_variant_get(F.try_element_at(F.get(wrapped, 1), F.lit("")), "$", "bigint")
+    return F.when((F.size(wrapped) == 2) & (seal == _mark(text)), F.get(wrapped, 0))
 
 
 def unique_keys(rec: Column) -> Column:

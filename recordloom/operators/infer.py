@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,27 +24,32 @@ from recordloom.sources.records import META, read_first_records
 # The logical types; the three numeric ones widen in this order.
 LOGICAL_TYPES = ("boolean", "integer", "bigint", "number", "datetime", "string", "json")
 NUMERIC_ORDER = ("integer", "bigint", "number")
+SAFE_DIGITS = len(str(MAX_SAFE_INTEGER))
+#: Lines and positions below these bits make one number of 63 bits.
+LINE_BITS, POS_BITS = 42, 21
 DEFAULT_SAMPLE = 1000
 MAX_SAMPLE = 100_000
 
 
-def infer_value_type(v: Column, k: Column | None = None, t: Column | None = None) -> Column:
-    """Logical type of one value; NULL for null and absent ones."""
+def infer_value_type(v: Column, k: Column | None = None, t: Column | None = None, label: Callable[[str], Column] = F.lit) -> Column:
+    """Logical type of one value, or what ``label`` makes of it; NULL for null and absent ones."""
     k = code(v) if k is None else k
     t = as_text(v) if t is None else t
     number = t.try_cast("double")
     whole = number == F.rint(number)
     safe = F.abs(number) <= MAX_SAFE_INTEGER
-    dated = t.rlike(ISO_DATE_TIME_PREFIX) | t.rlike(ISO_DATE)
+    dated = (F.length(t) >= 10) & (F.substring(t, 5, 1) == "-") & (t.rlike(ISO_DATE_TIME_PREFIX) | t.rlike(ISO_DATE))
+    integer, bigint = label("integer"), label("bigint")
     return (
-        F.when(k == "STR", F.when(dated, "datetime").otherwise("string"))
-        .when(k == "BIG", F.when(safe, "integer").otherwise("bigint"))
+        F.when(k == "STR", F.when(dated, label("datetime")).otherwise(label("string")))
+        # Most integers are too short to be unsafe, and need no conversion.
+        .when(k == "BIG", F.when((F.length(t) < SAFE_DIGITS) | safe, integer).otherwise(bigint))
         .when(
             k.isin("DEC", "DOU", "FLO"),
-            F.when(~whole, "number").when(safe, "integer").otherwise("bigint"),
+            F.when(~whole, label("number")).when(safe, integer).otherwise(bigint),
         )
-        .when(k == "BOO", "boolean")
-        .when(k.isin("ARR", "OBJ"), "json")
+        .when(k == "BOO", label("boolean"))
+        .when(k.isin("ARR", "OBJ"), label("json"))
     )
 
 
@@ -91,20 +98,26 @@ def infer_schema(records: DataFrame) -> DataFrame:
     coded = cells.select("*", code(F.col("v")).alias("k"), F.to_json("v").alias("j"))
     text = staged_text(F.col("v"), F.col("k"), F.col("j"))
     typed = coded.select("file", "line_no", "pos", "name", "k", text.alias("t"))
-    rank = _rank(infer_value_type(None, F.col("k"), F.col("t")))
+    rank = infer_value_type(None, F.col("k"), F.col("t"), lambda name: F.lit(LOGICAL_TYPES.index(name) + 1).cast("bigint"))
+    # Places are long integers but for those that do not fit.
+    near = F.col("line_no").between(0, (1 << LINE_BITS) - 1) & (F.col("pos") < 1 << POS_BITS)
     ranked = typed.select(
         "file",
         F.when(F.col("pos") > 0, F.col("name")).alias("name"),
         rank.alias("rank"),
-        place(F.col("line_no"), F.col("pos")).alias("at"),
+        F.when(near, F.col("line_no") * F.lit(1 << POS_BITS) + F.col("pos")).alias("near"),
+        F.when(~near, place(F.col("line_no"), F.col("pos"))).alias("far"),
     )
     per_file = ranked.groupBy("name", "file").agg(
         F.count(F.lit(1)).alias("present"),
         F.count("rank").alias("typed"),
         F.min("rank").alias("lo"),
         F.max("rank").alias("hi"),
-        F.min("at").alias("at"),
+        F.min("near").alias("near"),
+        F.min("far").alias("far"),
     )
+    nearest = place(F.shiftright("near", POS_BITS), F.col("near").bitwiseAND(F.lit((1 << POS_BITS) - 1)))
+    per_file = per_file.withColumn("at", F.least(nearest, "far"))
     per_name = per_file.groupBy("name").agg(
         F.sum("present").alias("present"),
         F.sum("typed").alias("typed"),

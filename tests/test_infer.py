@@ -92,3 +92,25 @@ def test_create_if_missing(spark, tmp_path):
     for bad in (None, "  ", "x" * 20_001):
         with pytest.raises(ValueError):
             targets.create_if_missing(spark, "not_there", bad)
+
+
+def test_places_are_long_integers_unless_too_large(spark):
+    """Columns are in order of first places, small and very large ones; the first aggregation has no decimals to carry for small ones."""
+    from recordloom.sources.records import records_of
+
+    rows = [("f", 1 << 50, '{"c":1,"a":1}'), ("f", 7, '{"b":1,"a":9007199254740992}'), ("f", (1 << 42) - 1, '{"d":"2020-01-01"}'), ("f", 1 << 42, '{"e":"2020"}')]
+    made = infer.infer_schema(records_of(spark.createDataFrame(rows, "file string, line_no bigint, value string")))
+    assert [(r.name, r.logical_type) for r in made.orderBy("ordinal").collect()] == [("b", "integer"), ("a", "bigint"), ("d", "datetime"), ("e", "string"), ("c", "integer")]
+    assert infer.LINE_BITS + infer.POS_BITS == 63
+
+
+def test_marks_of_lines_are_no_new_keys(spark):
+    """The parser keeps every key it meets, so lines may not bring one each."""
+    from recordloom.functions.values import only_record, parse_wrapped
+
+    texts = ['{"a":1}', '{"a":2} ', '{"a":1},{"":5}', '{"a":1}]}', '{"":1}', "[1]", '{"a":1},{"b":{}', '{"a":1} x']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_wrapped(F.col("t")).alias("w"))
+    keys = df.select(F.explode(F.map_keys(F.get("w", 1))).alias("k")).distinct().collect()
+    assert [r.k for r in keys] == [""]
+    good = df.select("t", F.to_json(only_record(F.col("w"), F.col("t"))).alias("r")).filter("r IS NOT NULL").collect()
+    assert {r.t: r.r for r in good} == {'{"a":1}': '{"a":1}', '{"a":2} ': '{"a":2}', '{"":1}': '{"":1}'}
