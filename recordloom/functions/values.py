@@ -177,11 +177,16 @@ def _unusual_stamp(text: Column) -> Column:
 
 
 def text_timestamp(text: Column) -> Column:
-    """Instant of an ISO 8601 text (missing zone = UTC), NULL for anything else."""
+    """Instant of an ISO 8601 text (missing zone = UTC), NULL for anything else.
+
+    Plain days are common, so they are counted as days since 1970 and parse no time zone; texts that are no date never reach the lambda.
+    """
+    day = (F.length(text) == 10) & text.rlike(ISO_DATE)
     return (
-        F.when(text.rlike(COMPLETE_STAMP), text.try_cast("timestamp"))
+        F.when(day, F.timestamp_micros(F.unix_date(text.try_cast("date")).cast("bigint") * F.lit(86_400_000_000)))
+        .when(text.rlike(COMPLETE_STAMP), text.try_cast("timestamp"))
         .when(text.rlike(ZONELESS_STAMP), F.concat(text, F.lit("Z")).try_cast("timestamp"))
-        .otherwise(let(text, _unusual_stamp))
+        .when(text.rlike(DATE_TEXT), let(text, _unusual_stamp))
     )
 
 

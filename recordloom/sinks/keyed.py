@@ -137,10 +137,12 @@ class KeyedTable:
         rows.write.parquet(f"{self.path}/{folder}")
         return {name: [folder, size] for name, size in self.store.names(folder).items()}
 
-    def write(self, incoming: DataFrame, policy: str, seq: str, presence: str | None = None, commit: dict | None = None) -> dict:
+    def write(self, incoming: DataFrame, policy: str, seq: str, presence: str | None = None, commit: dict | None = None,
+              stored: bool = False) -> dict:
         """Apply ``incoming`` under a conflict policy; ``{version, rewritten, kept, added}`` in files.
 
-        ``seq``, ``presence`` and the policies are those of ``merge_frames``.  The incoming rows are computed once.  Files without one of
+        ``seq``, ``presence`` and the policies are those of ``merge_frames``.  The incoming rows are computed once; ``stored`` says that
+        they are a plain scan of files that stay as they are, and are read from there instead of being written again.  Files without one of
         their keys stay as they are: ``update`` and ``overwrite`` rewrite the others, ``skip`` and ``error`` only add.  ``commit``
         (stream, batch, sources) is recorded in the same version, so data and cursor appear together.
         """
@@ -148,9 +150,11 @@ class KeyedTable:
             raise ValueError(f"unknown policy: {policy}")
         state = self.state()
         check_columns(self._frame(state, []), incoming, seq, presence)
-        path = scratch(self.spark, "incoming")
-        incoming.write.parquet(path)
-        staged = self.spark.read.schema(incoming.schema).parquet(path)
+        staged = incoming
+        if not stored:
+            path = scratch(self.spark, "incoming")
+            incoming.write.parquet(path)
+            staged = self.spark.read.schema(incoming.schema).parquet(path)
         touched = self._touched(state, staged)
         target = self._frame(state, touched)
         plain = staged.drop(*[c for c in (seq, presence) if c and c not in target.columns])

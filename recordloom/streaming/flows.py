@@ -115,7 +115,7 @@ def stream_ingest_keyed(
         commit = {"stream": stream, "batch": batch_id, "sources": table.put_sources(named.coalesce(1))}
         commit["progress"] = {**{k: counts[k] or 0 for k in ("rows", "skipped", "lines")}, "files": len(files), "bytes": sum(found.values()), "seconds": time.monotonic() - began}
         presence = "_present" if policy == "update" else None
-        done = table.write(rows if presence else rows.drop("_present"), policy, "_seq", presence, commit)
+        done = table.write(rows if presence else rows.drop("_present"), policy, "_seq", presence, commit, stored=True)
         if on_batch:
             on_batch(batch_id, {**counts, **commit["progress"], **done})
 
