@@ -273,3 +273,21 @@ def test_graph_values_share_one_decoder_a_batch(monkeypatch):
     got = engines.graph_result.func(pd.Series(texts, dtype=object))
     assert got["value"][:5].tolist() == ['{"d":"2020-02-03"}', None, None, None, "4294967297"] and got["error"].notna().sum() == 100
     assert len(made) == 1
+
+
+def test_plain_days_equal_the_general_way(spark):
+    """Days are counted, not parsed with a time zone; what is no day, or none that exists, is as before, in any session zone."""
+    from recordloom.functions.values import _unusual_stamp, let, text_timestamp
+
+    days = ["1998-02-06", "1969-12-31", "0000-01-01", "9999-12-31", "2000-02-29", "1999-02-29", "1998-13-01", "1998-02-06\n", " 1998-02-06",
+            "soon", "", "1998", "1998-02", "1998-2-6", "1582-10-10", None]
+    frame = spark.createDataFrame([(d,) for d in days], "d string").repartition(2)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = frame.select("d", F.unix_micros(text_timestamp(F.col("d"))).alias("a"), F.unix_micros(let(F.col("d"), _unusual_stamp)).alias("b")).collect()
+            assert all(r.a == r.b for r in got), [r for r in got if r.a != r.b]
+            assert {r.d: r.a for r in got}["1998-02-06"] == 886723200000000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

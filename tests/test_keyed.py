@@ -1,14 +1,16 @@
 """The keyed table: which files a write replaces, what a reader sees, and streams that die at the worst moment."""
 
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators.conflicts import KeyConflict, UnknownColumns, merge_frames
-from recordloom.plans.import_plan import ImportSpec, import_once
+from recordloom.plans.import_plan import OPEN_FILES_CONF, ImportSpec, import_once
 from recordloom.operators.quality import RowError
+from recordloom.session import shared_root
 from recordloom.sinks.keyed import ConcurrentWrite, KeyedTable
 from recordloom.streaming import flows
 
@@ -157,6 +159,31 @@ def test_keyed_stream_survives_death_between_data_and_ledger(spark, tmp_path, mo
     assert [(r.line_no, r.error) for r in dead.filter("error IS NOT NULL").collect()] == [(3, "line 3 is not a JSON object")]
 
 
+def test_keyed_stream_stages_rows_once(spark, tmp_path):
+    """The rows of a batch are staged by the conversion; the write reads them there and keeps no second copy."""
+    root = shared_root(spark)
+    copies = lambda: {n for n in os.listdir(root) if n.startswith("incoming-")}
+    table = KeyedTable.create(spark, str(tmp_path / "t"), spark.createDataFrame([], SHAPE).schema, ["id"])
+    drop(tmp_path / "in", "a.jsonl", [{"id": 1, "name": "a", "n": 1}, {"id": 1, "n": 2}, "oops", {"id": None, "name": "free"}])
+    before = copies()
+    ingest(spark, tmp_path, table)
+    drop(tmp_path / "in", "b.jsonl", [{"id": 1, "name": None}, {"id": 2, "name": "b", "n": 3}])
+    ingest(spark, tmp_path, table)
+    assert copies() == before
+    assert rows_of(table.read()) == ["(1, None, 2)", "(2, 'b', 3)", "(None, 'free', None)"]
+    # Rows that are no scan are still computed once, into a copy.
+    table.write(spark.createDataFrame([(3, "c", 1)], "id long, name string, seq int"), "update", "seq")
+    assert len(copies() - before) == 1 and table.read().count() == 4
+
+
+def test_outcomes_are_written_unsorted_and_the_setting_restored(spark, tmp_path):
+    before = spark.conf.get(OPEN_FILES_CONF)
+    drop(tmp_path / "in", "a.jsonl", [{"id": i, "name": "a", "n": "x" if i % 2 else i} for i in range(40)])
+    good, dead, counts = import_once(flows.read_records(spark, str(tmp_path / "in")), SPEC, str(tmp_path / "once"))
+    assert (good.count(), dead.count(), counts["rows"], counts["skipped"]) == (20, 20, 20, 20)
+    assert spark.conf.get(OPEN_FILES_CONF) == before
+
+
 def test_keyed_stream_under_error_policy_stops(spark, tmp_path):
     table = KeyedTable.create(spark, str(tmp_path / "t"), spark.createDataFrame([], SHAPE).schema, ["id"])
     drop(tmp_path / "in", "a.jsonl", [{"id": 1, "name": "a", "n": 1}])
