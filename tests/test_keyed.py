@@ -176,7 +176,7 @@ def test_keyed_stream_stages_rows_once(spark, tmp_path):
     assert len(copies() - before) == 1 and table.read().count() == 4
 
 
-def test_outcomes_are_written_unsorted_and_the_setting_restored(spark, tmp_path):
+def test_outcomes_are_written_and_the_setting_restored(spark, tmp_path):
     before = spark.conf.get(OPEN_FILES_CONF)
     drop(tmp_path / "in", "a.jsonl", [{"id": i, "name": "a", "n": "x" if i % 2 else i} for i in range(40)])
     good, dead, counts = import_once(flows.read_records(spark, str(tmp_path / "in")), SPEC, str(tmp_path / "once"))
