@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.words import mix, slices, texts_of
-from recordloom.session import cut_lineage
+from recordloom.session import scratch
 
 #: Least occurrences of a context or transition, at any size of the input.
 LEAST = 4
@@ -37,10 +37,8 @@ BUCKETS, BUCKET_BYTES = 64, 64 << 20
 END = np.uint64(0x5A17E0F7E27C0DE5)
 #: Bits of the filters that spare runs the shuffle; a run that passes for nothing is only a few bytes more.
 FILTER_BITS, FILTER_PARTS = 1 << 26, 64
-#: Runs that a task sums before it hands them on.
+#: Runs that a task holds before it makes them distinct or hands them on.
 HELD = 1 << 21
-#: Runs of one length from which on their hashes are counted first, packed, and only the frequent ones are then fetched from the texts.
-PACKED_LENGTH = 2
 #: The most frequent words and runs, at most, whose values every task holds (28 bytes each); all others meet their values by bucket.
 HOT = 1 << 19
 
@@ -79,6 +77,43 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+class Index:
+    """Places of keys among sorted distinct hashes, from a table of where those with equal high bits begin."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(1, len(keys).bit_length())
+        self.shift, self.size = np.uint64(64 - bits), len(keys)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, ~np.uint64(0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """As `_find`."""
+        place = self.first[keys >> self.shift]
+        seen = self.keys[place]
+        low = np.flatnonzero(seen < keys)
+        while len(low):
+            place[low] += 1
+            seen[low] = self.keys[place[low]]
+            low = low[seen[low] < keys[low]]
+        return np.where((seen == keys) & (place < self.size), place, -1)
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts hashes, ties by place: their high bits are sorted together with their places, which takes a fourth of the time of argsort."""
+    n = len(keys)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    low = keys.min()
+    bits = np.uint64((n - 1).bit_length())
+    spread = np.uint64(64 - max(1, int(keys.max() - low).bit_length()))
+    packed = (((keys - low) << spread) >> bits << bits) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    # Hashes that differ in their low bits alone.
+    return np.argsort(keys, kind="stable") if (found[1:] < found[:-1]).any() else order
+
+
 @dataclass
 class Grams:
     """Frequent words by ascending hash, and for each further length the sorted codes of frequent runs.
@@ -220,18 +255,45 @@ def runs_of(row: np.ndarray, token: np.ndarray, longest: int) -> Iterator[tuple[
             row, context, suffix = row[1:][same], key[:-1][same], key[1:][same]
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: numbers are read from there with less time than from a checkpoint, and take half the disk."""
+    path = scratch(df.sparkSession, "tree")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of `key`, of fixed size, made in FILTER_PARTS parts."""
+    """A bitmap of `key`, of fixed size, made in FILTER_PARTS parts; tasks hand the places of their bits on packed."""
     size = FILTER_BITS // FILTER_PARTS
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in together(batches):
+            spot = np.unique((batch.column("key").to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.uint32))
+            cut = np.searchsorted(spot, np.arange(FILTER_PARTS + 1) * size).tolist()
+            own = [p for p in range(FILTER_PARTS) if cut[p] < cut[p + 1]]
+            packed = [(spot[cut[p] : cut[p + 1]] - np.uint32(p * size)).tobytes() for p in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "spots"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > HELD:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def fill(part: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(size, np.uint8)
-        bits[frame["spot"].to_numpy(np.int64) % size] = 1
-        return pd.DataFrame({"part": [int(frame["spot"].iloc[0]) // size], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        for spot in frame["spots"]:
+            bits[np.frombuffer(spot, np.uint32)] = 1
+        return pd.DataFrame({"part": [part[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    spots = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot"))
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in spots.groupBy(F.expr(f"spot div {size}")).applyInPandas(fill, "part int, bits binary").toLocalIterator():
+    parts = keys.select("key").mapInArrow(spots, "part int, spots binary").groupBy("part")
+    for r in parts.applyInPandas(fill, "part int, bits binary").toLocalIterator():
         out[r["part"] * size // 64 : (r["part"] + 1) * size // 64] = np.frombuffer(r["bits"], np.uint64)
     return out
 
@@ -252,147 +314,158 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 class _Held:
-    """Rows of equal columns, the first a key, that are made distinct whenever there are more than HELD of them."""
+    """Rows of equal columns, the first a key, of which only the first with each key is kept whenever there are more than HELD of them."""
 
-    def __init__(self, merge) -> None:
-        self.merge, self.parts, self.size = merge, [], 0
+    def __init__(self) -> None:
+        self.parts, self.size = [], 0
 
     def add(self, *columns: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        """What has to leave, if merging did not make enough room."""
+        """What has to leave, if there was not enough room."""
         self.parts.append(columns)
         self.size += len(columns[0])
         if self.size <= HELD:
             return None
-        merged = self.take()
-        if len(merged[0]) > HELD // 2:
-            return merged
-        self.parts, self.size = [merged], len(merged[0])
+        firsts = self.take()
+        if len(firsts[0]) > HELD // 2:
+            return firsts
+        self.parts, self.size = [firsts], len(firsts[0])
         return None
 
     def take(self) -> tuple[np.ndarray, ...] | None:
         if not self.size:
             return None
-        key, *rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.size = [], 0
-        order = np.argsort(key)
-        key = key[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return (key[at], *self.merge(order, at, rest))
+        order = order_of(columns[0])
+        key = columns[0][order]
+        at = order[np.append(True, key[1:] != key[:-1])]
+        return tuple(x[at] for x in columns)
 
 
-def _summing(order: np.ndarray, at: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    return (*[x[order][at] for x in rest[:-1]], np.add.reduceat(rest[-1][order], at))
+#: Rows that a task hands on of the runs of a bucket: their hashes and numbers packed, or the hashes of both their parts.
+PASSED = "bucket int, keys binary, n binary, context binary, suffix binary"
+COUNTED = "length int, bucket int, key long, context long, suffix long, n long"
 
 
-def _firsts(order: np.ndarray, at: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    return tuple(x[order][at] for x in rest)
+def _dealt(buckets: int, key: np.ndarray, columns: dict) -> pa.RecordBatch:
+    """A row for each bucket of the ascending keys; `columns` makes bytes of a part of the runs, by name."""
+    edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
+    cut = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+    own = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
+    made = [[columns[c](x) for _, x in own] if c in columns else [None] * len(own) for c in ("keys", "n", "context", "suffix")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([b for b, _ in own], pa.int32()), *[pa.array(x, pa.binary()) for x in made]], ["bucket", "keys", "n", "context", "suffix"]
+    )
 
 
-def _signed(*columns: np.ndarray) -> list[pa.Array]:
-    return [pa.array(c.view(np.int64)) for c in columns]
+def _packed(buckets: int, key: np.ndarray) -> pa.RecordBatch:
+    key, n = np.unique(key, return_counts=True)
+    return _dealt(buckets, key, {"keys": lambda x: _pack(key[x]), "n": lambda x: _planes(n[x])})
 
 
-def count_runs(texts: DataFrame, length: int, least: int, shorter: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """`(key, context, suffix, n)` of the runs of a length that come at least `least` times; `shorter` has the `key` of both their parts.
+def _parts(buckets: int, key: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
+    return _dealt(buckets, key, {"context": lambda x: context[x].tobytes(), "suffix": lambda x: suffix[x].tobytes()})
 
-    A task sums what it reads, so that a run that is everywhere is a few rows for each task. Of long runs most come once or twice: there the
-    hashes alone are counted, sorted and packed in a row for each task and bucket, and the parts of those that are frequent are
-    fetched in a second pass over the texts.
-    """
-    bits = None if shorter is None else texts.sparkSession.sparkContext.broadcast(_bits(shorter))
 
-    def parts_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        *_, (_, context, suffix, key) = runs_of(*token_stream(part), length)
-        if bits is not None:
-            ok = _in(bits.value, context) & _in(bits.value, suffix)
-            context, suffix, key = context[ok], suffix[ok], key[ok]
-        return context, suffix, key
+def _summed(frame: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of the runs of a bucket that come at least `least` times."""
+    packed = frame[frame["keys"].notna()]
+    if not len(packed):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key = np.concatenate([_unpack(x, np.uint64) for x in packed["keys"]])
+    n = np.concatenate([_unplanes(x) for x in packed["n"]]).astype(np.int64)
+    order = order_of(key)
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    total = np.add.reduceat(n[order], at)
+    often = total >= least
+    return key[at][often], total[often]
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix"))
-            key = suffix if length == 1 else run_keys(context, suffix)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", "context", "suffix", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(_summing)
+def count_words(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """`(key, n)` of all words. A task sums what it reads, sorts the hashes and packs them in a row for each bucket."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                context, suffix, key = parts_of(part)
-                if len(key) and (full := held.add(key, context, suffix, np.ones(len(key), np.int64))):
-                    yield pa.RecordBatch.from_arrays([*_signed(*full[1:3]), pa.array(full[3])], ["context", "suffix", "n"])
-        if full := held.take():
-            yield pa.RecordBatch.from_arrays([*_signed(*full[1:3]), pa.array(full[3])], ["context", "suffix", "n"])
+                held.append(token_stream(part)[1])
+                size += len(held[-1])
+                if size > 2 * HELD:
+                    yield _packed(buckets, np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield _packed(buckets, np.concatenate(held))
 
-    if length < PACKED_LENGTH:
-        sums = texts.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-        return sums.filter(F.col("n") >= least).mapInArrow(named, "key long, context long, suffix long, n long")
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        key, n = _summed(frame, 1)
+        return pd.DataFrame({"key": key.view(np.int64), "n": n})
 
-    edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
+    return texts.mapInArrow(pack, PASSED).groupBy("bucket").applyInPandas(summed, "key long, n long")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            cut = [0, *np.searchsorted(key, edges).tolist(), len(key)]
-            own = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
-            columns = [pa.array([b for b, _ in own], pa.int32()), pa.array([_pack(key[x]) for _, x in own], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([_planes(n[x]) for _, x in own], pa.binary())], ["bucket", "keys", "n"])
 
-        held, size = [], 0
+def count_runs(texts: DataFrame, length: int, longest: int, shorter: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """`(length, bucket, key, context, suffix, n)`: the runs of `length` that come at least LEAST times, their parts still 0, and those of `known` with theirs.
+
+    `shorter` has the `key` of the frequent runs one word shorter, to which both parts of a frequent run belong. `known` are the
+    former for that length (bucket, key, n); none for words, which have no parts. The texts are read once for both; runs above
+    `longest` are not counted. Of long runs most come once or twice, so the hashes alone are counted, sorted and packed in a
+    row for each task and bucket, and the parts are fetched from the texts once it is known which are frequent.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(_bits(shorter))
+    fetches = known is not None
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = bool(_in(bits.value, np.array([END]))[0])
+        parts, held, size = _Held(), [], 0
         for batch in batches:
             for part in slices(batch):
-                *_, key = parts_of(part)
-                held.append(key)
-                size += len(key)
+                *_, (row, context, suffix, key) = runs_of(*token_stream(part), length - 1)
+                ok = _in(bits.value, key)
+                if fetches and ok.any() and (full := parts.add(key[ok], context[ok], suffix[ok])):
+                    yield _parts(buckets, *full)
+                if length > longest:
+                    continue
+                if length == 2:
+                    both = ok & _shifted(row, ok, end)
+                    found = run_keys(_shifted(row, key, END)[both], key[both])
+                else:
+                    both = ok[:-1] & ok[1:] & (row[1:] == row[:-1])
+                    found = run_keys(key[:-1][both], key[1:][both])
+                held.append(found)
+                size += len(found)
                 if size > 2 * HELD:
-                    yield out(*np.unique(np.concatenate(held), return_counts=True))
+                    yield _packed(buckets, np.concatenate(held))
                     held, size = [], 0
         if size:
-            yield out(*np.unique(np.concatenate(held), return_counts=True))
-
-    def summed(bucket: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([_unpack(x, np.uint64) for x in frame["keys"]])
-        n = np.concatenate([_unplanes(x) for x in frame["n"]]).astype(np.int64)
-        order = np.argsort(key)
-        key = key[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        total = np.add.reduceat(n[order], at)
-        often = total >= least
-        return pd.DataFrame({"bucket": np.full(int(often.sum()), bucket[0], np.int32), "key": key[at][often].view(np.int64), "n": total[often]})
-
-    packed = texts.mapInArrow(pack, "bucket int, keys binary, n binary")
-    often = cut_lineage(packed.groupBy("bucket").applyInPandas(summed, "bucket int, key long, n long"))
-    wanted = texts.sparkSession.sparkContext.broadcast(_bits(often))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
-            cut = [0, *np.searchsorted(key, edges).tolist(), len(key)]
-            own = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
-            columns = [pa.array([x[s].tobytes() for _, s in own], pa.binary()) for x in (context, suffix)]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), *columns], ["bucket", "context", "suffix"])
-
-        held = _Held(_firsts)
-        for batch in batches:
-            for part in slices(batch):
-                context, suffix, key = parts_of(part)
-                ok = _in(wanted.value, key)
-                if ok.any() and (full := held.add(key[ok], context[ok], suffix[ok])):
-                    yield out(*full)
-        if full := held.take():
-            yield out(*full)
-
-    def matched(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["key"].to_numpy(np.int64).view(np.uint64))
-        key, n = known["key"].to_numpy(np.int64).view(np.uint64)[order], known["n"].to_numpy(np.int64)[order]
-        parts = np.zeros((2, len(key)), np.uint64)
-        for context, suffix in zip(frame["context"], frame["suffix"], strict=True):
+            yield _packed(buckets, np.concatenate(held))
+        if full := parts.take():
+            yield _parts(buckets, *full)
+
+    def table(size: int, bucket: int, key: np.ndarray, both: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        columns = {"key": key.view(np.int64), "context": both[0].view(np.int64), "suffix": both[1].view(np.int64), "n": n}
+        return pd.DataFrame({"length": np.full(len(key), size, np.int32), "bucket": np.full(len(key), bucket, np.int32), **columns})
+
+    def counted(bucket: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        key, n = _summed(frame, LEAST)
+        return table(length, bucket[0], key, np.zeros((2, len(key)), np.uint64), n)
+
+    def matched(bucket: tuple, frame: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+        order = order_of(often["key"].to_numpy(np.int64).view(np.uint64))
+        key, n = often["key"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
+        both = np.zeros((2, len(key)), np.uint64)
+        fetched = frame[frame["context"].notna()]
+        for context, suffix in zip(fetched["context"], fetched["suffix"], strict=True):
             context, suffix = np.frombuffer(context, np.uint64), np.frombuffer(suffix, np.uint64)
-            place = _find(key, run_keys(context, suffix))
-            hit = place >= 0
-            parts[:, place[hit]] = context[hit], suffix[hit]
-        return pd.DataFrame({"key": key.view(np.int64), "context": parts[0].view(np.int64), "suffix": parts[1].view(np.int64), "n": n})
+            at = _find(key, run_keys(context, suffix))
+            hit = at >= 0
+            both[:, at[hit]] = context[hit], suffix[hit]
+        return pd.concat([table(length - 1, bucket[0], key, both, n), counted(bucket, frame)])
 
-    parts = texts.mapInArrow(fetch, "bucket int, context binary, suffix binary")
-    return parts.groupBy("bucket").cogroup(often.groupBy("bucket")).applyInPandas(matched, "key long, context long, suffix long, n long")
+    rows = texts.mapInArrow(passed, PASSED).groupBy("bucket")
+    if not fetches:
+        return _written(rows.applyInPandas(counted, COUNTED))
+    return _written(rows.cogroup(known.groupBy("bucket")).applyInPandas(matched, COUNTED))
 
 
 def _planes(n: np.ndarray) -> bytes:
@@ -403,34 +476,34 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def next_level(runs: DataFrame, shorter: DataFrame) -> DataFrame:
-    """`runs` with `parent` and `logp`, the log-probability of the last word by the context's suffix and by the tree so far, and `rest` and `state` of the context.
+def next_level(runs: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`runs` with `parent` and `logp`, the log-probability of the last word by the context's suffix and by the tree so far, and `rest` and `state` of
+    the context; and the contexts: `(context, n, rest, state)`.
 
     `shorter(key, n, logp)` holds both parts of every run. The formulas are those of `grow`.
     """
-    whole = shorter.select(F.col("key").alias("context"), F.col("n").alias("total"))
-    known = runs.join(whole, "context").join(shorter.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix")
-    known = cut_lineage(known)
-    left = known.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("m"))
-    known = known.join(left, "context")
+    left = runs.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("m"))
+    left = left.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
     share = (F.col("seen") - DISCOUNT * F.col("m")) / F.col("total")
-    known = known.withColumn("rest", F.least(F.greatest(1 - share, F.lit(1e-12)), F.lit(1.0)))
-    known = known.withColumn("own", F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.exp("parent")))
+    left = left.select("context", "seen", "total", F.least(F.greatest(1 - share, F.lit(1e-12)), F.lit(1.0)).alias("rest"))
+    known = runs.join(shorter.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix").drop("suffix").join(left, "context")
+    known = _written(known.withColumn("own", F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.exp("parent"))))
     better = F.sum(F.col("n") * (F.col("own") - F.col("parent")))
     unseen = F.greatest(F.first("total") - F.first("seen"), F.lit(0)) * F.log(F.first("rest"))
-    tested = known.groupBy("context").agg(((better + unseen) / F.first("total") >= DIVERGENCE).alias("state"))
-    known = known.join(tested, "context").withColumn("logp", F.when(F.col("state"), F.col("own")).otherwise(F.col("parent")))
-    return cut_lineage(known.select("key", "context", "n", "parent", "logp", "rest", "state"))
+    state = ((better + unseen) / F.first("total") >= DIVERGENCE).alias("state")
+    tested = _written(known.groupBy("context").agg(F.first("seen").alias("n"), F.first("rest").alias("rest"), state))
+    known = known.join(tested.select("context", "state"), "context").withColumn("logp", F.when(F.col("state"), F.col("own")).otherwise(F.col("parent")))
+    return _written(known.select("key", "n", "parent", "logp", "rest", "state")), tested
 
 
-def level_gains(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+def level_gains(level: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`(key, gain, n)`: what a state adds (log10) to the score wherever it is the context, and what each of its transitions adds to that.
 
     So the score of a text is the sum over its runs of all lengths, each found by itself.
     """
-    kept, ten = level.filter("state"), math.log(10)
-    states = kept.groupBy(F.col("context").alias("key")).agg((F.log(F.first("rest")) / ten).alias("gain"), F.sum("n").alias("n"))
-    return states, kept.select("key", ((F.col("logp") - F.col("parent") - F.log("rest")) / ten).alias("gain"), "n")
+    ten = math.log(10)
+    states = contexts.filter("state").select(F.col("context").alias("key"), (F.log("rest") / ten).alias("gain"), "n")
+    return states, level.filter("state").select("key", ((F.col("logp") - F.col("parent") - F.log("rest")) / ten).alias("gain"), "n")
 
 
 def hottest(values: DataFrame, most: int) -> dict[str, np.ndarray]:
@@ -445,7 +518,7 @@ def hottest(values: DataFrame, most: int) -> dict[str, np.ndarray]:
     kept = values.filter(step >= least) if least is not None else values.limit(0)
     found = kept.select("key", "base", "gain", "known").toArrow()
     key = found.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
+    order = order_of(key)
     return {"key": key[order], **{c: np.append(found.column(c).to_numpy().astype(float)[order], 0.0) for c in ("base", "gain", "known")}}
 
 
@@ -457,9 +530,12 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
     """
     bits = docs.sparkSession.sparkContext.broadcast(_bits(longer))
     hot = docs.sparkSession.sparkContext.broadcast(hottest(values, HOT))
+    # Only words have a base and are known.
+    of_words, of_runs = ((0, "base"), (1, "gain"), (2, "known")), ((1, "gain"),)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        index = Index(hot.value["key"])
         for batch in batches:
             for part in slices(batch):
                 row, token = token_stream(part)
@@ -469,8 +545,8 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                     if length > 1:
                         ok = _in(bits.value, key)
                         r, key = r[ok], key[ok]
-                    place = _find(hot.value["key"], key)
-                    for i, c in enumerate(("base", "gain", "known")):
+                    place = index.find(key)
+                    for i, c in of_runs if length > 1 else of_words:
                         own_sums[i] += np.bincount(r, hot.value[c][place], part.num_rows)
                     rows.append(r[place < 0])
                     keys.append(key[place < 0])
@@ -498,18 +574,18 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                 )
 
     def weigh(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.assign(key=table["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-        keys = table["key"].to_numpy(np.uint64)
-        value = {c: np.append(table[c].to_numpy(float), 0.0) for c in ("base", "gain", "known")}
+        order = order_of(table["key"].to_numpy(np.int64).view(np.uint64))
+        index = Index(table["key"].to_numpy(np.int64).view(np.uint64)[order])
+        value = {c: np.append(table[c].to_numpy(float)[order], 0.0) for c in ("base", "gain", "known")}
         out = []
         for s, row, token, ids, own in zip(*(frame[c] for c in ("slice", "row", "token", "ids", "own")), strict=True):
-            place = _find(keys, np.frombuffer(token, np.uint64))
+            place = index.find(np.frombuffer(token, np.uint64))
             hit = place >= 0
-            rows, spot = np.unique(np.frombuffer(row, np.uint16)[hit], return_inverse=True)
-            place = place[hit]
-            sums = [np.bincount(spot, value[c][place], len(rows)) for c in ("base", "gain", "known")]
+            row, place = np.frombuffer(row, np.uint16)[hit], place[hit]
+            rows = np.flatnonzero(np.bincount(row))
+            sums = [np.bincount(row, value[c][place])[rows] for c in ("base", "gain", "known")]
             if len(rows) or isinstance(ids, bytes):
-                out.append((s, rows.tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, own))
+                out.append((s, rows.astype(np.uint16).tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, own))
         return pd.DataFrame(out, columns=["slice", "rows", "base", "gain", "known", "ids", "own"])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
@@ -547,24 +623,30 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     size = given.agg(F.sum(F.octet_length("text")).alias("all")).first()
     buckets = max(BUCKETS, math.ceil((size["all"] or 0) / BUCKET_BYTES))
     texts = given.filter("train").select("text")
-    words = cut_lineage(count_runs(texts, 1, 1).select("key", "n"))
+    words = _written(count_words(texts, buckets))
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    level = words.withColumn("logp", F.log((F.col("n") + 1) / (n + v + 1)))
+    # Rarer words are no part of a run that counts.
+    level = _written(words.filter(F.col("n") >= LEAST).withColumn("logp", F.log((F.col("n") + 1) / (n + v + 1))))
     gains, longer, states = [], level.select("key").limit(0), 1
+    often = count_runs(texts, 2, depth + 1, level, None, buckets).select("bucket", "key", "n")
     for length in range(2, depth + 2):
-        runs = count_runs(texts, length, LEAST, level.filter(F.col("n") >= LEAST), buckets)
-        level = next_level(runs, level)
-        of_states, of_runs = level_gains(level)
+        # One reading of the texts fetches the parts of the runs of this length and counts those of the next.
+        found = count_runs(texts, length + 1, depth + 1, often, often, buckets)
+        runs, often = found.filter(F.col("length") == length).drop("length", "bucket"), found.filter(F.col("length") > length).select("bucket", "key", "n")
+        level, contexts = next_level(runs, level)
+        of_states, of_runs = level_gains(level, contexts)
         gains += [of_states, of_runs]
         longer = longer.unionByName((of_runs if length == 2 else of_states.unionByName(of_runs)).select("key"))
         states += of_states.count()
     zero = F.lit(0.0)
-    values = words.select("key", F.log10(F.col("n") + 1).alias("base"), zero.alias("gain"), F.lit(1).alias("known"), "n")
+    of_words = words.select("key", F.log10(F.col("n") + 1).alias("base"), zero.alias("gain"), F.lit(1).alias("known"), "n")
+    values = of_words.filter(F.col("n") >= LEAST)
     for found in gains:
         values = values.unionByName(found.select("key", zero.alias("base"), "gain", F.lit(0).alias("known"), "n"))
     sums = [F.sum(c).alias(c) for c in ("base", "gain", "known")]
-    values = cut_lineage(values.groupBy("key").agg(*sums, F.max("n").alias("n")))
+    # Rarer words are no contexts, so they have no other value.
+    values = _written(values.groupBy("key").agg(*sums, F.max("n").alias("n"))).unionByName(of_words.filter(F.col("n") < LEAST))
     # Rows that are equal have one key: each adds the same to the sums.
     sums = _sums(given, values, longer, buckets, depth + 1).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "base", "gain", "known")])
     base_score = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; one longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1000
-#: Bytes whose hashes are summed at once.
-HASH_BYTES = 2 << 20
+#: Bytes whose hashes are summed at once; one longer span is summed by itself.
+HASH_BYTES = 1 << 16
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,13 +29,15 @@ _LETTER = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _STEP, np.uint64)
+def _powers(n: int, step: np.uint64 = _STEP) -> np.ndarray:
+    out = np.full(n, step, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-_POWER = _powers(256)
+_POWER = _powers(HASH_BYTES)
+#: The powers are odd, so each has an inverse.
+_INVERSE = _powers(HASH_BYTES, np.uint64(pow(int(_STEP), -1, 1 << 64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,23 +52,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for ascending spans that do not overlap; empty spans hash to mix(0)."""
-    length = (ends - starts).astype(np.int64)
+    """64-bit hashes of data[start:end] for ascending spans that do not overlap; empty spans hash to mix(0).
+
+    The hash is the sum of letter * power(place in the span): the difference of two running sums over the bytes, by the inverse
+    of the power where the span starts.
+    """
+    length = (ends - starts).astype(np.uint64)
     out = np.zeros(len(starts), np.uint64)
-    powers = _POWER if not len(length) or length.max() <= len(_POWER) else _powers(int(length.max()))
-    total = np.cumsum(length)
     at = 0
     while at < len(starts):
-        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HASH_BYTES, "right")))
-        part = length[at:upto]
-        first = np.cumsum(part) - part
-        inside = np.arange(int(part.sum()), dtype=np.int64) - np.repeat(first, part)
-        value = _LETTER[data[np.repeat(starts[at:upto], part) + inside]] * powers[inside]
-        full = np.flatnonzero(part)
-        if len(full):
-            out[at + full] = np.add.reduceat(value, first[full])
+        low = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, low + HASH_BYTES, "left")))
+        high = int(ends[upto - 1])
+        powers = _POWER[: high - low] if high - low <= HASH_BYTES else _powers(high - low)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_LETTER[data[low:high]] * powers, out=total[1:])
+        first = starts[at:upto] - low
+        out[at:upto] = (total[ends[at:upto] - low] - total[first]) * _INVERSE[first]
         at = upto
-    return mix(out + (length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return mix(out + length * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass

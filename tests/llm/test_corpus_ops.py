@@ -273,6 +273,55 @@ def test_tree_keeps_the_same_contexts_at_any_size(spark):
     assert all(math.isclose(r.score - r.base_score, want[r.doc_id], rel_tol=1e-6, abs_tol=1e-6) for r in got)
 
 
+def test_tree_reads_the_texts_six_times(spark):
+    """For their size, the words, the runs of two words, those of three with the parts of two, the parts of three, and the scores; ids once more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"the same few words come again and again {i % 3}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(read, "doc_id long, text string")
+    assert len(suffix_tree.score_documents(docs).collect()) == 20
+    assert seen.value <= 7 * 20
+
+
+@pytest.mark.parametrize("low", [0, 7 << 60])
+def test_orders_and_places_of_hashes(low):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        key = np.uint64(low) + rng.integers(0, 2**60 if low else 2**64, n, dtype=np.uint64)
+        for x in (key, np.concatenate([key, key]), key >> np.uint64(50), key | np.uint64(1 << 20), np.sort(key)):
+            assert (suffix_tree.order_of(x) == np.argsort(x, kind="stable")).all()
+        # Hashes that only differ where places are kept.
+        close = np.concatenate([np.array([0, 2**64 - 1], np.uint64), rng.permutation(64).astype(np.uint64)])
+        assert (suffix_tree.order_of(close) == np.argsort(close, kind="stable")).all()
+        known = np.unique(np.append(key[::2], [np.uint64(0), ~np.uint64(0)]))
+        for table in (known, known[:-1], known[:0]):
+            asked = np.concatenate([key, known, key + np.uint64(1)])
+            assert (suffix_tree.Index(table).find(asked) == suffix_tree._find(table, asked)).all()
+
+
+def test_span_hashes_are_sums_over_each_span():
+    import numpy as np
+
+    from recordloom.llm import words as w
+
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 3 * w.HASH_BYTES, dtype=np.uint8)
+    cuts = np.unique(np.append(rng.integers(0, w.HASH_BYTES, 300), [w.HASH_BYTES - 1, w.HASH_BYTES, w.HASH_BYTES + 9, len(data) - 5, len(data)]))
+    starts, ends = np.append(cuts[:-1], len(data)), np.append(cuts[1:], len(data))
+    got = w.span_hashes(data, starts, ends)
+    for at in [0, 7, *range(len(starts) - 7, len(starts))]:
+        part = data[starts[at] : ends[at]]
+        total = int((w._LETTER[part] * w._powers(len(part))).sum(dtype=np.uint64)) + len(part) * 0xD6E8FEB86659FD93
+        assert got[at] == w.mix(np.array([total % 2**64], np.uint64))[0]
+
+
 def test_tree_is_a_distribution():
     """Over all words of the training text and one unseen, the probabilities after any context add up to at most 1, and nearly so."""
     import numpy as np
