@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.words import mix, slices, texts_of
+from recordloom.llm.words import SLICE_BYTES, SLICE_ROWS, mix, slices, texts_of
 from recordloom.session import scratch
 
 #: Least occurrences of a context or transition, at any size of the input.
@@ -35,12 +35,15 @@ DIVERGENCE = 0.01
 BUCKETS, BUCKET_BYTES = 64, 64 << 20
 #: The symbol that ends a text, and stands before its first word.
 END = np.uint64(0x5A17E0F7E27C0DE5)
-#: Bits of the filters that spare runs the shuffle; a run that passes for nothing is only a few bytes more.
-FILTER_BITS, FILTER_PARTS = 1 << 26, 64
+#: Bits of the filters that spare runs the shuffle for each of their keys, at least so long as all are not more than the last; a run that passes
+#: for nothing is only a few bytes more. A filter is made in parts.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST, FILTER_PARTS = 16, 1 << 18, 1 << 29, 64
 #: Runs that a task holds before it makes them distinct or hands them on.
 HELD = 1 << 21
 #: The most frequent words and runs, at most, whose values every task holds (28 bytes each); all others meet their values by bucket.
 HOT = 1 << 19
+#: Slices of text whose runs are handed on together for their scores, at most.
+SLICES = 16
 
 
 def in_training(doc_id: str = "doc_id") -> Column:
@@ -262,17 +265,44 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of `key`, of fixed size, made in FILTER_PARTS parts; tasks hand the places of their bits on packed."""
-    size = FILTER_BITS // FILTER_PARTS
+@dataclass
+class Filter:
+    """Holds for all of its keys, and for few others: a key sets three bits of one word."""
+
+    words: np.ndarray
+
+    @staticmethod
+    def codes(key: np.ndarray, words: int) -> np.ndarray:
+        """The place of the word, then of three bits in it, six bits each."""
+        return key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18 - (words.bit_length() - 1))
+
+    @staticmethod
+    def masks(code: np.ndarray) -> np.ndarray:
+        one, low = np.uint64(1), np.uint64(63)
+        return one << (code & low) | one << (code >> np.uint64(6) & low) | one << (code >> np.uint64(12) & low)
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        code = self.codes(key, len(self.words))
+        mask = self.masks(code)
+        return self.words[code >> np.uint64(18)] & mask == mask
 
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _filter(keys: DataFrame) -> Filter:
+    """The filter of `key`, or of key and `source` if there is one; its size follows the number of keys, up to FILTER_MOST. Tasks hand codes on packed."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, FILTER_SHARE * keys.count()))
+    words = 1 << ((bits - 1).bit_length() - 6)
+    size = words // FILTER_PARTS
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches):
-            spot = np.unique((batch.column("key").to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.uint32))
-            cut = np.searchsorted(spot, np.arange(FILTER_PARTS + 1) * size).tolist()
+            key = batch.column("key").to_numpy().view(np.uint64)
+            if "source" in batch.schema.names:
+                key = of_source(key, batch.column("source").to_numpy().astype(np.uint64))
+            code = np.unique(Filter.codes(key, words))
+            cut = np.searchsorted(code, np.arange(FILTER_PARTS + 1, dtype=np.uint64) * np.uint64(size << 18)).tolist()
             own = [p for p in range(FILTER_PARTS) if cut[p] < cut[p + 1]]
-            packed = [(spot[cut[p] : cut[p + 1]] - np.uint32(p * size)).tobytes() for p in own]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "spots"])
+            packed = [_pack(code[cut[p] : cut[p + 1]] - np.uint64(p * size << 18)) for p in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "codes"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -286,31 +316,51 @@ def _bits(keys: DataFrame) -> np.ndarray:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def fill(part: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(size, np.uint8)
-        for spot in frame["spots"]:
-            bits[np.frombuffer(spot, np.uint32)] = 1
-        return pd.DataFrame({"part": [part[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    parts = keys.select("key").mapInArrow(spots, "part int, spots binary").groupBy("part")
-    for r in parts.applyInPandas(fill, "part int, bits binary").toLocalIterator():
-        out[r["part"] * size // 64 : (r["part"] + 1) * size // 64] = np.frombuffer(r["bits"], np.uint64)
-    return out
+        code = np.unique(np.concatenate([_unpack(x, np.uint64) for x in frame["codes"]]))
+        word = (code >> np.uint64(18)).astype(np.int64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out = np.zeros(size, np.uint64)
+        out[word[first]] = np.bitwise_or.reduceat(Filter.masks(code), first)
+        return pd.DataFrame({"part": [part[0]], "words": [out.tobytes()]})
+
+    out = np.zeros(words, np.uint64)
+    columns = [c for c in ("key", "source") if c in keys.columns]
+    parts = keys.select(*columns).mapInArrow(coded, "part int, codes binary").groupBy("part")
+    for r in parts.applyInPandas(fill, "part int, words binary").toLocalIterator():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["words"], np.uint64)
+    return Filter(out)
+
+
+def of_source(key: np.ndarray, source: np.ndarray | int) -> np.ndarray:
+    """The hash of a run and of the task that hands its parts on."""
+    return mix(key ^ (np.atleast_1d(source).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
 
 
-def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    spot = key & np.uint64(FILTER_BITS - 1)
-    return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _squeezed(data: bytes) -> bytes:
+    """Compressed with a code for single bytes, which Spark's own compression of a shuffle has not."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _loosened(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte from the lowest, so that high bytes, which are mostly equal, cost little once compressed."""
+    return _squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_loosened(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending numbers as differences, byte by byte from the lowest, so that the high bytes, which are zero, cost nothing once compressed."""
-    return np.ascontiguousarray(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """Ascending numbers as differences."""
+    return _planes(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel(), dtype=kind)
+    return np.cumsum(_unplanes(data, kind), dtype=kind)
 
 
 class _Held:
@@ -342,9 +392,9 @@ class _Held:
         return tuple(x[at] for x in columns)
 
 
-#: Rows that a task hands on of the runs of a bucket: their hashes and numbers packed, or the hashes of both their parts.
-PASSED = "bucket int, keys binary, n binary, context binary, suffix binary"
-COUNTED = "length int, bucket int, key long, context long, suffix long, n long"
+#: Rows that a task hands on of the runs of a bucket: their hashes and numbers packed and the task's own number, or the hashes of both their parts.
+PASSED = "bucket int, source int, keys binary, n binary, context binary, suffix binary"
+COUNTED = "length int, bucket int, source int, key long, context long, suffix long, n long"
 
 
 def _dealt(buckets: int, key: np.ndarray, columns: dict) -> pa.RecordBatch:
@@ -353,33 +403,40 @@ def _dealt(buckets: int, key: np.ndarray, columns: dict) -> pa.RecordBatch:
     cut = [0, *np.searchsorted(key, edges).tolist(), len(key)]
     own = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
     made = [[columns[c](x) for _, x in own] if c in columns else [None] * len(own) for c in ("keys", "n", "context", "suffix")]
+    source = [TaskContext.get().partitionId()] * len(own)
     return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _ in own], pa.int32()), *[pa.array(x, pa.binary()) for x in made]], ["bucket", "keys", "n", "context", "suffix"]
+        [pa.array([b for b, _ in own], pa.int32()), pa.array(source, pa.int32()), *[pa.array(x, pa.binary()) for x in made]],
+        ["bucket", "source", "keys", "n", "context", "suffix"],
     )
 
 
 def _packed(buckets: int, key: np.ndarray) -> pa.RecordBatch:
     key, n = np.unique(key, return_counts=True)
-    return _dealt(buckets, key, {"keys": lambda x: _pack(key[x]), "n": lambda x: _planes(n[x])})
+    return _dealt(buckets, key, {"keys": lambda x: _pack(key[x]), "n": lambda x: _planes(n[x].astype(np.uint32))})
 
 
 def _parts(buckets: int, key: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
     return _dealt(buckets, key, {"context": lambda x: context[x].tobytes(), "suffix": lambda x: suffix[x].tobytes()})
 
 
-def _summed(frame: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of the runs of a bucket that come at least `least` times."""
+def _summed(frame: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and number of the runs of a bucket that come at least `least` times, and one of the tasks that have it, dealt by its hash."""
     packed = frame[frame["keys"].notna()]
     if not len(packed):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key = np.concatenate([_unpack(x, np.uint64) for x in packed["keys"]])
-    n = np.concatenate([_unplanes(x) for x in packed["n"]]).astype(np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    parts = [_unpack(x, np.uint64) for x in packed["keys"]]
+    source = np.repeat(packed["source"].to_numpy(np.int32), [len(x) for x in parts])
+    key = np.concatenate(parts)
+    del parts
+    n = np.concatenate([_unplanes(x, np.uint32) for x in packed["n"]]).astype(np.int64)
     order = order_of(key)
     key = key[order]
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     total = np.add.reduceat(n[order], at)
     often = total >= least
-    return key[at][often], total[often]
+    times = np.diff(at, append=len(key))[often]
+    at, key = at[often], key[at[often]]
+    return key, total[often], source[order[at + (key % times.astype(np.uint64)).astype(np.int64)]]
 
 
 def count_words(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -398,33 +455,45 @@ def count_words(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             yield _packed(buckets, np.concatenate(held))
 
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        key, n = _summed(frame, 1)
+        key, n, _ = _summed(frame, 1)
         return pd.DataFrame({"key": key.view(np.int64), "n": n})
 
     return texts.mapInArrow(pack, PASSED).groupBy("bucket").applyInPandas(summed, "key long, n long")
 
 
-def count_runs(texts: DataFrame, length: int, longest: int, shorter: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """`(length, bucket, key, context, suffix, n)`: the runs of `length` that come at least LEAST times, their parts still 0, and those of `known` with theirs.
+def count_runs(
+    texts: DataFrame, length: int, longest: int, shorter: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS, by_all: bool = False
+) -> DataFrame:
+    """`(length, bucket, source, key, context, suffix, n)`: the runs of `length` that come at least LEAST times, their parts still 0, and those of `known` with theirs.
 
     `shorter` has the `key` of the frequent runs one word shorter, to which both parts of a frequent run belong. `known` are the
-    former for that length (bucket, key, n); none for words, which have no parts. The texts are read once for both; runs above
+    former for that length (bucket, source, key, n); none for words, which have no parts. The texts are read once for both; runs above
     `longest` are not counted. Of long runs most come once or twice, so the hashes alone are counted, sorted and packed in a
     row for each task and bucket, and the parts are fetched from the texts once it is known which are frequent.
+
+    A run that is everywhere has its parts sent by the task `source` alone, one of those that counted it. If rows came to other tasks since, so
+    that some parts are missing, the texts are read again and the parts sent `by_all` tasks that have them.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(_bits(shorter))
-    fetches = known is not None
+    share = texts.sparkSession.sparkContext.broadcast
+    fetches, counts = known is not None, length <= longest
+    bits = share(_filter(shorter.select("key"))) if counts or by_all else None
+    own = share(_filter(known.select("key", "source"))) if fetches and not by_all else None
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = bool(_in(bits.value, np.array([END]))[0])
+        end = bool(bits.value.has(np.array([END]))[0]) if bits else False
+        source = TaskContext.get().partitionId()
         parts, held, size = _Held(), [], 0
         for batch in batches:
             for part in slices(batch):
                 *_, (row, context, suffix, key) = runs_of(*token_stream(part), length - 1)
-                ok = _in(bits.value, key)
-                if fetches and ok.any() and (full := parts.add(key[ok], context[ok], suffix[ok])):
-                    yield _parts(buckets, *full)
-                if length > longest:
+                ok = bits.value.has(key) if bits else np.ones(len(key), bool)
+                if fetches:
+                    at = np.flatnonzero(ok)
+                    if own:
+                        at = at[own.value.has(of_source(key[at], source))]
+                    if len(at) and (full := parts.add(key[at], context[at], suffix[at])):
+                        yield _parts(buckets, *full)
+                if not counts:
                     continue
                 if length == 2:
                     both = ok & _shifted(row, ok, end)
@@ -442,38 +511,34 @@ def count_runs(texts: DataFrame, length: int, longest: int, shorter: DataFrame,
         if full := parts.take():
             yield _parts(buckets, *full)
 
-    def table(size: int, bucket: int, key: np.ndarray, both: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        columns = {"key": key.view(np.int64), "context": both[0].view(np.int64), "suffix": both[1].view(np.int64), "n": n}
+    def table(size: int, bucket: int, source: np.ndarray, key: np.ndarray, both: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        columns = {"source": source, "key": key.view(np.int64), "context": both[0].view(np.int64), "suffix": both[1].view(np.int64), "n": n}
         return pd.DataFrame({"length": np.full(len(key), size, np.int32), "bucket": np.full(len(key), bucket, np.int32), **columns})
 
     def counted(bucket: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        key, n = _summed(frame, LEAST)
-        return table(length, bucket[0], key, np.zeros((2, len(key)), np.uint64), n)
+        key, n, source = _summed(frame, LEAST)
+        return table(length, bucket[0], source, key, np.zeros((2, len(key)), np.uint64), n)
 
     def matched(bucket: tuple, frame: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
         order = order_of(often["key"].to_numpy(np.int64).view(np.uint64))
         key, n = often["key"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
-        both = np.zeros((2, len(key)), np.uint64)
+        both, source = np.zeros((2, len(key)), np.uint64), np.full(len(key), -1, np.int32)
         fetched = frame[frame["context"].notna()]
         for context, suffix in zip(fetched["context"], fetched["suffix"], strict=True):
             context, suffix = np.frombuffer(context, np.uint64), np.frombuffer(suffix, np.uint64)
             at = _find(key, run_keys(context, suffix))
             hit = at >= 0
             both[:, at[hit]] = context[hit], suffix[hit]
-        return pd.concat([table(length - 1, bucket[0], key, both, n), counted(bucket, frame)])
+            source[at[hit]] = 0
+        return pd.concat([table(length - 1, bucket[0], source, key, both, n), counted(bucket, frame)])
 
     rows = texts.mapInArrow(passed, PASSED).groupBy("bucket")
     if not fetches:
         return _written(rows.applyInPandas(counted, COUNTED))
-    return _written(rows.cogroup(known.groupBy("bucket")).applyInPandas(matched, COUNTED))
-
-
-def _planes(n: np.ndarray) -> bytes:
-    return np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(len(n), 4).T).tobytes()
-
-
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    found = _written(rows.cogroup(known.select("bucket", "key", "n").groupBy("bucket")).applyInPandas(matched, COUNTED))
+    if by_all or found.filter((F.col("length") < length) & (F.col("source") < 0)).isEmpty():
+        return found
+    return count_runs(texts, length, longest, shorter, known, buckets, True)
 
 
 def next_level(runs: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -528,8 +593,10 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
     The values of the HOT most frequent words and runs are in every task, so a run that is everywhere stays where it is. A document's other
     runs go once over the network, by bucket, in blocks; `longer` has the `key` of the runs of two words and more that have a value.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(longer))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(longer))
     hot = docs.sparkSession.sparkContext.broadcast(hottest(values, HOT))
+    # The more buckets, the larger the slices, so that the sums of a document do not travel in ever more parts; a row has 16 bits.
+    scale = min(SLICES, -(-buckets // BUCKETS))
     # Only words have a base and are known.
     of_words, of_runs = ((0, "base"), (1, "gain"), (2, "known")), ((1, "gain"),)
 
@@ -537,13 +604,13 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
         number = TaskContext.get().partitionId() << 32
         index = Index(hot.value["key"])
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=scale * SLICE_BYTES, rows=scale * SLICE_ROWS):
                 row, token = token_stream(part)
                 rows, keys = [], []
                 own_sums = np.zeros((3, part.num_rows))
                 for length, (r, _, _, key) in enumerate(runs_of(row, token, longest), 1):
                     if length > 1:
-                        ok = _in(bits.value, key)
+                        ok = bits.value.has(key)
                         r, key = r[ok], key[ok]
                     place = index.find(key)
                     for i, c in of_runs if length > 1 else of_words:
@@ -552,21 +619,16 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                     keys.append(key[place < 0])
                 n = np.bincount(row, minlength=part.num_rows)
                 row, key = np.concatenate(rows), np.concatenate(keys)
-                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                row, key, bucket = row[order], key[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                order = order_of(key)
+                row, key = row[order].astype(np.uint16), key[order]
+                cut = np.searchsorted((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
                 ids = np.concatenate([part.column("key").to_numpy(), n]).astype(np.int64).tobytes()
                 out = []
                 # What a slice has in hand goes to a bucket of its own choice.
                 head = int(mix(np.array([number], np.uint64))[0] % np.uint64(buckets))
                 for b in np.union1d(np.flatnonzero(cut[1:] > cut[:-1]), [head]).tolist():
                     own = slice(cut[b], cut[b + 1])
-                    # A slice has at most SLICE_ROWS rows.
-                    out.append((
-                        b, number, row[own].astype(np.uint16).tobytes(), key[own].tobytes(),
-                        ids if b == head else None, own_sums.tobytes() if b == head else None,
-                    ))
+                    out.append((b, number, _planes(row[own]), _pack(key[own]), ids if b == head else None, own_sums.tobytes() if b == head else None))
                 number += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)],
@@ -574,18 +636,22 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
                 )
 
     def weigh(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = order_of(table["key"].to_numpy(np.int64).view(np.uint64))
-        index = Index(table["key"].to_numpy(np.int64).view(np.uint64)[order])
+        # Keys of a bucket have equal high bits, by which an index is made.
+        spread = np.uint64(0x9E3779B97F4A7C15)
+        known = table["key"].to_numpy(np.int64).view(np.uint64) * spread
+        order = order_of(known)
+        index = Index(known[order])
         value = {c: np.append(table[c].to_numpy(float)[order], 0.0) for c in ("base", "gain", "known")}
         out = []
         for s, row, token, ids, own in zip(*(frame[c] for c in ("slice", "row", "token", "ids", "own")), strict=True):
-            place = index.find(np.frombuffer(token, np.uint64))
+            place = index.find(_unpack(token, np.uint64) * spread)
             hit = place >= 0
-            row, place = np.frombuffer(row, np.uint16)[hit], place[hit]
+            row, place = _unplanes(row, np.uint16)[hit], place[hit]
             rows = np.flatnonzero(np.bincount(row))
             sums = [np.bincount(row, value[c][place])[rows] for c in ("base", "gain", "known")]
             if len(rows) or isinstance(ids, bytes):
-                out.append((s, rows.astype(np.uint16).tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), ids, own))
+                packed = [_squeezed(x.tobytes()) for x in (rows.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.uint32))]
+                out.append((s, *packed, ids, own))
         return pd.DataFrame(out, columns=["slice", "rows", "base", "gain", "known", "ids", "own"])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
@@ -595,14 +661,14 @@ def _sums(docs: DataFrame, values: DataFrame, longer: DataFrame, buckets: int, l
         known = known.astype(np.int64)
         # Always in the same order, so that sums are the same in every run.
         for rows, b, g, k in sorted(zip(frame["rows"], frame["base"], frame["gain"], frame["known"], strict=True)):
-            at = np.frombuffer(rows, np.uint16)
-            base[at] += np.frombuffer(b)
-            gain[at] += np.frombuffer(g)
-            known[at] += np.frombuffer(k, np.uint32)
+            at = np.frombuffer(_loosened(rows), np.uint16)
+            base[at] += np.frombuffer(_loosened(b))
+            gain[at] += np.frombuffer(_loosened(g))
+            known[at] += np.frombuffer(_loosened(k), np.uint32)
         return pd.DataFrame({"key": keys, "n_tokens": n, "base": base, "gain": gain, "known": known})
 
     parts = docs.select("key", "text").mapInArrow(split, "bucket int, slice long, row binary, token binary, ids binary, own binary")
-    dealt = values.drop("n").withColumn("bucket", F.expr(f"int(shiftrightunsigned(key, 32) % {buckets})"))
+    dealt = values.drop("n").withColumn("bucket", F.expr(f"int(shiftrightunsigned(shiftrightunsigned(key, 32) * {buckets}L, 32))"))
     schema = "slice long, rows binary, base binary, gain binary, known binary, ids binary, own binary"
     found = parts.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(weigh, schema)
     return found.groupBy("slice").applyInPandas(joined, "key long, n_tokens long, base double, gain double, known long")
@@ -629,11 +695,12 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     # Rarer words are no part of a run that counts.
     level = _written(words.filter(F.col("n") >= LEAST).withColumn("logp", F.log((F.col("n") + 1) / (n + v + 1))))
     gains, longer, states = [], level.select("key").limit(0), 1
-    often = count_runs(texts, 2, depth + 1, level, None, buckets).select("bucket", "key", "n")
+    often = count_runs(texts, 2, depth + 1, level, None, buckets).select("bucket", "source", "key", "n")
     for length in range(2, depth + 2):
         # One reading of the texts fetches the parts of the runs of this length and counts those of the next.
         found = count_runs(texts, length + 1, depth + 1, often, often, buckets)
-        runs, often = found.filter(F.col("length") == length).drop("length", "bucket"), found.filter(F.col("length") > length).select("bucket", "key", "n")
+        runs = found.filter(F.col("length") == length).drop("length", "bucket", "source")
+        often = found.filter(F.col("length") > length).select("bucket", "source", "key", "n")
         level, contexts = next_level(runs, level)
         of_states, of_runs = level_gains(level, contexts)
         gains += [of_states, of_runs]

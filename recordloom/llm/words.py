@@ -143,14 +143,14 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data, offsets - offsets[0])
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of at most SLICE_ROWS rows whose texts together stay near `most` bytes; every row is in exactly one."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Runs of at most `rows` rows whose texts together stay near `most` bytes; every row is in exactly one."""
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        upto = min(upto, at + SLICE_ROWS)
+        upto = min(upto, at + rows)
         yield batch.slice(at, upto - at)
         at = upto

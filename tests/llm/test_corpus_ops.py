@@ -288,6 +288,44 @@ def test_tree_reads_the_texts_six_times(spark):
     assert seen.value <= 7 * 20
 
 
+def test_parts_of_a_run_come_from_one_task(spark):
+    """One of the tasks that counted a run hands its parts on, not each; if rows move to other tasks meanwhile, no part is lost."""
+    import numpy as np
+
+    rows = [(" ".join(f"w{i}" for i in range(60)),)] * 24
+    texts = spark.createDataFrame(rows, "text string").repartition(6)
+    words = suffix_tree.count_words(texts)
+    often = suffix_tree.count_runs(texts, 2, 3, words).select("bucket", "source", "key", "n")
+    dealt = often.toPandas()
+    assert len(dealt) == 61 and set(dealt["n"]) == {24} and dealt["source"].between(0, 5).all() and dealt["source"].nunique() > 3
+    known = suffix_tree._filter(often.select("key", "source"))
+    key = dealt["key"].to_numpy().view(np.uint64)
+    senders = sum(known.has(suffix_tree.of_source(key, s)).astype(int) for s in range(6))
+    assert senders.min() == 1 and senders.mean() < 1.2
+    moved = often.selectExpr("bucket", "int(99) source", "key", "n")
+    for kept in (often, moved):
+        found = suffix_tree.count_runs(texts, 3, 3, kept, kept).toPandas()
+        pairs = found[found["length"] == 2]
+        context, suffix = (pairs[c].to_numpy().view(np.uint64) for c in ("context", "suffix"))
+        assert len(pairs) == 61 and (suffix_tree.run_keys(context, suffix) == pairs["key"].to_numpy().view(np.uint64)).all()
+        assert sorted(found[found["length"] == 3]["n"]) == [24] * 60
+
+
+def test_filters_miss_no_key_and_hashes_are_packed():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    key = np.unique(rng.integers(0, 2**64, 16_000, dtype=np.uint64))
+    words = np.zeros(1 << 12, np.uint64)
+    code = suffix_tree.Filter.codes(key, len(words))
+    np.bitwise_or.at(words, code >> np.uint64(18), suffix_tree.Filter.masks(code))
+    known = suffix_tree.Filter(words)
+    assert known.has(key).all() and known.has(rng.integers(0, 2**64, 50_000, dtype=np.uint64)).mean() < 0.03
+    assert (suffix_tree._unpack(suffix_tree._pack(key), np.uint64) == key).all() and len(suffix_tree._pack(key)) < 7 * len(key)
+    n = np.ones(len(key), np.uint32)
+    assert (suffix_tree._unplanes(suffix_tree._planes(n), np.uint32) == n).all() and len(suffix_tree._planes(n)) < 100
+
+
 @pytest.mark.parametrize("low", [0, 7 << 60])
 def test_orders_and_places_of_hashes(low):
     import numpy as np
